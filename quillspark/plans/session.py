@@ -20,7 +20,7 @@ SETTINGS = {
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", name: str = "quillspark") -> SparkSession:
     """A local session for tests and benches; on a cluster spark-submit supplies the master."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
-    builder = builder.config("spark.driver.memory", memory).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.host", os.environ.get("SPARK_LOCAL_IP", "127.0.0.1"))
     for key, value in SETTINGS.items():
