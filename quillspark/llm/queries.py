@@ -8,13 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, minhash, packing, toxicity
+from quillspark.llm import decontaminate, langid, minhash, packing, toxicity, warc
 from quillspark.llm.folds import held_out
 from quillspark.plans.session import table
+from quillspark.plans.storage import new_path
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out(F.col("doc_id"))), "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.captures(warc.read(spark, path))
+    revisit = F.col("kind") == "revisit"
+    return found.select(
+        warc.metadata_field("page-id").cast("long").alias("page_id"),
+        F.when(revisit, warc.metadata_field("payload-bytes").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"), F.col("kind").alias("record_type"),
+        F.when(revisit, warc.metadata_field("refers-to-page").cast("long")).alias("refers_to"),
+    )
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learnt from the labelled rows outside the held-out fold. Repeated labels of an id: toxic if one of them is."""
     marks = labels.groupBy(F.col("doc_id").alias("_l_id")).agg(F.max("toxic").alias("_l_toxic"))
@@ -48,6 +69,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixture": op3_mixture,
+    "op4_transactions": op4_transactions,
     "op5_segments": op5_segments,
     "op6_winnowing": op6_winnowing,
     "op8_minhash": op8_minhash,
@@ -55,6 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_transactions": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, n, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY h, n)
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h AND p.n = g.n""",
     "op6_winnowing": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
