@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, langid, minhash, packing, toxicity, warc
+from quillspark.llm import decontaminate, html, langid, minhash, packing, quality, toxicity, warc
 from quillspark.llm.folds import held_out
 from quillspark.plans.session import table
 from quillspark.plans.storage import new_path
@@ -16,6 +16,11 @@ from quillspark.plans.storage import new_path
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out(F.col("doc_id"))), "text", "lang")
@@ -63,17 +68,32 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Target text is labelled 1, raw text 0. Repeated labels of an id: raw if one of them is."""
+    marks = labels.groupBy(F.col("doc_id").alias("_l_id")).agg(F.min("quality").alias("_l_quality"))
+    train = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_l_id"))
+    return quality.fit(train.withColumn("_l_target", F.col("_l_quality") > 0), "text", "_l_target")
+
+
+def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return quality.resample(docs, model).select("doc_id", "log_weight", "n_grams", "accepted", "selected")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     return packing.pack(table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": op1_suffix_array,
     "op3_mixture": op3_mixture,
     "op4_transactions": op4_transactions,
     "op5_segments": op5_segments,
     "op6_winnowing": op6_winnowing,
     "op8_minhash": op8_minhash,
+    "op9_resampling": op9_resampling,
     "op10_packing": op10_packing,
 }
 
