@@ -75,6 +75,13 @@ class Model:
         buckets, counts = features.counts(text)
         return float(self.log_ratio[buckets.astype(np.int64)] @ counts) if len(buckets) else 0.0, int(counts.sum())
 
+    def key(self, features: Features, text: str | None, noise: int) -> tuple[float, float, int]:
+        """(key, log weight relative to the cut, n-grams); the key adds Gumbel noise made from the bits of ``noise``."""
+        w, n = self.weight(features, text)
+        w += self.prior - self.cut * n
+        u = ((noise & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+        return w - math.log(-math.log(u)), w, n
+
 
 def fit(rows: DataFrame, text_col: str, class_col: str, smoothing: float = 1.0) -> Model:
     """Models of target (class true) and raw (class false) text from all ``rows``; rows of null class are ignored.
@@ -117,7 +124,12 @@ def fit(rows: DataFrame, text_col: str, class_col: str, smoothing: float = 1.0)
     return model
 
 
-def weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: int = 29) -> DataFrame:
+def _noise(id_col: str, text_col: str, seed: int = 29):
+    """64 random bits of a row, the same in every run."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col).cast("string"))
+
+
+def weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: id, ``text_hash``, ``log_weight``, ``n_grams``, ``accepted`` and the Gumbel ``key``.
 
     The noise is a hash of seed, id and text, so it is the same in every run.  ``log_weight`` is taken relative to the
@@ -125,21 +137,15 @@ def weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     the prior as their weight, and are not accepted.
     """
     text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("noise"), text.alias("t"))
+    source = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("th"), _noise(id_col, text_col).alias("noise"), text.alias("t"))
     kind = source.schema["k"].dataType.simpleString()
     shared = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            weight, n_grams, keys = [], [], []
-            for text, noise in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                w, n = shared.weight(features, text)
-                w += shared.prior - shared.cut * n
-                u = ((noise & ((1 << 52) - 1)) + 0.5) / (1 << 52)
-                weight.append(w)
-                n_grams.append(n)
-                keys.append(w - math.log(-math.log(u)))
+            found = [shared.key(features, t, noise) for t, noise in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            keys, weight, n_grams = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight, pa.float64()), pa.array(n_grams, pa.int64()), pa.array([w >= 0 and n > 0 for w, n in zip(weight, n_grams, strict=True)], pa.bool_()), pa.array(keys, pa.float64())], ["k", "th", "log_weight", "n_grams", "accepted", "key"])
 
     out = source.mapInArrow(run, f"k {kind}, th long, log_weight double, n_grams long, accepted boolean, key double")
@@ -174,17 +180,25 @@ def resample(docs: DataFrame, model: Model, k: int | None = None, id_col: str =
     Rows without n-grams are never selected.  Repeated rows have equal keys and stay together; an empty table stays empty.
     """
     scored = materialize(weights(docs, model, id_col, text_col), "weights")
+    return scored.withColumn("selected", (F.col("n_grams") > 0) & (F.col("key") >= least_key(scored, k)))
+
+
+def least_key(scored: DataFrame, k: int | None = None) -> float:
+    """The k-th greatest key among rows with n-grams, k being the number of accepted rows unless given."""
     usable = scored.filter("n_grams > 0")
     k = scored.filter("accepted").count() if k is None else k
-    if k <= 0 or usable.isEmpty():
-        return scored.withColumn("selected", F.lit(False))
-    least = kth_greatest(usable, "key", k)
-    return scored.withColumn("selected", (F.col("n_grams") > 0) & (F.col("key") >= least))
+    return kth_greatest(usable, "key", k) if k > 0 and not usable.isEmpty() else math.inf
 
 
 def keep_selected(docs: DataFrame, model: Model, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that resampling selects."""
-    gone = resample(docs, model, k, id_col, text_col).filter(~F.col("selected"))
-    gone = gone.select(F.col(id_col).alias("_q_id"), F.col("text_hash").alias("_q_hash")).distinct()
-    same = docs[id_col].eqNullSafe(gone["_q_id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_q_hash"])
-    return docs.join(gone, same, "left_anti")
+    """The rows of ``docs``, with all their columns, that resampling selects; no row is moved."""
+    least = least_key(materialize(weights(docs, model, id_col, text_col), "weights"), k)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            keys = [model.key(features, t, noise) for t, noise in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array([n > 0 and key >= least for key, _, n in keys], pa.bool_()))
+
+    return docs.select("*", _noise(id_col, text_col).alias("_q_noise")).mapInArrow(run, docs.schema)

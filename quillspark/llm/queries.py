@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, html, langid, minhash, packing, quality, toxicity, warc
+from quillspark.llm import decontaminate, html, langid, licences, minhash, packing, quality, search, toxicity, warc
 from quillspark.llm.folds import held_out
 from quillspark.plans.session import table
 from quillspark.plans.storage import new_path
@@ -21,6 +21,11 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.filter(F.col("doc_id") % 100 == 0), k=10)
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out(F.col("doc_id"))), "text", "lang")
@@ -63,6 +68,10 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "licence", "dice", "n_licences")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=(85, 100))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -88,16 +97,43 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
+    "op2_block_max": op2_block_max,
     "op3_mixture": op3_mixture,
     "op4_transactions": op4_transactions,
     "op5_segments": op5_segments,
     "op6_winnowing": op6_winnowing,
+    "op7_dice": op7_dice,
     "op8_minhash": op8_minhash,
     "op9_resampling": op9_resampling,
     "op10_packing": op10_packing,
 }
 
+_SQL_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licences.TEMPLATES.items())
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_block_max": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS mean FROM d),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+scored AS (SELECT q.doc_id AS query_id, t.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))), 6) AS score
+  FROM (SELECT doc_id, term FROM t WHERE doc_id % 100 = 0) q JOIN t USING (term) JOIN f USING (term) JOIN d ON d.doc_id = t.doc_id, s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op7_dice": rf"""
+WITH tpl(name, body) AS (VALUES {_SQL_TEMPLATES}),
+unit AS (SELECT DISTINCT doc_id, u FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents UNION ALL
+  SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM documents UNION ALL SELECT doc_id, text FROM documents) WHERE u IS NOT NULL),
+own AS (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY doc_id, u) AS uid, u FROM unit UNION ALL SELECT 't', name, 0, body FROM tpl),
+word AS (SELECT kind, id, uid, regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM own),
+gram AS (SELECT DISTINCT kind, id, uid, w[i] || ' ' || w[i + 1] AS g FROM (SELECT kind, id, uid, w, unnest(range(1, len(w))) AS i FROM word)),
+size AS (SELECT kind, id, uid, count(*) AS n FROM gram GROUP BY ALL),
+dice AS (SELECT a.id, b.id AS name, 2.0::DOUBLE * count(*) / (any_value(x.n) + any_value(y.n)) AS dice
+  FROM gram a JOIN gram b ON a.g = b.g AND a.kind = 'd' AND b.kind = 't' JOIN size x ON x.kind = 'd' AND x.uid = a.uid AND x.id = a.id JOIN size y ON y.kind = 't' AND y.id = b.id GROUP BY a.id, a.uid, b.id),
+best AS (SELECT id, name, max(dice) AS dice FROM dice WHERE dice >= 0.8 GROUP BY id, name),
+top AS (SELECT id, name, dice, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY dice DESC, name) AS r FROM best)
+SELECT doc_id, name AS licence, coalesce(dice, 0.0::DOUBLE) AS dice, CAST(coalesce(n, 0) AS BIGINT) AS n_licences
+FROM documents LEFT JOIN top ON top.id = CAST(doc_id AS VARCHAR) AND r = 1""",
     "op4_transactions": r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, n, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY h, n)

@@ -223,3 +223,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     extra = ", segments array<struct<token:int,end:int,score:double>>" if spans else ""
     out = source.mapInArrow(run, f"k {kind}, th long, score double{extra}")
     return out.withColumnsRenamed({"k": id_col, "th": "text_hash"})
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; no row is moved."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
