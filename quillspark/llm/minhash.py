@@ -7,8 +7,9 @@
 3. Verification: signatures are compared batch by batch, and a pair is dropped once the posterior probability that its
    similarity reaches the threshold (uniform prior, Beta posterior) falls below ``miss``; survivors are verified on the
    full sets.
-4. Rest: buckets whose members still lie in several components have their other pairs compared too, within blocks of
-   bounded size by signature in place (a pair leaves its block only if it survives); these are verified in the same way.
+4. Rest: buckets whose members still lie in several components have their other pairs compared too, in place within
+   blocks of bounded size, by signature and then by 32-bit hashes of the sets; what leaves a block are links between
+   components, few as a spanning forest, and they are verified on the full sets.
 5. Components of the verified links, by smallest label with pointer jumping.
 
 Only (id, band) rows, signatures of candidates and the sets of candidates are moved; no group is gathered in one task.
@@ -51,11 +52,10 @@ def shingle_hashes(text: str | None, cache: _WordHashes, width: int = 5) -> np.n
         cache.clear()
     h = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     if len(tokens) < width:
-        acc = np.uint64(len(tokens)) * _M2
-        with np.errstate(over="ignore"):
-            for x in h:
-                acc = (acc ^ (acc >> _S29)) * _M1 + x
-        return np.array([acc], dtype=np.uint64)
+        acc = np.array([len(tokens)], dtype=np.uint64) * _M2
+        for x in h:
+            acc = (acc ^ (acc >> _S29)) * _M1 + x
+        return acc
     n = len(tokens) - width + 1
     acc = h[:n] * _M2
     for j in range(1, width):
@@ -143,15 +143,16 @@ def _details(signer_args: tuple, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, cache = Signer(*signer_args), _WordHashes()
         for batch in batches:
-            ids, count, sig, full = [], [], [], []
+            ids, count, sig, small, full = [], [], [], [], []
             for i, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = shingle_hashes(text, cache, width)
                 if len(hashes) and _set_key(hashes) == key:
                     ids.append(i)
                     count.append(len(hashes))
                     sig.append(signer.signature(hashes).tobytes())
+                    small.append(np.unique((hashes >> _S32).astype(np.uint32)).tobytes())
                     full.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(count, pa.int64()), pa.array(sig, pa.binary()), pa.array(full, pa.binary())], ["id", "n", "sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(count, pa.int64()), *(pa.array(x, pa.binary()) for x in (sig, small, full))], ["id", "n", "sig", "small", "shingles"])
 
     return run
 
@@ -195,43 +196,64 @@ def _verify(num: int, den: int):
     return run
 
 
-def _block_pairs(table: list[tuple[int, int]], width: int, ratio: float):
-    """Of each block (rows in order of bucket and block): surviving pairs whose labels differ."""
+def _block_links(table: list[tuple[int, int]], rows_per_band: int, width: int, num: int, den: int):
+    """Of each block (rows in order of bucket and block): candidate links between different labels.
 
-    def compare(rows: list[tuple]) -> tuple[list, list]:
+    A pair is looked at in the bucket of the first band it shares only.  Signatures prune it; what is left is compared on
+    the sets' 32-bit hashes, which are off by collisions: a pair within two elements of the threshold is given out to be
+    verified, a clear link only if it joins labels that no earlier link of the block has joined.
+    """
+
+    def compare(bucket_band: int, rows: list[tuple]) -> tuple[list, list]:
         ids = np.array([r[0] for r in rows])
-        labels = np.array([r[1] for r in rows])
-        sizes = np.array([r[2] for r in rows], dtype=np.float64)
+        labels = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1]
+        sizes = np.array([r[2] for r in rows], dtype=np.int64)
         sigs = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, width)
-        side = np.array([r[4] for r in rows])
+        sets = [np.frombuffer(r[4], dtype=np.uint32) for r in rows]
+        side = np.array([r[5] for r in rows])
         out_a, out_b = [], []
         for i in range(len(ids)):
             other = np.arange(i + 1, len(ids))
             other = other[(labels[other] != labels[i]) & ((side[other] != side[i]) | (side[i] < 0))]
-            other = other[np.minimum(sizes[other], sizes[i]) >= ratio * np.maximum(sizes[other], sizes[i])]
+            other = other[den * np.minimum(sizes[other], sizes[i]) >= num * np.maximum(sizes[other], sizes[i])]
+            if len(other):
+                other = other[_alive(np.broadcast_to(sigs[i], (len(other), width)), sigs[other], table)]
             if len(other):
-                left = _alive(np.broadcast_to(sigs[i], (len(other), width)), sigs[other], table)
-                out_a += np.minimum(ids[other[left]], ids[i]).tolist()
-                out_b += np.maximum(ids[other[left]], ids[i]).tolist()
+                same = (sigs[other] == sigs[i]).reshape(len(other), -1, rows_per_band).all(axis=2)
+                other = other[same.argmax(axis=1) == bucket_band]
+            if not len(other):
+                continue
+            flat = np.concatenate([sets[j] for j in other])
+            at = np.searchsorted(sets[i], flat)
+            at[at == len(sets[i])] = 0
+            starts = np.cumsum([0] + [len(sets[j]) for j in other[:-1]])
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), starts)
+            total = sizes[other] + sizes[i]
+            for j, common, n in zip(other.tolist(), both.tolist(), total.tolist(), strict=True):
+                if labels[j] == labels[i] or den * (common + 2) < num * (n - common - 2):
+                    continue
+                out_a.append(int(min(ids[i], ids[j])))
+                out_b.append(int(max(ids[i], ids[j])))
+                if den * (common - 2) >= num * (n - common + 2):
+                    labels[labels == labels[j]] = labels[i]
         return out_a, out_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows, kind = None, [], pa.int64()
+        block, rows = None, []
         for batch in batches:
-            kind = batch.column(3).type
             a, b = [], []
-            for bucket, lo, hi, i, label, n, sig, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, lo, hi) != block:
+            for place, band, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (place, band, lo, hi) != block:
                     if len(rows) > 1:
-                        x, y = compare(rows)
+                        x, y = compare(block[0], rows)
                         a += x
                         b += y
-                    block, rows = (bucket, lo, hi), []
-                rows.append((i, label, n, sig, side))
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+                    block, rows = (place, band, lo, hi), []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if len(rows) > 1:
-            x, y = compare(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], ["a", "b"])
+            x, y = compare(block[0], rows)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return run
 
@@ -279,9 +301,9 @@ def near_duplicates(
     sketch = materialize(source.mapInArrow(_sketch(signer, width), "id long, th long, n long, key binary, bands array<long>"), "sketch")
 
     known = sketch.filter(F.col("id").isNotNull() & (F.col("n") > 0))
-    member = known.select("id", "key", F.xxhash64("key").alias("kh"), F.explode("bands").alias("band"))
+    member = known.select("id", "key", F.xxhash64("key").alias("kh"), F.posexplode("bands").alias("place", "band"))
     shared = member.groupBy("band").agg(F.min("kh").alias("lo"), F.max("kh").alias("hi")).filter("lo <> hi").select("band")
-    bucket = materialize(member.join(shared, "band").groupBy("band", "key").agg(F.min("id").alias("id")), "buckets")
+    bucket = materialize(member.join(shared, "band").groupBy("place", "band", "key").agg(F.min("id").alias("id")), "buckets")
 
     sizes = bucket.groupBy("band").agg(F.count("*").alias("size"))
     scores = bucket.join(sizes, "band").groupBy("id").agg(F.sum("size").alias("score"))
@@ -292,33 +314,31 @@ def near_duplicates(
 
     nodes = bucket.select("id", "key").distinct()
     texts = source.select("id", "t").join(nodes, "id").select("id", "key", "t")
-    detail = materialize(texts.mapInArrow(_details(signer, width), "id long, n long, sig binary, shingles binary"), "details")
-
-    def verified(candidates: DataFrame, pruned: bool = False) -> DataFrame:
-        if not pruned:
-            a = detail.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-            b = detail.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-            both = candidates.join(a, "a").join(b, "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-            candidates = both.select("a", "b", "sa", "sb").mapInArrow(_prune(table, size), "a long, b long")
-        a = detail.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
-        b = detail.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
-        full = candidates.join(a, "a").join(b, "b").select("a", "b", "xa", "xb")
-        return full.mapInArrow(_verify(num, den), "a long, b long")
-
-    links = materialize(verified(pairs), "links")
+    detail = materialize(texts.mapInArrow(_details(signer, width), "id long, n long, sig binary, small binary, shingles binary"), "details")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return detail.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        full = candidates.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+        return full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify(num, den), "a long, b long")
+
+    both = pairs.join(side("a", "sig", "n"), "a").join(side("b", "sig", "n"), "b")
+    both = both.filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    survivors = both.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(table, size), "a long, b long")
+    links = materialize(verified(survivors), "links")
     labels = components(links)
 
-    placed = bucket.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    placed = bucket.join(labels, "id", "left").select("place", "band", "id", F.coalesce("label", "id").alias("label"))
     split = placed.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     rest = placed.join(split.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "band")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "label", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
-    rest = rest.join(detail.select("id", "n", "sig"), "id").select("band", "lo", "hi", "id", "label", "n", "sig", "side")
-    rest = rest.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    more = rest.mapInArrow(_block_pairs(table, size, threshold), "a long, b long").distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    more = materialize(verified(more, pruned=True), "more")
+    rest = rest.select("place", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "label", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
+    rest = rest.join(detail.select("id", "n", "sig", "small"), "id").select("place", "band", "lo", "hi", "id", "label", "n", "sig", "small", "side")
+    rest = rest.repartition("place", "band", "lo", "hi").sortWithinPartitions("place", "band", "lo", "hi")
+    near = rest.mapInArrow(_block_links(table, rows, size, num, den), "a long, b long").distinct()
+    more = materialize(verified(near), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
 
