@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, html, langid, licences, minhash, packing, quality, search, toxicity, warc
-from quillspark.llm.folds import held_out
+from quillspark.llm.folds import bounded_sample, held_out
 from quillspark.plans.session import table
-from quillspark.plans.storage import new_path
+from quillspark.plans.storage import materialize, new_path
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,11 +46,24 @@ def op4_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Labelled rows that a classifier is fitted on, at most (about); all labelled rows of the training fold if they are fewer.
+LABELLED_ROWS = 20_000
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label) -> DataFrame:
+    """(doc_id, text, _l_label) of a bounded sample of labelled rows outside the held-out fold.
+
+    The sample is taken from the labels, so that it can be broadcast and no text is shuffled.
+    """
+    marks = labels.groupBy(F.col("doc_id").alias("_l_id")).agg(label.alias("_l_label")).filter(~held_out(F.col("_l_id")) & F.col("_l_label").isNotNull())
+    sample = F.broadcast(bounded_sample(marks, "_l_id", LABELLED_ROWS))
+    rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_l_id"))
+    return materialize(rows.select("doc_id", "text", "_l_label"), "training")
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    """Learnt from the labelled rows outside the held-out fold. Repeated labels of an id: toxic if one of them is."""
-    marks = labels.groupBy(F.col("doc_id").alias("_l_id")).agg(F.max("toxic").alias("_l_toxic"))
-    train = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_l_id"))
-    return toxicity.fit(train, "doc_id", "text", "_l_toxic")
+    """Learnt from labelled rows. Repeated labels of an id: toxic if one of them is."""
+    return toxicity.fit(training_rows(docs, labels, F.max("toxic")), "doc_id", "text", "_l_label")
 
 
 def op5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +92,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Target text is labelled 1, raw text 0. Repeated labels of an id: raw if one of them is."""
-    marks = labels.groupBy(F.col("doc_id").alias("_l_id")).agg(F.min("quality").alias("_l_quality"))
-    train = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_l_id"))
-    return quality.fit(train.withColumn("_l_target", F.col("_l_quality") > 0), "text", "_l_target")
+    train = training_rows(docs, labels, F.min("quality"))
+    return quality.fit(train.withColumn("_l_target", F.col("_l_label") > 0), "text", "_l_target")
 
 
 def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
