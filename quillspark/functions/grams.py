@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a lambda's free expressions are computed anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def indices(n: Column, first: int = 0) -> Column:
     """first .. first + n - 1, empty for n < 1."""
     return F.when(n > 0, F.sequence(F.lit(first), n + (first - 1))).otherwise(F.array().cast("array<int>"))
@@ -20,9 +25,12 @@ def characters(text: Column) -> Column:
 
 def char_grams(text: Column, n: int = 4) -> Column:
     """All character n-grams in order, with repeats; a shorter non-empty text is its own."""
-    c = characters(text)
-    grams = F.transform(indices(F.size(c) - (n - 1)), lambda i: F.concat(*[F.get(c, i + j) for j in range(n)]))
-    return F.when(F.size(c) >= n, grams).when(F.size(c) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    def of(c: Column) -> Column:
+        grams = F.transform(indices(F.size(c) - (n - 1)), lambda i: F.concat(*[F.get(c, i + j) for j in range(n)]))
+        short = F.when(F.size(c) > 0, F.array(F.array_join(c, ""))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(c) >= n, grams).otherwise(short)
+
+    return let(characters(text), of)
 
 
 def char_gram_set(text: Column, n: int = 4) -> Column:
@@ -32,10 +40,10 @@ def char_gram_set(text: Column, n: int = 4) -> Column:
 
 def word_grams(tokens: Column, least: int = 3, most: int = 5) -> Column:
     """Word n-grams of every length in the range, joined by blanks."""
-    def of(n: int) -> Column:
-        return F.transform(indices(F.size(tokens) - (n - 1), 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    def of(t: Column, n: int) -> Column:
+        return F.transform(indices(F.size(t) - (n - 1), 1), lambda i: F.array_join(F.slice(t, i, n), " "))
 
-    return F.concat(*[of(n) for n in range(least, most + 1)])
+    return let(tokens, lambda t: F.concat(*[of(t, n) for n in range(least, most + 1)]))
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:

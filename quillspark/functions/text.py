@@ -7,7 +7,9 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillspark.functions.grams import let
 from quillspark.functions.profiles import LATIN, ScriptProfile
 
 _EMPTY = "array<string>"
@@ -131,9 +133,13 @@ def tail(text: Column, size: int = 140) -> Column:
 
 def seam_merge(before: Column, after: Column, cap: int = 12) -> Column:
     """Two token arrays joined, without the longest overlap (at most ``cap``) of the first's end and the second's start."""
-    sizes = F.sequence(F.lit(cap), F.lit(1), F.lit(-1))
-    fits = F.filter(sizes, lambda n: (n <= F.size(before)) & (n <= F.size(after)) & (F.slice(before, F.size(before) - n + 1, n) == F.slice(after, F.lit(1), n)))
-    return F.concat(before, F.slice(after, F.coalesce(F.get(fits, F.lit(0)), F.lit(0)) + 1, F.greatest(F.size(after), F.lit(1))))
+    def joined(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        sizes = F.sequence(F.lit(cap), F.lit(1), F.lit(-1))
+        fits = F.filter(sizes, lambda n: (n <= F.size(a)) & (n <= F.size(b)) & (F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n) == F.slice(b, F.lit(1), n)))
+        return F.concat(a, F.slice(b, F.coalesce(F.get(fits, F.lit(0)), F.lit(0)) + 1, F.greatest(F.size(b), F.lit(1))))
+
+    return let(F.struct(before.alias("a"), after.alias("b")), joined)
 
 
 def longest_run(tokens: Column) -> Column:
@@ -160,9 +166,12 @@ def longest_true_run(flags: Column) -> Column:
 
 def dominant_token(tokens: Column) -> Column:
     """Struct (token, n) of the most frequent token, the first to appear among equals; null for none."""
-    own = F.array_distinct(tokens)
-    counted = F.transform(own, lambda t, i: F.struct(F.size(F.filter(tokens, lambda u: u == t)).alias("n"), (-i).alias("at"), t.alias("token")))
-    return F.when(F.size(own) > 0, F.array_max(counted))
+    def best(t: Column) -> Column:
+        own = F.array_distinct(t)
+        counted = F.transform(own, lambda x, i: F.struct(F.size(F.filter(t, lambda u: u == x)).alias("n"), (-i).alias("at"), x.alias("token")))
+        return F.when(F.size(own) > 0, F.array_max(counted))
+
+    return let(tokens, best)
 
 
 def suppress_single_token(text: Column) -> Column:
@@ -231,7 +240,7 @@ def split_pauses(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode canonical composition; Spark has no built-in."""
     import unicodedata

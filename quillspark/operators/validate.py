@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions import grams as G
 from quillspark.functions import text as X
 from quillspark.functions.profiles import LATIN, ScriptProfile
 from quillspark.operators.align import _python_skeleton
@@ -18,14 +19,18 @@ def drift(caption: Column, proposed: Column) -> Column:
 
 def invented(caption: Column, proposed: Column, vocabulary: Column, profile: ScriptProfile = LATIN) -> Column:
     """Proposed tokens that neither caption nor work has, nor a work token within one edit of the skeleton."""
-    bones = F.filter(F.transform(vocabulary, lambda t: X.skeleton(t, profile)), lambda s: s != "")
+    def of(v: Column) -> Column:
+        c, words, bones = v["c"], v["w"], v["b"]
+
+        def known(t):
+            own = X.skeleton(t, profile)
+            near = F.exists(bones, lambda s: (s == own) | (F.levenshtein(s, own) <= 1))
+            return F.array_contains(c, t) | F.array_contains(words, t) | ((own != "") & near)
 
-    def known(t):
-        own = X.skeleton(t, profile)
-        near = F.exists(bones, lambda s: (s == own) | (F.levenshtein(s, own) <= 1))
-        return F.array_contains(caption, t) | F.when(own != "", F.array_contains(vocabulary, t) | near).otherwise(F.array_contains(vocabulary, t))
+        return F.filter(v["p"], lambda t: ~known(t))
 
-    return F.filter(proposed, lambda t: ~F.coalesce(known(t), F.lit(False)))
+    bones = F.filter(F.transform(vocabulary, lambda t: X.skeleton(t, profile)), lambda s: s != "")
+    return G.let(F.struct(caption.alias("c"), vocabulary.alias("w"), F.array_distinct(bones).alias("b"), proposed.alias("p")), of)
 
 
 def bad_substitutions(caption: Column, proposed: Column, profile: ScriptProfile = LATIN) -> Column:

@@ -1,19 +1,762 @@
-"""The registered queries of the library and their oracles."""
+"""The registered queries of the library, each over its whole tables, and their oracles.
+
+Roles of the tables: documents are clips (session = source, order = doc_id), benchmark sentences and conversation turns are
+the lines of works, labels a sidecar, events a live stream, lineitem and supplier a media manifest.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quillspark.functions import grams as G
+from quillspark.functions import similarity as M
+from quillspark.functions import text as X
+from quillspark.functions.profiles import LATIN
+from quillspark.operators import align as A
+from quillspark.operators import reports as P
+from quillspark.operators import retrieval as R
+from quillspark.operators import rows as W
+from quillspark.operators import sampling as S
+from quillspark.operators import segments as E
+from quillspark.operators import stages
+from quillspark.operators import validate as V
+from quillspark.operators import vectors as K
 from quillspark.plans.session import table
+from quillspark.sources import parsers, sinks
+from quillspark.streaming import tracker
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "tfidf_top1_margin"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its oracle if SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Pieces of oracle SQL that several queries share.
+def tok(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({x}, ''), '\\s+'), lambda t: t <> '' AND t <> '>>')"
+
+
+def skel(x: str) -> str:
+    return f"regexp_replace(translate(replace(lower(coalesce({x}, '')), 'ß', 'ss'), '{LATIN.fold[0]}', '{LATIN.fold[1]}'), '{LATIN.strip.replace(chr(39), chr(39) * 2)}', '', 'g')"
+
+
+def unk(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, 'unk>|un>|<unk?>?|<k>?|<un', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def gram_rows(columns: str, source: str, n: int = 4) -> str:
+    """(columns, gram): the character n-grams of ``t`` in a subquery's rows; a shorter non-empty text is its own."""
+    return f"SELECT {columns}, substring(t, i, {n}) AS gram FROM (SELECT {columns}, t, unnest(range(1, greatest(length(t) - {n - 2}, 2))) AS i FROM ({source}) WHERE length(t) > 0)"
+
+
+SENTENCES = "[.\\n]+"
+SQL_LINES = "SELECT item_id AS work_id, item_id * 1000 + i AS line_id, i AS line_no, trim(s[i]) AS text FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, regexp_split_to_array(text, '[.\\n]+') AS s FROM benchmark)) WHERE trim(s[i]) <> ''"
+SCRIPT = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS clip_id", "source AS session", "doc_id AS ord", "text", "lang", "n_chars / 15.0D AS duration_s")
+
+
+def bench_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of benchmark items as the lines of works."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("work_id"), F.posexplode(F.split("text", SENTENCES)).alias("p", "s"))
+    rows = rows.select("work_id", (F.col("p") + 1).cast("long").alias("line_no"), F.trim("s").alias("text")).filter("text <> ''")
+    return rows.select("work_id", (F.col("work_id") * 1000 + F.col("line_no")).alias("line_id"), "line_no", "text")
+
+
+# Scans, projections and filters.
+@query("SELECT doc_id, n_chars / 15.0::DOUBLE AS duration_s FROM documents WHERE n_chars / 15.0::DOUBLE <= 30")
+def scan_prune_filter_duration(spark, sf_dir):
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars / 15.0D AS duration_s").filter("duration_s <= 30")
+
+
+@query("SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
+def corpus_metadata_join(spark, sf_dir):
+    customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.filter(F.col("r_name").isin("ASIA", "EUROPE")).select("c_custkey", "c_name", "n_name", "r_name")
+
+
+@query("SELECT doc_id, lang, text AS raw_text, upper(lang) AS text FROM documents")
+def remap_source(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("up", F.upper("lang"))
+    return W.remap_source(docs, "up").drop("up")
+
+
+@query("SELECT doc_id, CAST(NULL AS DOUBLE) AS start_s, CAST(n_chars AS DOUBLE) AS n_chars FROM documents UNION ALL SELECT conv_id, NULL, CAST(turn AS DOUBLE) FROM conversations")
+def harmonised_union(spark, sf_dir):
+    columns = {"doc_id": "long", "start_s": "double", "n_chars": "double"}
+    turns = table(spark, sf_dir, "conversations").selectExpr("conv_id AS doc_id", "turn AS n_chars", "role")
+    return W.harmonise(table(spark, sf_dir, "documents"), columns).unionByName(W.harmonise(turns, columns))
+
+
+@query("SELECT conv_id, turn, coalesce(CASE WHEN role = 'user' THEN 'u' || conv_id END, format('{}_slide{:d}_{:05d}', role, conv_id, turn)) AS id FROM conversations")
+def synthesized_ids(spark, sf_dir):
+    given = F.when(F.col("role") == "user", F.concat(F.lit("u"), F.col("conv_id").cast("string")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", W.synthesized_id(given, session=F.col("role"), slide=F.col("conv_id"), index=F.col("turn")).alias("id"))
+
+
+@query(f"SELECT doc_id, {unk('text')} AS text FROM documents")
+def unk_strip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.strip_unknown(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, CAST(len({tok('text')}) AS BIGINT) AS n_tokens, CAST(len(list_filter({tok('text')}, lambda t: regexp_matches(t, '{SCRIPT}'))) AS BIGINT) AS n_script FROM documents")
+def token_counts(spark, sf_dir):
+    t = X.tokenize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), X.script_tokens(t).cast("long").alias("n_script"))
+
+
+@query(f"SELECT item_id, {skel('text')} AS skel FROM benchmark")
+def skeleton(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", X.skeleton(F.col("text")).alias("skel"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(w, lambda t: CASE WHEN {skel('t')} = 'th' THEN 'the' ELSE t END), ' ') AS text,
+CAST(len(list_filter(w, lambda t: {skel('t')} = 'th' AND t <> 'the')) AS BIGINT) AS changed
+FROM (SELECT doc_id, {tok("regexp_replace(" + unk('text') + ", '[^A-Za-zÀ-ÖØ-öø-ÿ\\s]', ' ', 'g')")} AS w FROM documents)""")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("c")).select("doc_id", "c.text", "c.changed")
+
+
+@query(f"""SELECT doc_id, n_chars / 15.0::DOUBLE < 10 OR n < 20 AS drop_candidate, coalesce(n_chars / 15.0::DOUBLE / nullif(n, 0) > 0.45 OR n_chars / 15.0::DOUBLE / nullif(n, 0) < 0.3, TRUE) AS ratio_outlier
+FROM (SELECT doc_id, n_chars, len(list_filter({tok(unk('text'))}, lambda t: regexp_matches(t, '{SCRIPT}'))) AS n FROM documents)""")
+def additive_clean_flags(spark, sf_dir):
+    c = clips(spark, sf_dir)
+    drop = W.drop_candidate(F.col("duration_s"), F.col("text"), least_seconds=10, least_tokens=20)
+    return c.select(F.col("clip_id").alias("doc_id"), drop.alias("drop_candidate"), W.ratio_outlier(F.col("duration_s"), F.col("text"), slow=0.45, fast=0.3).alias("ratio_outlier"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {tok('text')} AS w FROM documents)),
+g AS (SELECT doc_id, t, i - row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS g FROM t),
+r AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, t, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, CAST(longest AS BIGINT) AS longest FROM r WHERE longest <= 10""")
+def repeat_run_filter(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("w"))
+    return docs.filter(~W.excessive_repeats(F.col("w"))).select("doc_id", X.longest_run(F.col("w")).cast("long").alias("longest"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, unnest(w) AS token, generate_subscripts(w, 1) AS i, len(w) AS total FROM (SELECT conv_id, turn, {tok('text')} AS w FROM conversations)),
+c AS (SELECT conv_id, turn, token, count(*) AS n, min(i) AS pos, any_value(total) AS total FROM t GROUP BY conv_id, turn, token)
+SELECT conv_id, turn, token, CAST(n AS BIGINT) AS n, CAST(n AS DOUBLE) / total AS share FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, pos) = 1""")
+def dominant_token_share(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.tokenize(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    rows = rows.withColumn("d", X.dominant_token(F.col("w")))
+    return rows.select("conv_id", "turn", "d.token", F.col("d.n").cast("long").alias("n"), (F.col("d.n") / F.size("w")).alias("share"))
+
+
+@query("""WITH p AS (SELECT doc_id, string_split(substring(text, 1, 4) || regexp_replace(substring(text, 5), '((?:of|in) the)', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM documents),
+u AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: trim(x)), lambda x: x <> '') AS parts FROM p)
+SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS text FROM u""")
+def header_split_explode(spark, sf_dir):
+    profile = replace(LATIN, header="(?:of|in) the")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.split_at_headers(F.col("text"), profile)).alias("part", "text"))
+
+
+@query("""SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substring(regexp_replace(url, '[^A-Za-z0-9\\-_]+', '_', 'g'), 1, 80) AS file,
+TRY_CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS BIGINT) AS page FROM pages""")
+def url_fields(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", X.slug(url).alias("slug"), X.file_slug(url).alias("file"), X.url_parameter(url, "page").try_cast("long").alias("page"))
+
+
+@query("SELECT p_partkey, CAST(p_size * 1000000 AS BIGINT) AS bytes, CAST(round(CAST(p_size AS DECIMAL(18,6)) * 8000000 / 128000, 1) AS DOUBLE) AS seconds FROM part")
+def size_parse(spark, sf_dir):
+    size = X.parse_size(F.concat(F.col("p_size").cast("string"), F.lit(" MB")))
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("bytes"), X.estimated_seconds(size).alias("seconds"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars < 60 THEN 'short' WHEN source IN ('src1', 'src2') THEN 'held' WHEN lang <> 'en' THEN 'lang' END AS reason FROM documents""")
+def drop_reason_chain(spark, sf_dir):
+    reason = W.first_reason(("short", F.col("n_chars") < 60), ("held", F.col("source").isin("src1", "src2")), ("lang", F.col("lang") != "en"))
+    return table(spark, sf_dir, "documents").select("doc_id", reason.alias("reason"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, len({tok('text')}) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents),
+m AS (SELECT *, max(i) OVER (PARTITION BY source) AS last, lag(n) OVER (PARTITION BY source ORDER BY i) AS b, lead(n) OVER (PARTITION BY source ORDER BY i) AS a FROM d)
+SELECT doc_id, CASE WHEN i < 3 THEN 'intro' WHEN i > last - 3 THEN 'outro' WHEN n < 40 AND coalesce(b, 0) > 200 AND coalesce(a, 0) > 200 THEN 'short' ELSE 'none' END AS flag FROM m""")
+def suspect_clips(spark, sf_dir):
+    w = Window.partitionBy("session").orderBy("ord")
+    rows = clips(spark, sf_dir).withColumn("i", F.row_number().over(w) - 1).withColumn("tokens", X.tokenize(F.col("text")))
+    return W.suspect_flag(rows, "session", "i", F.col("tokens"), F.lit(False), repeats=10**9, short=40, long=200).select(F.col("clip_id").alias("doc_id"), "flag")
+
+
+# N-grams and indices.
+@query("SELECT item_id AS work_id, gram, count(*) AS tf FROM (" + gram_rows("item_id", f"SELECT item_id, {skel('text')} AS t FROM benchmark") + ") GROUP BY ALL")
+def char4_multiset(spark, sf_dir):
+    return R.gram_index(table(spark, sf_dir, "benchmark"), "item_id", X.skeleton(F.col("text")))
+
+
+@query("SELECT conv_id, turn, CAST(count(DISTINCT gram) AS BIGINT) AS n FROM (" + gram_rows("conv_id, turn", "SELECT conv_id, turn, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations") + ") GROUP BY ALL")
+def char4_set(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(G.char_gram_set(F.col("text"))).cast("long").alias("n"))
+    return rows.filter("n > 0")
+
+
+@query(f"""WITH w AS (SELECT item_id, {tok('text')} AS w FROM benchmark), g AS (SELECT item_id, array_to_string(w[s : s + n - 1], ' ') AS gram
+FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM w, (VALUES (3), (4), (5)) v(n)))
+SELECT gram, CAST(count(DISTINCT item_id) AS BIGINT) AS n, min(item_id) AS first_id FROM g WHERE regexp_matches(gram, '[A-Za-z].*[A-Za-z].*[A-Za-z]') GROUP BY gram""")
+def word_ngrams_3_5(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(G.word_grams(X.tokenize(F.col("text")))).alias("gram"))
+    rows = rows.filter(F.col("gram").rlike("[A-Za-z].*[A-Za-z].*[A-Za-z]")).distinct()
+    return rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("item_id").alias("first_id"))
+
+
+@query(f"""WITH l AS ({SQL_LINES}) SELECT gram, CAST(count(DISTINCT line_id) AS BIGINT) AS n FROM ({gram_rows('line_id', 'SELECT line_id, text AS t FROM l', 3)}) GROUP BY gram""")
+def trigram_postings(spark, sf_dir):
+    rows = bench_lines(spark, sf_dir).select("line_id", F.explode(F.array_distinct(G.char_grams(F.col("text"), 3))).alias("gram"))
+    return rows.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def _sql_tfidf(clips_sql: str, name: str) -> str:
+    """CTEs up to ``{name}`` (query_id, work_id, score) for texts of ``clips_sql`` (query_id, t)."""
+    items = gram_rows("item_id", f"SELECT item_id, {skel('text')} AS t FROM benchmark")
+    return f"""gi AS (SELECT item_id AS work_id, gram, count(*) AS tf FROM ({items}) GROUP BY ALL),
+df AS (SELECT gram, count(*) AS df FROM gi GROUP BY gram), works AS (SELECT count(DISTINCT work_id) AS n FROM gi),
+qg AS (SELECT query_id, gram, count(*) AS q FROM ({gram_rows('query_id', clips_sql)}) GROUP BY ALL),
+{name} AS (SELECT query_id, work_id, CAST(sum(CAST(least(q, tf) * ln(1 + CAST(works.n AS DOUBLE) / df) AS DECIMAL(18,6))) AS DOUBLE) AS score FROM qg JOIN df USING (gram) JOIN gi USING (gram), works GROUP BY query_id, work_id)"""
+
+
+def _sql_top(name: str) -> str:
+    return f"SELECT query_id, work_id, score, CASE WHEN score > 0 THEN (score - second) / score ELSE 0.0::DOUBLE END AS margin FROM (SELECT *, coalesce(lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, work_id), 0.0) AS second, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, work_id) AS r FROM {name}) WHERE r = 1"
+
+
+@query("SELECT gram, df, CAST(CAST(ln(1 + CAST(n AS DOUBLE) / df) AS DECIMAL(18,6)) AS DOUBLE) AS idf FROM (WITH " + _sql_tfidf("SELECT 0 AS query_id, '' AS t", "sc") + " SELECT gram, df, (SELECT n FROM works) AS n FROM df)")
+def gram_df_idf(spark, sf_dir):
+    index = R.gram_index(table(spark, sf_dir, "benchmark"), "item_id", X.skeleton(F.col("text"))).cache()
+    n = index.select("work_id").distinct().count()
+    return R.gram_df(index).withColumn("idf", F.ln(1 + F.lit(float(n)) / F.col("df")).cast("decimal(18,6)").cast("double"))
+
+
+@query("WITH " + _sql_tfidf(f"SELECT doc_id AS query_id, {skel('text')} AS t FROM documents", "sc") + " " + _sql_top("sc"))
+def tfidf_top1_margin(spark, sf_dir):
+    """Flagship: the benchmark item that each document is likest, with its margin."""
+    index = R.gram_index(table(spark, sf_dir, "benchmark"), "item_id", X.skeleton(F.col("text")))
+    return R.top_with_margin(R.work_scores(table(spark, sf_dir, "documents"), "doc_id", X.skeleton(F.col("text")), index))
+
+
+_SQL_TURNS = "SELECT conv_id * 1000 + turn AS id, conv_id, turn, concat_ws(' ', {before}, text, {after}) AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+_SQL_1 = _SQL_TURNS.format(before="lag(text) OVER w", after="lead(text) OVER w")
+_SQL_2 = _SQL_TURNS.format(before="lag(text, 2) OVER w, lag(text) OVER w", after="lead(text) OVER w, lead(text, 2) OVER w")
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+
+
+@query("WITH " + _sql_tfidf(f"SELECT id AS query_id, {skel('c')} AS t FROM ({_SQL_1})", "sc") + " " + _sql_top("sc"))
+def tfidf_context_window(spark, sf_dir):
+    index = R.gram_index(table(spark, sf_dir, "benchmark"), "item_id", X.skeleton(F.col("text")))
+    rows = R.with_context(_turns(spark, sf_dir), "conv_id", "turn", "text", 1)
+    return R.top_with_margin(R.work_scores(rows, "id", X.skeleton(F.col("context")), index))
+
+
+@query(f"WITH {_sql_tfidf(f'SELECT id AS query_id, {skel(chr(99))} AS t FROM ({_SQL_1})', 'sc')}, one AS ({_sql_top('sc')}), qg2 AS (SELECT query_id, gram, count(*) AS q FROM ({gram_rows('query_id', f"SELECT id AS query_id, {skel('c')} AS t FROM ({_SQL_2}) WHERE id IN (SELECT query_id FROM one WHERE margin < 0.05)")}) GROUP BY ALL), sc2 AS (SELECT query_id, work_id, CAST(sum(CAST(least(q, tf) * ln(1 + CAST(works.n AS DOUBLE) / df) AS DECIMAL(18,6))) AS DOUBLE) AS score FROM qg2 JOIN df USING (gram) JOIN gi USING (gram), works GROUP BY query_id, work_id) SELECT *, 1 AS width FROM one WHERE margin >= 0.05 UNION ALL SELECT *, 2 AS width FROM ({_sql_top('sc2')})")
+def margin_widen(spark, sf_dir):
+    index = R.gram_index(table(spark, sf_dir, "benchmark"), "item_id", X.skeleton(F.col("text")))
+    return R.retrieve_widening(_turns(spark, sf_dir), "id", "conv_id", "turn", "text", X.skeleton, index)
+
+
+_SQL_DOC_LINES = "SELECT doc_id, source, doc_id * 10000 + i AS id, trim(x) AS text FROM (SELECT doc_id, source, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, source, regexp_split_to_array(text, '[.\\n]+') AS s FROM documents)) WHERE trim(x) <> ''"
+
+
+def doc_lines(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", SENTENCES)).alias("p", "s"))
+    return rows.select("doc_id", "source", (F.col("doc_id") * 10000 + F.col("p") + 1).alias("id"), F.trim("s").alias("text")).filter("text <> ''")
+
+
+@query(f"WITH l AS ({SQL_LINES}) SELECT text, work_id, line_id FROM l QUALIFY row_number() OVER (PARTITION BY text ORDER BY line_no, work_id, line_id) = 1")
+def first_occurrence_index(spark, sf_dir):
+    return R.exact_index(bench_lines(spark, sf_dir), F.col("text"), "work_id", "line_id", ["line_no"])
+
+
+@query(f"WITH l AS ({SQL_LINES}), x AS (SELECT text, work_id, line_id FROM l QUALIFY row_number() OVER (PARTITION BY text ORDER BY line_no, work_id, line_id) = 1) SELECT id, doc_id, work_id, line_id FROM ({_SQL_DOC_LINES}) d JOIN x ON d.text = x.text")
+def exact_line_index_hit(spark, sf_dir):
+    index = R.exact_index(bench_lines(spark, sf_dir), F.col("text"), "work_id", "line_id", ["line_no"])
+    return doc_lines(spark, sf_dir).join(R.broadcast_if_small(index), "text").select("id", "doc_id", "work_id", "line_id")
+
+
+@query(f"WITH l AS ({SQL_LINES}), x AS (SELECT text, work_id FROM l QUALIFY row_number() OVER (PARTITION BY text ORDER BY line_no, work_id, line_id) = 1), h AS (SELECT source AS session, work_id, count(*) AS n FROM ({_SQL_DOC_LINES}) d JOIN x ON d.text = x.text GROUP BY ALL) SELECT session, work_id, 1 + 0.8::DOUBLE * n / sum(n) OVER (PARTITION BY session) AS prior FROM h")
+def session_prior_rerank(spark, sf_dir):
+    index = R.exact_index(bench_lines(spark, sf_dir), F.col("text"), "work_id", "line_id", ["line_no"])
+    hits = doc_lines(spark, sf_dir).join(R.broadcast_if_small(index), "text").groupBy(F.col("source").alias("session"), "work_id").agg(F.count("*").alias("n"))
+    return R.session_priors(hits)
+
+
+@query("SELECT work_id, lead(work_id) OVER (ORDER BY last, work_id) AS next_work FROM (SELECT conv_id AS work_id, max(turn * 100000 + conv_id) AS last FROM conversations GROUP BY conv_id)")
+def next_work_sequence(spark, sf_dir):
+    return R.next_work(table(spark, sf_dir, "conversations").withColumn("o", F.col("turn") * 100000 + F.col("conv_id")), "conv_id", "o")
+
+
+_SQL_SETS = "SELECT DISTINCT * FROM ({})"
+
+
+@query(f"""WITH l AS ({SQL_LINES}), r AS ({_SQL_SETS.format(gram_rows("work_id, line_id", "SELECT work_id, line_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM l"))}),
+q AS ({_SQL_SETS.format(gram_rows("query_id", "SELECT doc_id AS query_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents WHERE n_chars < 400"))}),
+rn AS (SELECT line_id, count(*) AS rn FROM r GROUP BY line_id), qn AS (SELECT query_id, count(*) AS qn FROM q GROUP BY query_id),
+s AS (SELECT query_id, work_id, line_id, count(*) AS n FROM q JOIN r USING (gram) GROUP BY ALL),
+b AS (SELECT query_id, work_id, line_id, CAST(n AS DOUBLE) / least(qn, rn) AS score FROM s JOIN rn USING (line_id) JOIN qn USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id, work_id ORDER BY CAST(n AS DOUBLE) / least(qn, rn) DESC, line_id) = 1)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, work_id, line_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 5""")
+def overlap_coefficient_topn(spark, sf_dir):
+    """Short clips (the operator's input are clip-length texts) against all lines."""
+    queries = table(spark, sf_dir, "documents").filter("n_chars < 400")
+    return R.literal_search(queries, "doc_id", F.col("text"), bench_lines(spark, sf_dir), "work_id", "line_id", F.col("text"), top=5)
+
+
+@query("""WITH c AS (SELECT conv_id, turn, lower(text) AS a, lag(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+p AS (SELECT conv_id, turn, a, b, coalesce(list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: substring(a, 1, i) = substring(b, 1, i))), 0) AS n FROM c WHERE b IS NOT NULL)
+SELECT conv_id, turn, CAST(n AS INTEGER) AS common, least(1.0::DOUBLE, CASE WHEN length(b) > 0 THEN CAST(n AS DOUBLE) / length(b) ELSE 0 END + CASE WHEN length(b) > 0 AND string_split(a, ' ')[1] = string_split(b, ' ')[1] THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM p""")
+def lcp_prefix_pointer(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("a", F.lower("text")).withColumn("b", F.lag(F.lower("text")).over(w)).filter("b IS NOT NULL")
+    return rows.select("conv_id", "turn", G.common_prefix(F.col("a"), F.col("b")).alias("common"), G.prefix_score(F.col("a"), F.col("b")).alias("score"))
+
+
+@query(f"""WITH l AS ({SQL_LINES}), d AS (SELECT id, text FROM ({_SQL_DOC_LINES}) WHERE length(text) BETWEEN 12 AND 60),
+a AS (SELECT DISTINCT * FROM ({gram_rows('query_id, ql', 'SELECT id AS query_id, length(text) AS ql, text AS t FROM d', 3)})),
+b AS (SELECT DISTINCT * FROM ({gram_rows('line_id, tl', 'SELECT line_id, length(text) AS tl, text AS t FROM l', 3)})),
+s AS (SELECT query_id, line_id, count(*) AS shared FROM a JOIN b USING (gram) GROUP BY query_id, line_id, ql, tl HAVING tl >= 0.3 * ql AND tl <= 3.0 * ql)
+SELECT query_id, line_id, shared, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, line_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20""")
+def trigram_candidate_match(spark, sf_dir):
+    queries = doc_lines(spark, sf_dir).filter(F.length("text").between(12, 60))
+    return R.trigram_candidates(queries, "id", "text", bench_lines(spark, sf_dir), "line_id", "text", top=20).select("query_id", "line_id", "shared", "rank")
+
+
+def _best_ratio(spark, sf_dir, ratio) -> DataFrame:
+    lines = R.adjacent_pairs(bench_lines(spark, sf_dir), "work_id", "line_id", "text")
+    lines = lines.withColumn("pair_id", F.col("line_id") * 2 + F.col("paired").cast("int"))
+    queries = doc_lines(spark, sf_dir).filter(F.length("text").between(12, 200))
+    near = R.trigram_candidates(queries, "id", "text", lines, "pair_id", "text", top=50)
+    best = F.max(F.struct(ratio(F.col("q"), F.col("t")).alias("ratio"), (-F.col("line_id")).alias("neg")))
+    return near.groupBy("query_id").agg(best.alias("b")).select("query_id", (-F.col("b.neg")).alias("line_id"), F.col("b.ratio").alias("ratio"))
+
+
+@query()
+def fuzzy_sequence_match(spark, sf_dir):
+    """Candidates by shared trigrams (with adjacent pairs of lines), decided by the matching-blocks ratio."""
+    near = _best_ratio(spark, sf_dir, lambda a, b: M.sequence_ratio(a, b))
+    return near
+
+
+@query()
+def token_set_classify(spark, sf_dir):
+    """Accept from 0.80, review from 0.50, else none, by the token-set ratio."""
+    best = _best_ratio(spark, sf_dir, lambda a, b: M.token_set_ratio(a, b))
+    return best.withColumn("outcome", F.when(F.col("ratio") >= 0.8, "accept").when(F.col("ratio") >= 0.5, "review").otherwise("none"))
+
+
+# Alignment, decisions, validation.
+@query()
+def nw_align_ops(spark, sf_dir):
+    """Operations of aligning each short sentence with the item that retrieval gives it."""
+    rows = doc_lines(spark, sf_dir).filter(F.length("text").between(12, 120))
+    index = R.gram_index(table(spark, sf_dir, "benchmark"), "item_id", X.skeleton(F.col("text")))
+    top = R.top_with_margin(R.work_scores(rows, "id", X.skeleton(F.col("text")), index))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("work_id"), X.tokenize(F.col("text")).alias("ref"))
+    joined = rows.join(top, rows["id"] == top["query_id"]).join(R.broadcast_if_small(items, 20_000), "work_id")
+    a = A.align_udf("latin")(X.tokenize(F.col("text")), F.col("ref"), F.transform("ref", lambda _: F.col("work_id").cast("string")))
+    found = joined.withColumn("a", a)
+    return found.select("id", "work_id", A.label(F.col("a.ops"), F.col("a.relaxed"), LATIN).alias("decision"), A.op_count(F.col("a.ops"), "match").cast("long").alias("n_match"), A.op_count(F.col("a.ops"), "delete").cast("long").alias("n_delete"), F.size("a.ops").cast("long").alias("n_ops"))
+
+
+@query()
+def stage1_pipeline(spark, sf_dir):
+    """Canonical texts for the sentences of documents, sessions being sources."""
+    c = doc_lines(spark, sf_dir).select(F.col("id").alias("clip_id"), F.col("source").alias("session"), F.col("id").alias("ord"), "text", (F.length("text") / 15.0).alias("duration_s"))
+    return stages.canonical_stage(c, bench_lines(spark, sf_dir))
+
+
+_COUNTS = {"m": "l_quantity % 6", "f": "l_linenumber % 4", "g": "l_partkey % 2", "s": "l_suppkey % 2", "d": "l_orderkey % 5"}
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) % 6 AS m, l_linenumber % 4 AS f, l_partkey % 2 AS g, l_suppkey % 2 AS s, l_orderkey % 5 AS d, l_returnflag = 'R' AS x, l_linenumber % 2 AS c1 FROM lineitem),
+t AS (SELECT *, least(c1, f) AS cf, CASE WHEN least(c1, f) > 0 THEN f ELSE 0 END AS bd, m + f + g + s AS k, m + f + g + s + d AS n FROM c)
+SELECT l_orderkey, l_linenumber, CASE WHEN n = 0 THEN 'unchanged' WHEN k >= 0.95 * n AND f + g + s = 0 THEN 'matched' WHEN k >= 0.95 * n AND NOT x THEN CASE WHEN bd >= 2 THEN 'review' ELSE 'replaced' END
+WHEN NOT x AND cf = 0 AND g = 0 AND s = 0 AND bd = 0 AND m + f - cf > 0 THEN CASE WHEN f - cf > 0 THEN 'replaced' ELSE 'unchanged' END WHEN k >= 0.6 * n OR x THEN 'review' ELSE 'unchanged' END AS decision FROM t""")
+def decision_from_op_counts(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CAST(l_quantity AS INT) % 6 AS m", "l_linenumber % 4 AS f", "l_partkey % 2 AS g", "l_suppkey % 2 AS s", "l_orderkey % 5 AS d", "l_returnflag = 'R' AS x", "least(l_linenumber % 2, l_linenumber % 4) AS cf")
+    li = li.withColumn("bd", F.when(F.col("cf") > 0, F.col("f")).otherwise(0))
+    c = F.col
+    return li.select("l_orderkey", "l_linenumber", A.label_from_counts(c("m"), c("f"), c("g"), c("s"), c("d"), c("x"), c("cf"), c("bd")).alias("decision"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {tok('text')} AS p, lag({tok('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM conversations)
+SELECT conv_id, turn, CAST(abs(len(p) - len(c)) AS BIGINT) AS drift, CAST(len(list_filter(p, lambda t: NOT list_contains(c, t) AND NOT list_contains(list_transform(c, lambda u: {skel('u')}), {skel('t')}))) AS BIGINT) AS unseen FROM c WHERE c IS NOT NULL""")
+def validator_drift(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("p", X.tokenize(F.col("text"))).withColumn("c", F.lag("p").over(w)).filter("c IS NOT NULL")
+    rows = rows.withColumn("bones", F.transform("c", lambda t: X.skeleton(t)))
+    unseen = F.filter("p", lambda t: ~F.array_contains("c", t) & ~F.array_contains("bones", X.skeleton(t)))
+    return rows.select("conv_id", "turn", V.drift(F.col("c"), F.col("p")).cast("long").alias("drift"), F.size(unseen).cast("long").alias("unseen"))
+
+
+@query()
+def validator_reasons(spark, sf_dir):
+    """All checks of a proposed turn against the one before it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("c", F.lag("text").over(w)).filter("c IS NOT NULL")
+    return rows.select("conv_id", "turn", V.reasons(F.col("c"), F.col("text"), X.tokenize(F.col("c"))).alias("reasons"))
+
+
+@query("""SELECT doc_id, CASE WHEN upper(trim(v)) IN ('APPROVE', 'IMPROVED', 'REJECT') THEN upper(trim(v)) ELSE 'REJECT' END AS verdict, d IN ('exact', 'matched', 'replaced', 'replaced_llm', 'replaced_reviewed', 'unchanged_noop', 'simran') AS usable, d = 'review' OR (d = 'unchanged' AND toxic = 1) AS candidate
+FROM (SELECT doc_id, toxic, CASE WHEN toxic = 1 THEN 'maybe' WHEN quality = 1 THEN ' approve ' ELSE 'Improved' END AS v, CASE doc_id % 4 WHEN 0 THEN 'matched' WHEN 1 THEN 'review' WHEN 2 THEN 'unchanged' ELSE 'replaced_llm' END AS d FROM labels)""")
+def verdict_coerce_usable(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").selectExpr("doc_id", "toxic", "CASE WHEN toxic = 1 THEN 'maybe' WHEN quality = 1 THEN ' approve ' ELSE 'Improved' END AS v", "CASE doc_id % 4 WHEN 0 THEN 'matched' WHEN 1 THEN 'review' WHEN 2 THEN 'unchanged' ELSE 'replaced_llm' END AS d")
+    work = F.when(F.col("toxic") == 1, F.lit(1))
+    return rows.select("doc_id", V.coerce_verdict(F.col("v")).alias("verdict"), V.usable(F.col("d")).alias("usable"), V.stage2_candidate(F.col("d"), work).alias("candidate"))
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 1 AND quality = 1 THEN 'rv' WHEN quality = 1 THEN 'co' ELSE lang END AS text, CASE WHEN toxic = 1 AND quality = 1 THEN 'replaced_reviewed' WHEN quality = 1 THEN 'replaced_llm' ELSE 'validator_fallback' END AS decision FROM documents JOIN labels USING (doc_id)""")
+def pick_candidate(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    good, bad = F.col("quality") == 1, F.col("toxic") == 1
+    best = V.pick((F.lit("rv"), good & bad, F.lit("replaced_reviewed"), "reviewer"), (F.lit("co"), good, F.lit("replaced_llm"), "corrector"), default=F.col("lang"))
+    return rows.select("doc_id", best.alias("b")).select("doc_id", "b.text", "b.decision")
+
+
+# Joins and sets.
+@query("SELECT doc_id, lang, toxic, coalesce(quality, 9) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def sidecar_left_merge(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(9).alias("quality"))
+    return sinks.merge_sidecar(docs, table(spark, sf_dir, "labels"), "doc_id", ["toxic", "quality"])
+
+
+@query("SELECT doc_id, coalesce('llm_' || quality, 'sttm_' || lang) AS label FROM documents LEFT JOIN labels USING (doc_id)")
+def passthrough_default(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce(F.concat(F.lit("llm_"), F.col("quality").cast("string")), F.concat(F.lit("sttm_"), "lang")).alias("label"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_survivors(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_done(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+def id_intersection(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).intersect(table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def id_complement(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS value FROM documents")
+def dedup_compute_broadcast(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.length("text").cast("long").alias("n"))
+    once = S.map_distinct(docs, "h", lambda keys: docs.join(keys, "h").groupBy("h").agg(F.first("n").alias("value")))
+    return once.select("doc_id", "value")
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM pages QUALIFY row_number() OVER (PARTITION BY lower(regexp_extract(url, '://([^/?#]+)', 1)) ORDER BY page_id) = 1")
+def url_first_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "://([^/?#]+)", 1)).alias("host"))
+    return S.first_wins(rows, ["host"], ["page_id"])
+
+
+@query("SELECT DISTINCT eval_set, n_eval, n_leaked, n_leaked = 0 AS safe FROM (SELECT lang AS eval_set, count(DISTINCT doc_id) AS n_eval, count(DISTINCT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN doc_id END) AS n_leaked FROM documents GROUP BY lang)")
+def leak_audit(spark, sf_dir):
+    return S.leak_audit(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang")
+
+
+# Aggregates.
+@query("SELECT lang, source, n, CAST(floor(n * 1000000 / sum(n) OVER ()) AS BIGINT) AS ppm FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)")
+def decision_histogram(spark, sf_dir):
+    return P.histogram(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query(f"""SELECT lang, count(*) AS n, CAST(count(*) FILTER (n_chars < 200) AS BIGINT) AS short, CAST(count(*) FILTER (text LIKE '%!!%') AS BIGINT) AS marked, CAST(sum(len({tok('text')})) AS BIGINT) AS tokens FROM documents GROUP BY lang""")
+def one_pass_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 200).alias("short"), F.count_if(F.col("text").contains("!!")).alias("marked"), F.sum(F.size(X.tokenize(F.col("text")))).alias("tokens"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) / count(*) AS mean, median(l_quantity) AS median, min(l_quantity) AS least, max(l_quantity) AS greatest, CAST(count(*) FILTER (l_quantity >= 10) AS BIGINT) AS ge_10, CAST(count(*) FILTER (l_quantity >= 40) AS BIGINT) AS ge_40 FROM lineitem")
+def score_buckets(spark, sf_dir):
+    return P.bucket_counts(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), [10, 40])
+
+
+@query("""WITH v AS (SELECT l_suppkey, list_sort(list(l_quantity)) AS v, CAST(count(*) AS INT) AS n FROM lineitem GROUP BY l_suppkey), h AS (SELECT *, v[1 : n // 2] AS lo, v[n - n // 2 + 1 : n] AS hi FROM v)
+SELECT l_suppkey, CAST(n AS BIGINT) AS n, list_median(v) AS median, CASE WHEN n >= 4 THEN list_median(hi) - list_median(lo) END AS iqr FROM h""")
+def median_iqr(spark, sf_dir):
+    return P.median_iqr(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity")
+
+
+@query("SELECT s_nationkey, count(*) AS n, CAST(sum(CAST(l_quantity * 60 AS DECIMAL(18,4))) AS DOUBLE) AS seconds, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS bytes, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS names FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey")
+def media_totals(spark, sf_dir):
+    return P.totals(_media(spark, sf_dir), "est_secs", "size", "l_suppkey", "s_nationkey")
+
+
+def _media(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_quantity") * 60).alias("est_secs"), F.col("l_extendedprice").alias("size"))
+    return li.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+@query()
+def wer_cer(spark, sf_dir):
+    """Word and character error rates of each turn against the one before it, by role."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("ref", F.lag("text").over(w)).filter("ref IS NOT NULL")
+    words = P.error_rate(rows, M.word_edits(F.col("ref"), F.col("text")), F.size(X.tokenize(F.col("ref"))), "role").select("role", F.col("rate").alias("wer"))
+    chars = P.error_rate(rows, F.levenshtein("ref", "text"), F.length("ref"), "role").select("role", F.col("rate").alias("cer"))
+    return words.join(chars, "role")
+
+
+@query("""WITH e AS (SELECT c_nationkey AS k, c_custkey AS s, c_acctbal AS m FROM customer), r AS (SELECT *, min(m) OVER w1 AS before, min(m) OVER w0 AS best, row_number() OVER (PARTITION BY k ORDER BY s) AS i FROM e WINDOW w1 AS (PARTITION BY k ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w0 AS (PARTITION BY k ORDER BY s ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, coalesce(m < before, TRUE) AS improved FROM r) SELECT k, s, m, improved, best, max(CAST(improved AS INT)) OVER (PARTITION BY k ORDER BY s ROWS 2 PRECEDING) = 0 AND i > 3 AS stop FROM q""")
+def early_stop(spark, sf_dir):
+    return P.running_best(table(spark, sf_dir, "customer").selectExpr("c_nationkey AS k", "c_custkey AS s", "c_acctbal AS m"), "k", "s", "m")
+
+
+# Sampling.
+def _md5(x: str) -> str:
+    return f"md5('42|' || {x})"
+
+
+@query(f"""WITH c AS (SELECT event_id, user_id, {_md5('event_id')} AS h FROM events WHERE event_type = 'click'), cap AS (SELECT greatest(1, least(10, CAST(ceil(300.0 / count(DISTINCT user_id)) AS INT))) AS k FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h, event_id) AS t FROM c), s AS (SELECT event_id, row_number() OVER (ORDER BY t, user_id) AS i FROM r, cap WHERE t <= k)
+SELECT event_id FROM s WHERE i <= 300 UNION ALL SELECT event_id FROM events WHERE event_type <> 'click'""")
+def chant_quota(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("chant", F.col("event_type") == "click")
+    return S.chant_quota(events, "chant", "user_id", "event_id", target=300).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'click' UNION ALL SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_type = 'click') WHERE r <= 2")
+def first_n_per_item(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("chant", F.col("event_type") == "click")
+    return S.first_per_group(events, ["user_id"], "chant", "event_id").select("event_id")
+
+
+@query("WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 60 AS BIGINT) AS q, coalesce(sum(CAST(l_quantity * 60 AS BIGINT)) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lineitem) SELECT l_orderkey, l_linenumber FROM s WHERE b < 360000")
+def budget_prefix(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 60).cast("long").alias("q"))
+    return S.budget_prefix(li, ["l_orderkey", "l_linenumber", "l_partkey"], "q", 360_000).select("l_orderkey", "l_linenumber")
+
+
+@query("WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey, coalesce(sum(CAST(l_quantity * 60 AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber FROM s WHERE b < 36000")
+def artist_hour_cap(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 60).cast("long").alias("q"))
+    return S.budget_prefix(li, ["l_orderkey", "l_linenumber", "l_partkey"], "q", 36_000, ["l_suppkey"]).select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("WITH t AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn FROM orders) SELECT o_orderkey, o_custkey, CAST(turn AS INTEGER) AS turn FROM t QUALIFY row_number() OVER (ORDER BY turn, o_custkey) <= 1000")
+def round_robin_balance(spark, sf_dir):
+    return S.round_robin(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", ["o_orderkey"], 1000)
+
+
+@query("SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) - 1 BETWEEN 500 AND 799 THEN 'val' ELSE 'train' END AS split FROM orders")
+def offset_split(spark, sf_dir):
+    return S.offset_split(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 500, 300)
+
+
+@query("""WITH g AS (SELECT o_custkey, n, coalesce(sum(n) OVER (ORDER BY n, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)),
+vb AS (SELECT min(b) AS v FROM g), tb AS (SELECT min(b) AS t FROM g, vb WHERE b >= v + 50),
+l AS (SELECT o_custkey, CASE WHEN b >= v AND b < v + 50 THEN 'val' WHEN b >= t AND b < t + 80 THEN 'test' ELSE 'train' END AS split FROM g, vb, tb),
+r AS (SELECT o_orderkey, split, row_number() OVER (PARTITION BY split ORDER BY o_custkey, o_orderkey) AS i FROM orders JOIN l USING (o_custkey))
+SELECT o_orderkey, CASE WHEN (split = 'val' AND i > 50) OR (split = 'test' AND i > 80) THEN 'dropped' ELSE split END AS split FROM r""")
+def group_disjoint_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return S.group_disjoint_split(rows, "o_custkey", "o_orderkey", {"val": 50, "test": 80}).select("o_orderkey", "split")
+
+
+@query(f"SELECT doc_id, CASE WHEN r % 2 = 1 THEN 'eval' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY {_md5('doc_id')}, doc_id) AS r FROM documents) WHERE r <= 6")
+def capped_halves(spark, sf_dir):
+    return S.capped_halves(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 6).select("doc_id", "split")
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (lang = 'en') AS b, count(*) FILTER (lang <> 'en') AS a FROM documents), t AS (SELECT a, CAST(floor(b * 0.6 / (1 - 0.6)) AS BIGINT) AS t FROM c), m AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang <> 'en')
+SELECT doc_id, 1 AS copy FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, CAST(unnest(range(1, CASE WHEN t > a THEN t // a + CASE WHEN i < t % a THEN 1 ELSE 0 END ELSE 1 END + 1)) AS INTEGER) FROM m, t""")
+def oversample_mix(spark, sf_dir):
+    return S.oversample(table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("lang") != "en", 0.6, "doc_id").select("doc_id", "copy")
+
+
+@query("SELECT doc_id, CAST(unnest(range(1, CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 3 ELSE 2 END + 1)) AS INTEGER) AS copy FROM documents")
+def repeat_mix(spark, sf_dir):
+    weight = F.when(F.col("lang") == "en", 5).when(F.col("lang") == "fr", 3).otherwise(2)
+    return S.repeat_mix(table(spark, sf_dir, "documents").select("doc_id", "lang"), weight).select("doc_id", "copy")
+
+
+@query(f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_md5('doc_id')}, doc_id) <= 40 THEN 'test' ELSE 'train' END AS split FROM documents")
+def hash_split(spark, sf_dir):
+    return S.hash_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 40)
+
+
+@query(f"SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_md5('doc_id')}, doc_id) <= 5")
+def sample_per_class(spark, sf_dir):
+    return S.sample_per_class(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 5)
+
+
+# Segments and streams.
+def _events(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return rows.withColumn("start", seconds).withColumn("end", F.col("start") + 600.0)
+
+
+_SQL_EVENTS = "SELECT *, epoch_us(ts) / 1e6 AS start, epoch_us(ts) / 1e6 + 600.0 AS \"end\" FROM events"
+
+
+@query(f"""WITH e AS ({_SQL_EVENTS}), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY start, "end", event_id ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY user_id ORDER BY start, "end", event_id) > 21600 THEN 1 ELSE 0 END AS o FROM e)),
+p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, grp ORDER BY start, "end", event_id) - 1) // 15 AS part FROM g)
+SELECT user_id, CAST(grp AS BIGINT) AS "group", CAST(part AS BIGINT) AS part, min(start) AS seg_start, max("end") AS seg_end, count(*) AS n FROM p GROUP BY user_id, grp, part""")
+def pause_segments(spark, sf_dir):
+    rows = E.pause_segments(_events(spark, sf_dir), "user_id", "start", "end", gap=21600.0)
+    return rows.withColumns({"group": F.col("group").cast("long"), "part": F.col("part").cast("long")})
+
+
+@query(f"""WITH e AS ({_SQL_EVENTS}), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY user_id ORDER BY start, "end") > 7200 THEN 1 ELSE 0 END AS o FROM e)),
+p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, grp ORDER BY start, "end") - 1) // 2 AS pair FROM g),
+a AS (SELECT user_id, grp, pair, min(start) AS start, max("end") AS "end", string_agg(event_type, ' ' ORDER BY start, event_type) AS event_type, count(*) AS n_cues FROM p GROUP BY user_id, grp, pair)
+SELECT user_id, CAST(grp AS BIGINT) AS "group", CAST(pair AS BIGINT) AS pair, start, least("end", coalesce(lead(start) OVER (PARTITION BY user_id ORDER BY start, "end"), "end")) AS "end", event_type, n_cues FROM a""")
+def cue_pairing(spark, sf_dir):
+    rows = E.pair_cues(_events(spark, sf_dir), "user_id", "start", "end", "event_type", gap=7200.0)
+    return rows.withColumns({"group": F.col("group").cast("long"), "pair": F.col("pair").cast("long")})
+
+
+@query(f"SELECT event_id, CAST(floor((start + \"end\") / 2 / 3600) AS BIGINT) AS bucket FROM ({_SQL_EVENTS})")
+def midpoint_buckets(spark, sf_dir):
+    return E.midpoint_buckets(_events(spark, sf_dir), "start", "end", 3600.0).select("event_id", F.col("bucket").cast("long").alias("bucket"))
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS i, i * 20.0::DOUBLE AS win_start, least(i * 20.0::DOUBLE + 20, total) AS win_end FROM (SELECT doc_id, n_chars / 15.0::DOUBLE AS total, unnest(range(0, CAST(ceil(n_chars / 15.0::DOUBLE / 20) AS BIGINT))) AS i FROM documents) WHERE least(i * 20.0::DOUBLE + 20, total) - i * 20.0::DOUBLE >= 5")
+def tail_windows(spark, sf_dir):
+    return E.tail_windows(clips(spark, sf_dir), "duration_s", 20.0, 5.0).select(F.col("clip_id").alias("doc_id"), "i", "win_start", "win_end")
+
+
+@query("""WITH e AS (SELECT *, lead(ts) OVER w AS nx, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT user_id, event_type, min(ts) AS seg_start, coalesce(max(nx), max(ts)) AS seg_end, count(*) AS n FROM r GROUP BY user_id, run, event_type""")
+def events_to_segments(spark, sf_dir):
+    return E.events_to_segments(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", ["ts", "event_id"])
+
+
+@query("SELECT event_id, user_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
+def push_dedup(spark, sf_dir):
+    return E.push_dedup(table(spark, sf_dir, "events"), "user_id", ["event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query(f"""WITH e AS ({_SQL_EVENTS}), a AS (SELECT * FROM e WHERE event_id % 2 = 0), b AS (SELECT * FROM e WHERE event_id % 2 = 1)
+SELECT a.event_id AS id, b.event_id AS other, b.start - a.start AS delta FROM a JOIN b ON a.event_type = b.event_type AND abs(b.start - a.start) <= 600 QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY abs(b.start - a.start), b.event_id) = 1""")
+def proximity_join_delta(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return E.proximity_join(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "event_type", "start", "event_id", 600.0)
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '20 minutes', ts, TIMESTAMP '1970-01-01') AS win_start, time_bucket(INTERVAL '20 minutes', ts, TIMESTAMP '1970-01-01') + INTERVAL '20 minutes' AS win_end, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_windows(spark, sf_dir):
+    return tracker.tumbling(table(spark, sf_dir, "events"), "ts", "20 minutes", "event_type")
+
+
+@query("""SELECT event_type, w AS win_start, w + INTERVAL '10 minutes' AS win_end, count(*) AS n FROM (SELECT event_type, ts, unnest([time_bucket(INTERVAL '8 minutes', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '8 minutes', ts, TIMESTAMP '1970-01-01') - INTERVAL '8 minutes']) AS w FROM events) WHERE ts < w + INTERVAL '10 minutes' GROUP BY ALL""")
+def sliding_commit_carry(spark, sf_dir):
+    return tracker.commit_and_carry(table(spark, sf_dir, "events"), "ts", "10 minutes", "8 minutes", "event_type")
+
+
+def _observations(spark, sf_dir) -> DataFrame:
+    score = F.col("value") / (F.abs(F.col("value")) + 20.0)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", "event_id", F.col("event_type").alias("work"), score.alias("score"))
+
+
+@query()
+def streaming_replay(spark, sf_dir):
+    """Smoothing, locking and pushes for every user's events in order."""
+    return tracker.replay(_observations(spark, sf_dir))
+
+
+# Vectors.
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) > 0 AS BOOLEAN) AS filled, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
+def vec_normalize(spark, sf_dir):
+    rows = K.normalize(table(spark, sf_dir, "embeddings"), "embedding")
+    return rows.select("vec_id", (F.abs(G.norm(F.col("embedding")) - 1) < 1e-6).alias("filled"), F.size("embedding").cast("long").alias("n"))
+
+
+_SQL_UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS v FROM embeddings"
+_SQL_KNN = f"u AS ({_SQL_UNIT}), s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, r.label, list_inner_product(q.v, r.v) AS score FROM u q, u r WHERE q.vec_id % 100 = 0), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10)"
+
+
+def _knn(spark, sf_dir) -> DataFrame:
+    unit = K.normalize(table(spark, sf_dir, "embeddings"), "embedding")
+    return K.knn(unit.filter("vec_id % 100 = 0"), "vec_id", unit, "vec_id", "embedding", 10)
+
+
+@query(f"WITH {_SQL_KNN} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(CAST(score AS DECIMAL(10,4)) AS DOUBLE) AS score FROM h")
+def knn_topk(spark, sf_dir):
+    return _knn(spark, sf_dir).select("query_id", "id", "rank", F.col("score").cast("decimal(10,4)").cast("double").alias("score"))
+
+
+@query(f"WITH {_SQL_KNN} SELECT query_id, label, CAST(count(*) AS BIGINT) AS hits, CAST(CAST(max(score) AS DECIMAL(10,4)) AS DOUBLE) AS best FROM h GROUP BY query_id, label")
+def two_layer_groups(spark, sf_dir):
+    hits = _knn(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    return K.group_hits(hits, "label").select("query_id", "label", "hits", F.col("best").cast("decimal(10,4)").cast("double").alias("best"))
+
+
+@query(f"WITH {_SQL_KNN} SELECT query_id, CASE WHEN score >= 0.3 THEN id END AS id, CASE WHEN score >= 0.3 THEN 'snapped' ELSE 'none' END AS tag FROM h WHERE rank = 2")
+def snap_threshold(spark, sf_dir):
+    second = _knn(spark, sf_dir).filter("rank = 2").withColumn("rank", F.lit(1))
+    return K.snap(second, 0.3)
+
+
+@query("""WITH p AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m, count(*) AS n FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY label, i), s AS (SELECT label, any_value(n) AS n, sqrt(sum(m * m)) AS r, max(CASE WHEN i = 1 THEN m END) AS m1 FROM p GROUP BY label)
+SELECT label, n, CAST(CAST(m1 / r AS DECIMAL(10,4)) AS DOUBLE) AS x1 FROM s""")
+def work_mean_pool(spark, sf_dir):
+    rows = K.mean_pool(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return rows.select("label", "n", F.get("embedding", F.lit(0)).cast("decimal(10,4)").cast("double").alias("x1"))
+
+
+@query()
+def hybrid_blend(spark, sf_dir):
+    """Vector hits blended with a literal score (shared neighbours' share), with the work-level search as witness."""
+    hits = _knn(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    groups = K.group_hits(hits, "label")
+    literal = groups.select("query_id", "label", (F.col("hits") / 10.0).alias("overlap"))
+    pooled = K.mean_pool(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("label", F.col("label").cast("long"))
+    unit = K.normalize(table(spark, sf_dir, "embeddings"), "embedding").filter("vec_id % 100 = 0")
+    top = K.knn(unit, "vec_id", pooled, "label", "embedding", 1).select("query_id", F.col("id").cast("int").alias("label"))
+    return K.hybrid(groups, "label", literal, top, floor=0.1)
+
+
+# Sources and sinks.
+@query("""SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS hrefs, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
+def html_hrefs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", parsers.hrefs(F.col("html")).alias("hrefs"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def props_json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-def scan_prune_filter_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.selectExpr("doc_id", "n_chars / 15.0D AS duration_s").filter("duration_s <= 30")
+@query("SELECT conv_id, chunk, conv_id || '_' || chunk AS custom_id, count(*) AS n FROM (SELECT conv_id, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS BIGINT) AS chunk FROM conversations) GROUP BY conv_id, chunk")
+def chunked_request_groups(spark, sf_dir):
+    return sinks.chunked_requests(table(spark, sf_dir, "conversations"), "conv_id", "turn", 3, "role", "text").drop("request")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"scan_prune_filter_duration": scan_prune_filter_duration}
-ORACLE_SQL: dict[str, str] = {"scan_prune_filter_duration": "SELECT doc_id, n_chars / 15.0::DOUBLE AS duration_s FROM documents WHERE n_chars / 15.0::DOUBLE <= 30"}
-FLAGSHIP = "scan_prune_filter_duration"
+@query()
+def seam_merge_fold(spark, sf_dir):
+    """Each turn's last words joined with the next turn's first, overlaps dropped."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("a", X.tokenize(F.col("text"))).withColumn("b", F.lead("a").over(w)).filter("b IS NOT NULL")
+    return rows.select("conv_id", "turn", F.size(X.seam_merge(F.col("a"), F.col("b"))).cast("long").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import text as X
 
@@ -22,7 +23,7 @@ def json3_words(files: DataFrame, content: str, *keep: str) -> DataFrame:
     """(keep.., t_s, word): each piece at its absolute time, bracketed tags dropped."""
     events = files.select(*keep, F.explode(F.from_json(content, CAPTION_EVENTS)["events"]).alias("e"))
     words = events.select(*keep, "e.tStartMs", F.explode("e.segs").alias("s"))
-    word = F.trim("s.utf8")
+    word = X.collapse(F.col("s.utf8"))
     return words.select(*keep, ((F.col("tStartMs") + F.coalesce("s.tOffsetMs", F.lit(0))) / 1000).alias("t_s"), word.alias("word")).filter((word != "") & ~word.startswith("["))
 
 
@@ -82,7 +83,7 @@ def embedded_json(html: Column, marker: str = "__NEXT_DATA__") -> Column:
     return F.when(value != "", value)
 
 
-@F.udtf(returnType="id string, title string, url string")
+@F.udtf(returnType=T.StructType([T.StructField(n, T.StringType()) for n in ("id", "title", "url")]))
 class JsonObjects:
     """All objects with an id and a url anywhere in a JSON text, in the order of a depth-first walk."""
 
