@@ -438,10 +438,10 @@ def sidecar_left_merge(spark, sf_dir):
     return sinks.merge_sidecar(docs, table(spark, sf_dir, "labels"), "doc_id", ["toxic", "quality"])
 
 
-@query("SELECT doc_id, coalesce('llm_' || quality, 'sttm_' || lang) AS label FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, coalesce('llm_' || quality, 'kept_' || lang) AS label FROM documents LEFT JOIN labels USING (doc_id)")
 def passthrough_default(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.concat(F.lit("llm_"), F.col("quality").cast("string")), F.concat(F.lit("sttm_"), "lang")).alias("label"))
+    return rows.select("doc_id", F.coalesce(F.concat(F.lit("llm_"), F.col("quality").cast("string")), F.concat(F.lit("kept_"), "lang")).alias("label"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
