@@ -344,7 +344,8 @@ def near_duplicates(
 
     classes = known.groupBy("key").agg(F.min("id").alias("rep"))
     classes = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component"))
-    out = sketch.join(classes, "key", "left")
+    # Written first: the join then has exchanges of its own, which adaptive execution may split where a class is hot.
+    out = sketch.join(materialize(classes, "classes"), "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"),

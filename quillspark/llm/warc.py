@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.plans.storage import materialize
+
 #: Payloads from this size on are stored once; later ones revisit.
 LEAST_REVISIT = 1000
 #: Pages per archive file, so that one file fits a task's memory.
@@ -58,7 +60,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     base = base.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
     # The key and id of the page that stands for each payload; a place breaks ties between rows of one id.
     shared = base.filter(F.col("size") >= LEAST_REVISIT).groupBy("sha1", "size").agg(F.max(F.struct("id", "place")).alias("top"), F.count("*").alias("n"))
-    shared = shared.filter("n > 1").select("sha1", "size", "top")
+    # Written first: the join then has exchanges of its own, which adaptive execution may split where a payload is hot.
+    shared = materialize(shared.filter("n > 1").select("sha1", "size", "top"), "shared_payloads")
     base = base.join(shared, ["sha1", "size"], "left")
     revisit = F.col("top").isNotNull() & (F.col("place") != F.col("top.place"))
     base = base.withColumn("revisit", revisit)
