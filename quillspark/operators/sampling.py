@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Groups up to which their splits are broadcast; beyond, the join shuffles.
+BROADCAST_GROUPS = 100_000
+
 
 def hash_order(id_: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), id_.cast("string")).cast("binary"))
@@ -84,19 +87,18 @@ def group_disjoint_split(rows: DataFrame, group: str, id_: str, sizes: dict[str,
     groups = rows.groupBy(group).agg(F.count("*").alias("_n"))
     groups = running_total(groups, ["_n", group], "_n", "_before")
     # A split starts with the first group after the one in which its predecessor's size was reached.
-    out, start = groups.withColumn("split", F.lit("train")), F.lit(0).cast("long")
+    out, start = groups.withColumn("split", F.lit("train")), 0
     for name, size in sizes.items():
-        begin = groups.filter(F.col("_before") >= start).agg(F.min("_before")).first()[0] if not isinstance(start, Column) else 0
+        begin = groups.filter(F.col("_before") >= start).agg(F.min("_before")).first()[0]
         if begin is None:
             break
         out = out.withColumn("split", F.when((F.col("_before") >= begin) & (F.col("_before") < begin + size), name).otherwise(F.col("split")))
         start = begin + size
-    labelled = rows.join(F.broadcast(out.select(group, "split")) if groups.count() <= 100_000 else out.select(group, "split"), group)
+    side = out.select(group, "split")
+    labelled = rows.join(F.broadcast(side) if groups.count() <= BROADCAST_GROUPS else side, group)
     held = labelled.filter("split <> 'train'")
     trimmed = running_total(held.withColumn("_one", F.lit(1).cast("long")), ["split", group, id_], "_one", "_at")
-    first = Window.partitionBy("split")
     limit = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))])[F.col("split")]
-    del first
     starts = trimmed.groupBy("split").agg(F.min("_at").alias("_from"))
     trimmed = trimmed.join(F.broadcast(starts), "split").withColumn("split", F.when(F.col("_at") - F.col("_from") < limit, F.col("split")).otherwise("dropped"))
     return labelled.filter("split = 'train'").unionByName(trimmed.select(*labelled.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import text as X
+from quillspark.plans.storage import materialize
 
 CAPTION_EVENTS = "struct<events:array<struct<tStartMs:bigint,dDurationMs:bigint,segs:array<struct<utf8:string,tOffsetMs:bigint>>>>>"
 
@@ -70,7 +71,7 @@ def walk_listings(pages: DataFrame, url: str, html: str, start: str, rounds: int
     seen = pages.sparkSession.createDataFrame([(start, 0)], "url string, depth int")
     for depth in range(1, rounds + 1):
         new = seen.filter(F.col("depth") == depth - 1).join(links, F.col("url") == F.col("at")).select(F.col("to").alias("url")).distinct()
-        new = new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint() if pages.sparkSession.sparkContext.getCheckpointDir() else new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).cache()
+        new = materialize(new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), "listings")
         if new.isEmpty():
             break
         seen = seen.unionByName(new)

@@ -76,3 +76,25 @@ def test_parsers(spark):
     line = '{"custom_id":"w_0","response":{"body":{"choices":[{"message":{"content":"{\\"results\\":[{\\"id\\":\\"c1\\",\\"text\\":\\"t\\",\\"verdict\\":\\"APPROVE\\"}]}"}}]}}}'
     good, bad = parsers.batch_outputs(spark.createDataFrame([(line,), ('{"custom_id":"w_1","error":"x"}',)], "l string"), "l")
     assert good.count() == 1 and bad.count() == 1
+
+
+def test_walk_listings(spark):
+    from quillspark.sources import parsers
+
+    rows = [("root", '<a href="?dir=a">a</a> <a href="?dir=b%20c">b</a>'), ("a", '<a href="?dir=root">up</a><a href="x.mp3">x</a> <span>1.5 MB</span>'), ("b c", ""), ("other", '<a href="?dir=a">a</a>')]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    assert {(r.url, r.depth) for r in parsers.walk_listings(pages, "url", "html", "root").collect()} == {("root", 0), ("a", 1), ("b c", 1)}
+    files = parsers.directory_listing(pages.filter("url = 'a'"), "html", "url").collect()
+    assert [(f.name, f.href, f.size_bytes) for f in files] == [("x", "x.mp3", 1_500_000)]
+
+
+def test_stage2_merge(spark):
+    from quillspark.operators import stages
+
+    rows = spark.createDataFrame([(1, "review", 7, "teri saran"), (2, "matched", 7, "teri"), (3, "unchanged", None, "x"), (4, "review", 7, "teri saran")], "clip_id long, decision string, work_id long, final_text string")
+    corrector = spark.createDataFrame([(1, "teri sarani"), (4, "completely different words here now")], "clip_id long, corrected string")
+    reviewer = spark.createDataFrame([(1, "approve", None)], "clip_id long, verdict string, improved string")
+    words = spark.createDataFrame([(7, ["teri", "sarani"])], "work_id long, words array<string>")
+    out = {r.clip_id: (r.decision2, r.final_text2, r.usable) for r in stages.review_stage(rows, corrector, reviewer, words).collect()}
+    assert out[1] == ("replaced_llm", "teri sarani", True) and out[2] == ("matched", "teri", True)
+    assert out[3] == ("unchanged", "x", False) and out[4] == ("validator_fallback", "teri saran", False)
