@@ -261,3 +261,16 @@ def test_quality_and_gumbel(spark):
     assert r[1].selected and not r[2].selected and not r[3].selected and r[4].accepted
     values = spark.createDataFrame([(float(v),) for v in [5, 1, 9, 9, 3, -4, 1e9, -1e9]], "v double")
     assert [quality.kth_greatest(values, "v", k) for k in (1, 2, 3, 5, 8)] == [1e9, 9.0, 9.0, 3.0, -1e9]
+
+
+@pytest.mark.parametrize("query_terms", [40, 10**6])
+def test_search_blocks(spark, query_terms):
+    """Blocks of queries and shards change nothing; queries without a known word get no rows; equal rows and ids are ranked each."""
+    rows = [(i, prose(i, 20)) for i in range(90)] + [(90, prose(3, 20)), (90, prose(3, 20))]
+    asked = [(1, prose(3, 20)), (2, "unheard of"), (3, None), (4, prose(5, 10)), (4, prose(6, 10)), (5, prose(7, 400))]
+    table = spark.createDataFrame(asked, "doc_id long, text string")
+    found = search.top_k(docs(spark, rows).repartition(3), table, k=4, shard_docs=7, query_terms=query_terms).collect()
+    whole = search.top_k(docs(spark, rows).coalesce(1), table, k=4).collect()
+    assert sorted(found) == sorted(whole) and {r.query_id for r in found} == {1, 4, 5}
+    assert [r.doc_id for r in sorted(found) if r.query_id == 1][:3] == [3, 90, 90]
+    assert search.top_k(docs(spark, rows), table.filter("doc_id = 2"), k=4).count() == 0
