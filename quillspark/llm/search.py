@@ -108,7 +108,7 @@ class Shard:
         count = np.frombuffer(tf, dtype=f"u{len(tf) // max(1, len(self.doc)) or 1}").astype(np.float64)
         norm = K1 * (1 - B + B * np.frombuffer(lengths, dtype=np.int64) / mean)
         self.impact = count * (K1 + 1) / (count + norm[self.doc])
-        first = np.concatenate([[0], np.cumsum(np.frombuffer(df, dtype=np.int32), dtype=np.int64)])
+        self.list = first = np.concatenate([[0], np.cumsum(np.frombuffer(df, dtype=np.int32), dtype=np.int64)])
         block = self.doc // BLOCK_DOCS
         cut = np.zeros(len(self.doc), dtype=bool)
         cut[first[:-1]] = True
@@ -121,16 +121,28 @@ class Shard:
         self.blocks = len(self.ids) // BLOCK_DOCS + 1
         self.evaluated = 0
 
-    def _score(self, entries: np.ndarray, weight: np.ndarray, scores: np.ndarray) -> None:
-        """Add the impacts of these (term, block) entries, in the order of terms."""
+    def _score(self, entries: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums of the impacts of these (term, block) entries, in the order of terms."""
         sizes = self.end[entries] - self.start[entries]
-        total = int(sizes.sum())
-        self.evaluated += total
+        self.evaluated += (total := int(sizes.sum()))
         at = np.arange(total) + np.repeat(self.start[entries] - (np.cumsum(sizes) - sizes), sizes)
-        scores += np.bincount(self.doc[at], weights=self.impact[at] * np.repeat(weight, sizes), minlength=len(scores))
+        return np.bincount(self.doc[at], weights=self.impact[at] * np.repeat(weight, sizes), minlength=self.blocks * BLOCK_DOCS)
+
+    def _score_lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The same of whole lists, which are read in place."""
+        lists = [slice(a, b) for a, b in zip(self.list[terms].tolist(), self.list[terms + 1].tolist(), strict=True)]
+        sizes = self.list[terms + 1] - self.list[terms]
+        self.evaluated += int(sizes.sum())
+        impacts = np.concatenate([self.impact[x] for x in lists])
+        impacts *= np.repeat(weights, sizes)
+        return np.bincount(np.concatenate([self.doc[x] for x in lists]), weights=impacts, minlength=self.blocks * BLOCK_DOCS)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, best: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        """The k best (-score, id) of this shard and of ``best``, in order; only documents that share a term. Scores have six places."""
+        """The k best (-score, id) of this shard and of ``best``, in order; only documents that share a term. Scores have six places.
+
+        Without k scores so far, the most promising blocks are evaluated first.  Then those follow that can still reach
+        the k-th score: entry by entry, or, where they are most of the lists, by whole lists.
+        """
         own = np.searchsorted(self.vocabulary, terms)
         known = own < len(self.vocabulary)
         known[known] = self.vocabulary[own[known]] == terms[known]
@@ -140,21 +152,24 @@ class Shard:
         lows = self.first[own]
         sizes = self.first[own + 1] - lows
         entries = np.arange(int(sizes.sum())) + np.repeat(lows - (np.cumsum(sizes) - sizes), sizes)
-        weight = np.repeat(weights, sizes)
-        bound = np.bincount(self.block[entries], weights=self.most[entries] * weight, minlength=self.blocks)
-        scores, order = np.zeros(self.blocks * BLOCK_DOCS), np.argsort(-bound, kind="stable")
-        floor = -best[-1][0] if len(best) == k else 0.0
-        done, least, step = 0, floor, max(4, -(-2 * k // BLOCK_DOCS))
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= least - 1e-5:
-            chosen = np.zeros(self.blocks, dtype=bool)
-            part = order[done : done + step]
-            chosen[part[bound[part] >= least - 1e-5]] = True
-            mask = chosen[self.block[entries]]
-            self._score(entries[mask], weight[mask], scores)
-            done, step = done + step, step * 4
-            if len(scores) >= k:
-                least = max(floor, np.partition(scores, -k)[-k])
+        weight, block = np.repeat(weights, sizes), self.block[entries]
+        bound = np.bincount(block, weights=self.most[entries] * weight, minlength=self.blocks)
+        scores, chosen = np.zeros(self.blocks * BLOCK_DOCS), np.zeros(self.blocks, dtype=bool)
+        least = -best[-1][0] if len(best) == k else 0.0
+        if not least and len(scores) > k:
+            chosen[np.argsort(-bound, kind="stable")[: max(4, -(-2 * k // BLOCK_DOCS))]] = True
+            mask = chosen[block]
+            scores = self._score(entries[mask], weight[mask])
+            least = np.partition(scores, -k)[-k]
+        alive = (bound > 0) & (bound >= least - 1e-5) & ~chosen
+        mask = alive[block]
+        if 2 * np.count_nonzero(mask) > len(mask):
+            scores = self._score_lists(own, weights)
+        elif mask.any():
+            scores += self._score(entries[mask], weight[mask])
         hit = np.flatnonzero((scores > 0) & (scores >= least - 1e-5))
+        if len(hit) > k:
+            hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - 1e-5]
         return sorted([*best, *((-round(float(scores[i]), 6), int(self.ids[i])) for i in hit)])[:k]
 
 
@@ -212,7 +227,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     asked_path, found_path = new_path(spark, "queries"), new_path(spark, "found")
     weighted.write.partitionBy("block").parquet(asked_path)
     asked = spark.read.schema("query_id long, terms array<long>, weights array<double>, block int").parquet(asked_path)
-    postings = index.select("ids", "lengths", "vocabulary", "df", "doc", "tf")
+    # A task takes many shards: its scores so far prune the next ones, and it gives out k rows a query for all of them.
+    postings = index.select("ids", "lengths", "vocabulary", "df", "doc", "tf").coalesce(spark.sparkContext.defaultParallelism)
     for block in range(blocks):
         rows = asked.filter(F.col("block") == block).select("query_id", "terms", "weights").toArrow()
         terms, weights = rows.column("terms").combine_chunks(), rows.column("weights").combine_chunks()
