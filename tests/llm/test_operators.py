@@ -140,6 +140,17 @@ def test_near_duplicates_against_brute_force(spark, similarity):
     assert found == plain_components(rows, *similarity)
 
 
+def test_components_of_chains(spark):
+    n, rng = 600, np.random.default_rng(3)
+    falling, shuffled = [1, *range(n, 1, -1)], (rng.permutation(n) + 1001).tolist()
+    rows = list(itertools.pairwise(falling)) + [(b, a) for a, b in itertools.pairwise(shuffled)]
+    rows += [(3000, 3000 + i) for i in range(1, 50)] + [(4000 + i, 4050) for i in range(50)] + [(5000, 5000), *rows[:9]]
+    found = {r.id: r.label for r in minhash.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    expected = dict.fromkeys(falling, 1) | dict.fromkeys(shuffled, 1001) | dict.fromkeys(range(3000, 3050), 3000)
+    assert found == expected | dict.fromkeys(range(4000, 4051), 4000) | {5000: 5000}
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_bayesian_bounds():
     rows, bands = minhash.plan_bands(0.85, 1e-6)
     assert (1 - 0.85**rows) ** bands <= 1e-6
