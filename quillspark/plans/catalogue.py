@@ -320,6 +320,12 @@ def overlap_coefficient_topn(spark, sf_dir):
     return R.literal_search(queries, "doc_id", F.col("text"), bench_lines(spark, sf_dir), "work_id", "line_id", F.col("text"), top=5)
 
 
+@query(ORACLE_SQL["overlap_coefficient_topn"].replace(" WHERE n_chars < 400", ""))
+def overlap_coefficient_topn_whole(spark, sf_dir):
+    """All documents, of any length, against all lines."""
+    return R.literal_search(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), bench_lines(spark, sf_dir), "work_id", "line_id", F.col("text"), top=5)
+
+
 @query("""WITH c AS (SELECT conv_id, turn, lower(text) AS a, lag(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
 p AS (SELECT conv_id, turn, a, b, coalesce(list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: substring(a, 1, i) = substring(b, 1, i))), 0) AS n FROM c WHERE b IS NOT NULL)
 SELECT conv_id, turn, CAST(n AS INTEGER) AS common, least(1.0::DOUBLE, CASE WHEN length(b) > 0 THEN CAST(n AS DOUBLE) / length(b) ELSE 0 END + CASE WHEN length(b) > 0 AND string_split(a, ' ')[1] = string_split(b, ' ')[1] THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM p""")
