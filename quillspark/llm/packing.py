@@ -27,8 +27,10 @@ CACHE_WORDS = 300_000
 
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼-¾"
+#: White space to the tokenizer; Python's own class has U+001C to U+001F besides.
+_SPACE = "\\t-\\r \\x85\\xa0"
 #: The tokenizer's own word pattern, spelt out for characters below U+0100.
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 
 
 class WordCachedTokenizer:

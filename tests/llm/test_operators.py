@@ -78,6 +78,16 @@ def test_pack_round_trip(spark):
     assert packing.padding(packing.pack(docs(spark, rows), TOKENIZER, with_ids=False)).first()["share"] < 0.01
 
 
+def test_pack_splits_words_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    whole, cached = Tokenizer.from_file(TOKENIZER), packing.WordCachedTokenizer(TOKENIZER)
+    low = [chr(i) for i in range(256)]
+    texts = [f"a{c}b" for c in low] + [f"a {c}{d} 1" for c in low for d in "\x1c\x1d\x1e\x1f\x85\xa0 a1."]
+    for text, ids in zip(texts, cached.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def plain_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
