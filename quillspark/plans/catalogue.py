@@ -345,6 +345,13 @@ def trigram_candidate_match(spark, sf_dir):
     return R.trigram_candidates(queries, "id", "text", bench_lines(spark, sf_dir), "line_id", "text", top=20).select("query_id", "line_id", "shared", "rank")
 
 
+@query(ORACLE_SQL["trigram_candidate_match"].replace("length(text) BETWEEN 12 AND 60", "length(text) >= 3"))
+def trigram_candidate_match_whole(spark, sf_dir):
+    """Sentences of any length from 3 characters on."""
+    queries = doc_lines(spark, sf_dir).filter(F.length("text") >= 3)
+    return R.trigram_candidates(queries, "id", "text", bench_lines(spark, sf_dir), "line_id", "text", top=20).select("query_id", "line_id", "shared", "rank")
+
+
 def _best_ratio(spark, sf_dir, ratio) -> DataFrame:
     lines = R.adjacent_pairs(bench_lines(spark, sf_dir), "work_id", "line_id", "text")
     lines = lines.withColumn("pair_id", F.col("line_id") * 2 + F.col("paired").cast("int"))
@@ -371,8 +378,8 @@ def token_set_classify(spark, sf_dir):
 # Alignment, decisions, validation.
 @query()
 def nw_align_ops(spark, sf_dir):
-    """Operations of aligning each short sentence with the item that retrieval gives it."""
-    rows = doc_lines(spark, sf_dir).filter(F.length("text").between(12, 120))
+    """Operations of aligning each sentence of 3 characters or more with the item that retrieval gives it."""
+    rows = doc_lines(spark, sf_dir).filter(F.length("text") >= 3)
     index = R.gram_index(table(spark, sf_dir, "benchmark"), "item_id", X.skeleton(F.col("text")))
     top = R.top_with_margin(R.work_scores(rows, "id", X.skeleton(F.col("text")), index))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("work_id"), X.tokenize(F.col("text")).alias("ref"))
