@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import grams as G
+from quillspark.functions import similarity as M
+from quillspark.plans.storage import materialize
 
 #: Rows of a gram table up to which it is broadcast (about 50 MB); beyond, the join shuffles by gram.
 BROADCAST_ROWS = 1_000_000
+#: Lines that are compared with every query at once, a job each such block.
+LINES_BLOCK = 1_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -132,3 +139,66 @@ def adjacent_pairs(lines: DataFrame, work: str, line: str, text: str) -> DataFra
     after = lines.withColumn("after", F.lead(text).over(order)).filter("after IS NOT NULL")
     pairs = after.select(work, line, F.concat_ws(" ", text, "after").alias(text))
     return lines.select(work, line, text, F.lit(False).alias("paired")).unionByName(pairs.withColumn("paired", F.lit(True)))
+
+
+def _answered(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """Every query (query_id, q) with the answer (q, line_id, ratio) to its text; without one, a null line and ratio 0."""
+    # Written first: the join then has exchanges of its own, which adaptive execution may split where a text is hot.
+    out = queries.join(materialize(found, "answers"), "q", "left")
+    return out.select("query_id", "line_id", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+
+
+def token_set_best(queries: DataFrame, query: str, text: str, lines: DataFrame, line: str, line_text: str, least: int = 4, block: int = LINES_BLOCK) -> DataFrame:
+    """(query_id, line_id, ratio) for every query: of all lines of at least ``least`` characters the one with the best
+    token-set ratio, ties by id; a null line and ratio 0 where the text has no words or there are no lines."""
+    q = queries.select(F.col(query).alias("query_id"), F.col(text).alias("q"))
+    r = lines.select(F.col(line).cast("long").alias("line_id"), F.col(line_text).alias("t")).filter(F.length("t") >= least)
+    blocks = max(1, -(-r.count() // block))
+    texts = materialize(q.select("q").distinct(), "texts")
+    found = None
+    for i in range(blocks):
+        held = [(x.line_id, x.t) for x in r.filter(F.pmod(F.xxhash64("line_id"), F.lit(blocks)) == i).collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            scorer = M.TokenSetLines(held)
+            for batch in batches:
+                best = [(x, *b) for x in batch.column(0).to_pylist() if (b := scorer.best(x or ""))]
+                columns = zip(*best, strict=True) if best else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.float64(), pa.int64()), strict=True)], ["q", "ratio", "line_id"])
+
+        part = materialize(texts.mapInArrow(run, "q string, ratio double, line_id long"), "best")
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("q").agg(F.max(F.struct("ratio", (-F.col("line_id")).alias("neg"))).alias("b"))
+    return _answered(q, best.select("q", (-F.col("b.neg")).alias("line_id"), F.col("b.ratio").alias("ratio")))
+
+
+def sequence_best(queries: DataFrame, query: str, text: str, lines: DataFrame, work: str, line: str, line_text: str, top: int = 200, pairs: int = 50, ratio: tuple[float, float] = (0.3, 3.0)) -> DataFrame:
+    """(query_id, line_id, ratio) for every query: the best matching-blocks ratio among the ``top`` lines by shared
+    trigrams and, apart from them, the adjacent pairs of a work that the first ``pairs`` of those lines are part of.
+
+    ``line_id`` is twice the (first) line's id, and one more for a pair; ties go to the smaller.  Texts of fewer than 3
+    characters and those without candidates have a null line and ratio 0.
+    """
+    q = queries.select(F.col(query).alias("query_id"), F.col(text).alias("q"))
+    texts = materialize(q.filter(F.length("q") >= 3).groupBy("q").agg(F.min("query_id").alias("rep")), "texts")
+    near = materialize(trigram_candidates(texts, "rep", "q", lines, line, line_text, top, ratio).select("query_id", "line_id", "rank", "t"), "near")
+    order = Window.partitionBy(work).orderBy(line)
+    beside = lines.select(F.col(line).alias("line_id"), F.lag(line).over(order).alias("before"), F.lead(line).over(order).alias("after"), F.lag(line_text).over(order).alias("t_before"), F.lead(line_text).over(order).alias("t_after"))
+    both = near.filter(F.col("rank") <= pairs).join(broadcast_if_small(beside), "line_id")
+    ahead = F.struct((2 * F.col("line_id") + 1).alias("id"), F.concat_ws(" ", "t", "t_after").alias("t"), F.col("after").isNotNull().alias("real"))
+    behind = F.struct((2 * F.col("before") + 1).alias("id"), F.concat_ws(" ", "t_before", "t").alias("t"), F.col("before").isNotNull().alias("real"))
+    both = both.select("query_id", F.explode(F.array(ahead, behind)).alias("p")).filter("p.real").select("query_id", "p.id", "p.t").distinct()
+    choices = near.select("query_id", (2 * F.col("line_id")).alias("id"), "t").unionByName(both).groupBy("query_id").agg(F.collect_list(F.struct("t", "id")).alias("c"))
+    choices = choices.join(texts.withColumnRenamed("rep", "query_id"), "query_id").select("q", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ratios = [], []
+            for x, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = ratio[0] * len(x), ratio[1] * len(x)
+                best, i = M.best_sequence(x, [(y["t"], y["id"]) for y in c if low <= len(y["t"]) <= high]) or (0.0, None)
+                ids.append(i)
+                ratios.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(ratios, pa.float64())], ["q", "line_id", "ratio"])
+
+    return _answered(q, choices.mapInArrow(run, "q string, line_id long, ratio double"))

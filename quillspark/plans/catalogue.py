@@ -352,26 +352,16 @@ def trigram_candidate_match_whole(spark, sf_dir):
     return R.trigram_candidates(queries, "id", "text", bench_lines(spark, sf_dir), "line_id", "text", top=20).select("query_id", "line_id", "shared", "rank")
 
 
-def _best_ratio(spark, sf_dir, ratio) -> DataFrame:
-    lines = R.adjacent_pairs(bench_lines(spark, sf_dir), "work_id", "line_id", "text")
-    lines = lines.withColumn("pair_id", F.col("line_id") * 2 + F.col("paired").cast("int"))
-    queries = doc_lines(spark, sf_dir).filter(F.length("text").between(12, 200))
-    near = R.trigram_candidates(queries, "id", "text", lines, "pair_id", "text", top=50)
-    best = F.max(F.struct(ratio(F.col("q"), F.col("t")).alias("ratio"), (-F.col("line_id")).alias("neg")))
-    return near.groupBy("query_id").agg(best.alias("b")).select("query_id", (-F.col("b.neg")).alias("line_id"), F.col("b.ratio").alias("ratio"))
-
-
 @query()
 def fuzzy_sequence_match(spark, sf_dir):
-    """Candidates by shared trigrams (with adjacent pairs of lines), decided by the matching-blocks ratio."""
-    near = _best_ratio(spark, sf_dir, lambda a, b: M.sequence_ratio(a, b))
-    return near
+    """Candidates by shared trigrams (with adjacent pairs of lines), decided by the matching-blocks ratio; all sentences."""
+    return R.sequence_best(doc_lines(spark, sf_dir), "id", "text", bench_lines(spark, sf_dir), "work_id", "line_id", "text")
 
 
 @query()
 def token_set_classify(spark, sf_dir):
-    """Accept from 0.80, review from 0.50, else none, by the token-set ratio."""
-    best = _best_ratio(spark, sf_dir, lambda a, b: M.token_set_ratio(a, b))
+    """Accept from 0.80, review from 0.50, else none, by the best token-set ratio of all lines; all sentences."""
+    best = R.token_set_best(doc_lines(spark, sf_dir), "id", "text", bench_lines(spark, sf_dir), "line_id", "text")
     return best.withColumn("outcome", F.when(F.col("ratio") >= 0.8, "accept").when(F.col("ratio") >= 0.5, "review").otherwise("none"))
 
 

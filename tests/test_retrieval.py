@@ -1,8 +1,59 @@
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pytest
+
+from quillspark.functions import similarity as M
+from quillspark.operators import retrieval as R
 from quillspark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
+LINES = [(1, 10 + i, t) for i, t in enumerate(["the old harbour wall was built of grey stone by the people of the town long before the war and it stands", "grey stone", "a b", "the people of the town", "rain fell on the hills all night", "the people of the town"])]
+LINES += [(2, 20 + i, f"the town and the harbour have their year {i} of rain and of grey hills") for i in range(70)]
+QUERIES = [(1, "grey stone"), (2, "stone harbour"), (3, "ab"), (4, "   "), (5, "qqq zzz"), (6, "the people of the town rain fell on the hills all night"), (7, "hills of grey rain " * 40), (8, "harbour wall stands"), (9, "hills of the town"), (10, "grey stone"), (11, None)]
+
+
+def tables(spark):
+    return spark.createDataFrame(QUERIES, "id long, text string"), spark.createDataFrame(LINES, "work long, line long, text string")
+
+
+@pytest.mark.parametrize("block", [1000, 20])
+def test_token_set_best_against_all_lines(spark, block):
+    queries, lines = tables(spark)
+    found = {r.query_id: (r.line_id, r.ratio) for r in R.token_set_best(queries, "id", "text", lines, "line", "text", block=block).collect()}
+    expected = {}
+    for i, q in QUERIES:
+        best = max((M.token_set(q or "", t), -line) for _, line, t in LINES if len(t) >= 4)
+        expected[i] = (-best[1], best[0]) if (q or "").split() else (None, 0.0)
+    assert found == expected
+    assert found[8][1] == 1.0  # wholly in a line more than three times as long
+
+
+def test_sequence_best_takes_lines_and_pairs_apart(spark):
+    queries, lines = tables(spark)
+    found = {r.query_id: (r.line_id, r.ratio) for r in R.sequence_best(queries, "id", "text", lines, "work", "line", "text").collect()}
+    assert found.keys() == dict(QUERIES).keys()
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    for i, q in QUERIES:
+        if not q or len(q) < 3:
+            assert found[i] == (None, 0.0)
+            continue
+        fits = lambda t, q=q: 0.3 * len(q) <= len(t) <= 3 * len(q)
+        near = sorted((-len(grams(q) & grams(t)), line) for _, line, t in LINES if fits(t) and grams(q) & grams(t))
+        firsts = {line for _, line in near[:50]}
+        choices = [(t, 2 * line) for _, line, t in LINES if line in {x for _, x in near[:200]}]
+        for (w, a, t), (v, b, u) in zip(LINES, LINES[1:], strict=False):
+            if w == v and firsts & {a, b} and fits(f"{t} {u}"):
+                choices.append((f"{t} {u}", 2 * a + 1))
+        best = max(((SequenceMatcher(None, t, q, autojunk=False).ratio(), -n) for t, n in choices), default=(0.0, None))
+        assert found[i] == (None if best[1] is None else -best[1], best[0]), q
+
+
+def test_every_sentence_is_answered(spark):
+    sentences = {r.id: r.text for r in catalogue.doc_lines(spark, SF).collect()}
+    for name in ("token_set_classify", "fuzzy_sequence_match"):
+        assert {r.query_id for r in catalogue.QUERIES[name](spark, SF).select("query_id").collect()} == sentences.keys()
 
 
 def test_sentences_of_any_length_are_matched(spark):
