@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,17 +66,21 @@ def directory_listing(pages: DataFrame, html: str, *keep: str) -> DataFrame:
     return rows.select(*keep, html_unescape(F.regexp_extract("a", r">([^<]*)</a>", 1)).alias("name"), F.regexp_extract("a", r'href="([^"]+)"', 1).alias("href"), X.parse_size(size).alias("size_bytes"))
 
 
-def walk_listings(pages: DataFrame, url: str, html: str, start: str, rounds: int = 50) -> DataFrame:
-    """(url, depth): listings reachable from ``start`` through ?dir= links; each round joins the newly found with the pages."""
+def walk_listings(pages: DataFrame, url: str, html: str, start: str) -> DataFrame:
+    """(url, depth): listings reachable from ``start`` through ?dir= links; each round joins the newly found with the pages,
+    until none is new."""
     links = pages.select(F.col(url).alias("at"), F.explode(F.regexp_extract_all(html, F.lit(r'href="\?dir=([^"]+)"'), F.lit(1))).alias("dir"))
     links = links.select("at", F.try_url_decode("dir").alias("to")).distinct().cache()
     seen = pages.sparkSession.createDataFrame([(start, 0)], "url string, depth int")
-    for depth in range(1, rounds + 1):
-        new = seen.filter(F.col("depth") == depth - 1).join(links, F.col("url") == F.col("at")).select(F.col("to").alias("url")).distinct()
+    new = seen
+    for depth in count(1):
+        new = new.join(links, F.col("url") == F.col("at")).select(F.col("to").alias("url")).distinct()
         new = materialize(new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), "listings")
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
+        if depth % 20 == 0:  # keeps the plan short
+            seen = materialize(seen, "listings")
     return seen
 
 

@@ -88,6 +88,14 @@ def test_walk_listings(spark):
     assert [(f.name, f.href, f.size_bytes) for f in files] == [("x", "x.mp3", 1_500_000)]
 
 
+def test_walk_listings_follows_long_chains(spark):
+    from quillspark.sources import parsers
+
+    pages = spark.createDataFrame([(f"p{i}", f'<a href="?dir=p{i + 1}">next</a><a href="?dir=p0">top</a>') for i in range(55)], "url string, html string")
+    found = {(r.url, r.depth) for r in parsers.walk_listings(pages, "url", "html", "p0").collect()}
+    assert found == {(f"p{i}", i) for i in range(56)}
+
+
 def test_stage2_merge(spark):
     from quillspark.operators import stages
 
