@@ -2,8 +2,9 @@
 
 Words are hashed in k-grams; of every ``span - k + 1`` neighbouring k-grams the least hash is kept as a fingerprint.
 Two texts that share ``span`` words share a window of k-grams and so its least hash: joining the documents' fingerprints
-with the benchmark's finds every shared span.  Hits are then extended: each window of ``span`` words around a hit is
-compared, as a string, with the benchmark's windows, so hash collisions and chance matches leave no trace.
+with the benchmark's finds every shared span.  Hits are then extended: each window whose least hash the fingerprint is
+(a run of neighbours, and every window is in one run only) is compared, as a string, with the benchmark's windows, so hash
+collisions and chance matches leave no trace and a text costs time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.plans.storage import materialize
+
 #: The word pattern and the letters that are lower-cased.
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,14 +77,14 @@ def contamination(
 ) -> DataFrame:
     """Which words of each document lie in a window of ``span`` consecutive benchmark words.
 
-    Returns a row per distinct (id, text): ``id_col``, ``text_hash`` (xxhash64 of the text), ``n_words``, ``n_hit``,
+    Returns a row per row of ``docs``: ``id_col``, ``text_hash`` (xxhash64 of the text), ``n_words``, ``n_hit``,
     ``hits`` (array of (s, len): word positions of matched windows), ``items`` (sorted ids, as strings, of items with
-    occurring windows).  Defined cases: null and empty texts have no words and no hits; null ids are kept; equal rows
-    give one row, rows with one id and several texts one row each; null items and items without words are ignored;
-    empty tables give no rows or no hits; other columns are not read.
+    occurring windows).  Defined cases: null and empty texts have no words and no hits; null ids are kept; repeated rows
+    come out as often as they came in, with equal answers; null items and items without words are ignored; a very long text
+    costs time in proportion to its length, matched or not; empty tables give no rows or no hits; other columns are not read.
     """
-    windows = benchmark_windows(benchmark, span, item_col, item_text_col).cache()
-    short = sorted(r[0] for r in windows.filter(F.col("len") < span).select("len").distinct().collect())
+    windows = materialize(benchmark_windows(benchmark, span, item_col, item_text_col), "benchmark_windows")
+    short = sorted(r[0] for r in windows.filter(F.col("len") < span).select("len").distinct().collect())  # below span, so few
     small = windows.count() <= broadcast_rows
     side = F.broadcast if small else (lambda x: x)
 
@@ -93,45 +96,47 @@ def contamination(
         marks.append(hashed.filter(F.col("len") == m).select(F.xxhash64(*[F.get("h", F.lit(j)) for j in range(m)]).alias("fp"), F.lit(m).alias("fp_len")))
     marks = reduce(DataFrame.unionByName, marks).distinct()
 
+    # Equal rows of a task are one group with a count; ``part`` keeps those of different tasks apart, so none is hot.
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("th"), words(text).alias("w"))
+    base = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("th"), F.spark_partition_id().alias("part"), words(text).alias("w"))
     base = base.withColumn("n", F.size("w")).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
-    base = base.withColumn("kg", _kgram_hashes(F.col("wh"), F.col("n"), k))
-
-    def tagged(hashes: Column, length: int) -> Column:
-        return F.transform(F.array_distinct(hashes), lambda x: F.struct(x.alias("fp"), F.lit(length).alias("fp_len")))
-
-    prints = [F.array(F.struct(F.lit(None).cast("long").alias("fp"), F.lit(0).alias("fp_len"))), tagged(_window_minima(F.col("kg"), F.col("n"), span, k), span)]
-    prints += [tagged(_kgram_hashes(F.col("wh"), F.col("n"), m), m) for m in short]
-    carried = ["k", "th", "n"]
+    base = base.withColumn("kg", _kgram_hashes(F.col("wh"), F.col("n"), k)).withColumn("least", _window_minima(F.col("kg"), F.col("n"), span, k))
+    # A fingerprint stands for the run of windows that have it as their least hash: from its place to the next one's.
+    changes = F.filter(_indices(F.size("least")), lambda i: (i == 0) | (F.get("least", i) != F.get("least", i - 1)))
+    base = base.withColumn("runs", changes)
+
+    def print_(fp: Column, length: int, low: Column, high: Column) -> Column:
+        return F.struct(fp.alias("fp"), F.lit(length).alias("fp_len"), low.alias("low"), high.alias("high"))
+
+    def shown(length: int):
+        return lambda x, i: print_(x, length, i, i + 1)
+
+    none = F.lit(None)
+    prints = [F.array(print_(none.cast("long"), 0, none.cast("int"), none.cast("int")))]
+    prints.append(F.transform("runs", lambda i, at: print_(F.get("least", i), span, i, F.coalesce(F.get("runs", at + 1), F.size("least")))))
+    prints += [F.transform(_kgram_hashes(F.col("wh"), F.col("n"), m), shown(m)) for m in short]
+    carried = ["k", "th", "part", "n"]
     if small:  # the words ride along: rows without a partner are dropped before they are copied
-        rows = base.select(*carried, "w", "wh", "kg", F.explode(F.concat(*prints)).alias("f")).select(*carried, "w", "wh", "kg", "f.fp", "f.fp_len")
+        rows = base.select(*carried, "w", F.explode(F.concat(*prints)).alias("f")).select(*carried, "w", "f.*")
         found = rows.join(F.broadcast(marks.withColumn("known", F.lit(True))), ["fp", "fp_len"], "left").filter(F.col("fp").isNull() | F.col("known"))
     else:
-        rows = base.select(*carried, F.explode(F.concat(*prints)).alias("f")).select(*carried, "f.fp", "f.fp_len")
-        known = rows.filter(F.col("fp").isNotNull()).join(marks, ["fp", "fp_len"], "left_semi").distinct()
+        rows = base.select("k", "th", F.explode(F.concat(*prints[1:])).alias("f")).select("k", "th", "f.*")
+        known = rows.join(marks, ["fp", "fp_len"], "left_semi").distinct().withColumn("f", F.struct("fp", "fp_len", "low", "high"))
+        known = materialize(known.groupBy("k", "th").agg(F.collect_list("f").alias("fs")), "known_prints")  # of one text, so bounded by it
         keys = [F.col(f"b.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("k", "th")]
-        found = base.select(*carried, "w", "wh", "kg").distinct().alias("b").join(known.alias("f"), keys, "left").select("b.*", "f.fp", "f.fp_len")
-
-    # Where the fingerprint stands, and the windows around it.
-    if short:
-        own = reduce(
-            lambda acc, m: F.when(F.col("fp_len") == m, F.filter(_indices(F.col("n") - (m - 1)), lambda p: F.xxhash64(*[F.get("wh", p + j) for j in range(m)]) == F.col("fp"))).otherwise(acc),
-            short, F.array().cast("array<int>"),
-        )
-    else:
-        own = F.array().cast("array<int>")
-    stands = F.filter(_indices(F.size("kg")), lambda p: F.get("kg", p) == F.col("fp"))
-    around = F.flatten(F.transform(stands, lambda p: F.sequence(p - (span - k), p)))
-    around = F.filter(F.array_distinct(around), lambda s: (s >= 0) & (s <= F.col("n") - span))
-    starts = F.when(F.col("fp_len") == span, around).otherwise(own)
+        found = base.select(*carried, "w").alias("b").join(known.alias("f"), keys, "left").select("b.*", F.explode(F.concat(prints[0], F.coalesce("fs", F.slice(prints[0], 1, 0)))).alias("f"))
+        found = found.select(*carried, "w", "f.*")
+
+    # The windows that a fingerprint stands for, each once, as strings.
+    starts = F.when(F.col("low").isNotNull(), F.sequence("low", F.col("high") - 1))
     spots = found.select(*carried, "w", "fp_len", F.explode_outer(starts).alias("s"))
     spots = spots.select(*carried, "s", F.col("fp_len").alias("len"), F.when(F.col("s").isNotNull(), _join_string(F.col("w"), F.col("s"), F.col("fp_len"))).alias("win"))
 
     per_window = windows.select("win", "len", "item")
-    matched = spots.join(side(per_window), ["win", "len"], "left")
+    matched = spots.join(side(per_window), ["win", "len"], "left").filter(F.col("s").isNull() | F.col("item").isNotNull())
     spot = F.when(F.col("item").isNotNull(), F.struct("s", "len"))
-    out = matched.groupBy(*carried).agg(F.sort_array(F.collect_set(spot)).alias("hits"), F.sort_array(F.collect_set("item")).alias("items"))
+    out = matched.groupBy(*carried).agg(F.count_if(F.col("s").isNull()).alias("rows"), F.sort_array(F.collect_set(spot)).alias("hits"), F.sort_array(F.collect_set("item")).alias("items"))
+    out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
 
     def cover(acc, x):
@@ -145,8 +150,12 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that share no window with the benchmark. Repeated rows stay repeated."""
+    """The rows of ``docs``, with all their columns, that share no window with the benchmark.
+
+    Repeated rows stay repeated or go together; null and empty texts stay; a null id is compared as a value; an empty
+    benchmark keeps everything.
+    """
     hit = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).filter(F.col("n_hit") > 0)
-    hit = hit.select(F.col(id_col).alias("_q_id"), F.col("text_hash").alias("_q_hash"))
+    hit = hit.select(F.col(id_col).alias("_q_id"), F.col("text_hash").alias("_q_hash")).distinct()
     same = docs[id_col].eqNullSafe(hit["_q_id"]) & (F.xxhash64(docs[text_col].cast("string")) == hit["_q_hash"])
     return docs.join(hit, same, "left_anti")

@@ -115,6 +115,9 @@ def test_contamination_against_brute_force(spark, broadcast_rows):
     assert found == {k: plain_contamination(t, items) for k, t in rows}
     kept = {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()}
     assert kept == {k for k, v in found.items() if not v[1]}
+    again = [(1, "a b"), (1, "a b"), (None, "x"), (None, "x"), (1, "c"), (None, None), (None, None), (2, items[0][1]), (2, items[0][1])]
+    found = [(r.doc_id, r.n_words, r.n_hit) for r in decontaminate.contamination(docs(spark, again).coalesce(1), bench, broadcast_rows=broadcast_rows).collect()]
+    assert sorted(found, key=str) == sorted([(k, *plain_contamination(t, items)[:2]) for k, t in again], key=str)
 
 
 def plain_components(rows, num, den):
