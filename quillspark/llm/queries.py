@@ -91,15 +91,19 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
-    """Target text is labelled 1, raw text 0. Repeated labels of an id: raw if one of them is."""
+    """Target text is labelled 1, raw text is every document; the expected share of target text is that among the labelled.
+
+    Repeated labels of an id: not target if one of them is 0.
+    """
     train = training_rows(docs, labels, F.min("quality"))
-    return quality.fit(train.withColumn("_l_target", F.col("_l_label") > 0), "text", "_l_target")
+    good, n = train.agg(F.count_if(F.col("_l_label") > 0), F.count("*")).first()
+    return quality.fit(docs, train.filter(F.col("_l_label") > 0), "text", share=(good + 1) / (n + 2))
 
 
 def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality.resample(docs, model).select("doc_id", "log_weight", "n_grams", "accepted", "selected")
+    return quality.resample(docs, model).select("doc_id", "log_weight", "n_grams", "key", "selected")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,11 +278,30 @@ def test_search_against_brute_force(spark):
 
 
 def test_quality_and_gumbel(spark):
-    rows = [(i, prose(i, 60), True) for i in range(80)] + [(100 + i, " ".join(w + "%%%" for w in prose(i, 60).split()), False) for i in range(30)]
-    model = quality.fit(spark.createDataFrame(rows, "i long, t string, y boolean"), "t", "y")
-    fresh = spark.createDataFrame([(1, prose(901, 50)), (2, " ".join(w + "%%%" for w in prose(902, 50).split())), (3, None), (4, "one")], "doc_id long, text string")
+    noisy = lambda i: " ".join(w + "%%%" for w in prose(i, 60).split())
+    good, raw = [(i, prose(i, 60)) for i in range(80)], [(i, prose(500 + i, 60)) for i in range(300)] + [(600 + i, noisy(i)) for i in range(60)]
+    model = quality.fit(docs(spark, raw), docs(spark, good), share=0.8)
+    fresh = docs(spark, [(1, prose(901, 50)), (2, noisy(902)), (3, None), (4, "one"), (5, ""), (6, prose(901, 5000))])
     r = {x.doc_id: x for x in quality.resample(fresh, model).collect()}
-    assert r[1].selected and not r[2].selected and not r[3].selected and r[4].accepted
+    assert r[1].selected and r[6].selected and not r[2].selected and not r[3].selected and not r[5].selected
+    assert r[2].log_weight < -5 < 0 < r[1].log_weight and r[6].log_weight < 30 and r[4].n_grams == 1
+    # The definition, in plain Python: the k greatest of log weight plus noise; and that is not a threshold on the weight.
+    features, plain = quality.Features(), []
+    noise = dict(docs(spark, raw).select("doc_id", quality._noise("doc_id", "text")).collect())
+    for i, t in raw:
+        w, n = model.weight(features, t)
+        assert n == 4 * len(quality._TOKEN.findall(t)) - 3
+        plain.append((w + quality.gumbel(noise[i]), w, i))
+    found = quality.resample(docs(spark, raw), model, k=100).filter("selected").collect()
+    assert {x.doc_id for x in found} == {i for _, _, i in sorted(plain)[-100:]} != {i for _, _, i in sorted(plain, key=lambda x: x[1])[-100:]}
+    kept = quality.keep_selected(docs(spark, raw), model)
+    ids = {x.doc_id for x in kept.collect()}
+    assert kept.columns == docs(spark, raw).columns and len(ids) == round(sum(model.posterior(w) for _, w, _ in plain))
+    assert len(ids & {i for i, _ in raw[:300]}) > 290 and not ids & {600 + i for i in range(60)}
+    flat = quality.Model(np.zeros(quality.BUCKETS), 1.0)
+    assert quality.keep_selected(docs(spark, raw), flat).count() == len(raw) and quality.keep_selected(docs(spark, []), model).count() == 0
+    shares = np.mean([np.argmax([np.log(p) + quality.gumbel(int(z)) for p, z in zip((0.2, 0.3, 0.5), zs, strict=True)]) == 2 for zs in np.random.default_rng(2).integers(0, 1 << 60, (4000, 3))])
+    assert abs(shares - 0.5) < 0.03
     values = spark.createDataFrame([(float(v),) for v in [5, 1, 9, 9, 3, -4, 1e9, -1e9]], "v double")
     assert [quality.kth_greatest(values, "v", k) for k in (1, 2, 3, 5, 8)] == [1e9, 9.0, 9.0, 3.0, -1e9]
 
