@@ -34,15 +34,14 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_records`` are the records of the transaction; ``verified`` that claimed digest and payload agree."""
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    found = warc.captures(warc.read(spark, path))
-    revisit = F.col("kind") == "revisit"
+    found = warc.resolve(warc.captures(warc.read(spark, path)))
     return found.select(
-        warc.metadata_field("page-id").cast("long").alias("page_id"),
-        F.when(revisit, warc.metadata_field("payload-bytes").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"), F.col("kind").alias("record_type"),
-        F.when(revisit, warc.metadata_field("refers-to-page").cast("long")).alias("refers_to"),
+        warc.metadata_field("page-id").cast("long").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("kind").alias("record_type"),
+        warc.metadata_field("page-id", "target.metadata").cast("long").alias("refers_to"),
+        (1 + F.col("request").isNotNull().cast("long") + F.col("metadata").isNotNull().cast("long")).alias("n_records"), "verified",
     )
 
 
@@ -154,7 +153,7 @@ FROM documents LEFT JOIN top ON top.id = CAST(doc_id AS VARCHAR) AND r = 1""",
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, n, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY h, n)
 SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.h AS payload_digest,
-       CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+       CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to, CAST(3 AS BIGINT) AS n_records, TRUE AS verified
 FROM p LEFT JOIN g ON p.h = g.h AND p.n = g.n""",
     "op6_winnowing": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

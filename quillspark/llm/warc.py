@@ -1,15 +1,17 @@
 """WARC archives: records for captured pages, and transactions assembled from records.
 
-Archives are written by Spark's text writer, whose line separator is the empty lines that end a WARC record, and read
-as binary files, parsed by Content-Length: both go through Spark's file systems only, whatever store holds them.
+Archives are gzip files with a member per record, of bounded size, written by Spark's text writer (a row is an archive, and
+the line separator is an empty gzip member) and read as binary files: both go through Spark's file systems only, whatever
+store holds them.  A reader takes them apart member by member and digests the payloads that it finds; transactions are
+joined by record ids alone.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,9 +22,11 @@ from quillspark.plans.storage import materialize
 
 #: Payloads from this size on are stored once; later ones revisit.
 LEAST_REVISIT = 1000
-#: Pages per archive file, so that one file fits a task's memory.
-PAGES_PER_FILE = 2000
+#: Compressed bytes of an archive file, about: it is closed by the record that reaches them.
+ARCHIVE_BYTES = 32 << 20
 END = "\r\n\r\n"
+#: Fixed value: a gzip member without content, which ends every archive.
+EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300" "0000000000000000")
 
 
 def _record_id(kind: str, key: Column) -> Column:
@@ -50,13 +54,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Of records with equal payloads of at least ``LEAST_REVISIT`` bytes the largest id's is the response and the others
     revisit it.  A null payload is empty; a null url is empty; a null id is written as an empty name; rows that share an id
-    are captures of their own, told apart by their place in the table.
+    are captures of their own, told apart by their place in the table, which is written down first so that it stays.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     base = pages.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(_line_safe(F.col(url_col).cast("string")), F.lit("")).alias("url"), payload.alias("payload"),
         F.monotonically_increasing_id().alias("place"),
     )
+    base = materialize(base, "captured_pages")
     base = base.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
     # The key and id of the page that stands for each payload; a place breaks ties between rows of one id.
     shared = base.filter(F.col("size") >= LEAST_REVISIT).groupBy("sha1", "size").agg(F.max(F.struct("id", "place")).alias("top"), F.count("*").alias("n"))
@@ -89,7 +94,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                "Content-Type: application/http;msgtype=response", _header("Content-Length", F.octet_length(body).cast("string"))),
         F.lit(END), body,
     )
-    fields = F.concat(F.lit("page-id: "), name, F.lit("\r\npayload-bytes: "), F.col("size").cast("string"), F.when(F.col("revisit"), F.concat(F.lit("\r\nrefers-to-page: "), F.coalesce(F.col("top.id").cast("string"), F.lit("")))).otherwise(""), F.lit("\r\n"))
+    fields = F.concat(F.lit("page-id: "), name, F.lit("\r\n"))
     metadata = F.concat(
         _lines("WARC/1.1", "WARC-Type: metadata", _header("WARC-Record-ID", _record_id("metadata", own)), _header("WARC-Concurrent-To", _record_id("capture", own)), date, uri,
                "Content-Type: application/warc-fields", _header("Content-Length", F.octet_length(fields).cast("string"))),
@@ -98,10 +103,41 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return base.select(F.explode(F.array(request, capture, metadata)).alias("record"))
 
 
-def write(pages: DataFrame, path: str, pages_per_file: int = PAGES_PER_FILE, compression: str = "gzip", **columns) -> None:
-    """Write the pages' records as WARC files of at most ``pages_per_file`` captures each below ``path``."""
-    out = records(pages, **columns)
-    out.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", 3 * pages_per_file).text(path)
+def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **columns) -> None:
+    """Write the pages' records as gzip archives of about ``archive_bytes`` each below ``path``, a member per record.
+
+    An archive holds one record at least, so a page larger than the bound has a file of its own; an empty table leaves no
+    archive.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                parts.append(packer.compress(record.as_py().encode("utf-8", "surrogatepass") + END.encode()) + packer.flush())
+                size += len(parts[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["archive"])
+                    parts, size = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["archive"])
+
+    archives = records(pages, **columns).mapInArrow(run, "archive binary").select(F.col("archive").cast("string"))
+    writer = archives.write.option("maxRecordsPerFile", 1).option("compression", "none")
+    writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+
+
+def members(content: bytes) -> Iterator[bytes]:
+    """The content of each gzip member in turn; content that is not compressed is given whole."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(view):
+        unpacker = zlib.decompressobj(31)
+        yield unpacker.decompress(view[at:])
+        at = len(view) - len(unpacker.unused_data)
 
 
 _HEADER = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)")
@@ -136,8 +172,9 @@ def split_block(fields: dict[str, str], block: bytes) -> tuple[str, bytes | None
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives below ``path``.
 
-    (kind, record_id, concurrent_to, refers_to, uri, digest, head, payload, payload_bytes); payload is null for records
-    that are no HTTP messages.
+    (kind, record_id, concurrent_to, refers_to, uri, digest, head, payload, payload_bytes, payload_sha1); the last two are
+    taken from the payload as it was read, ``digest`` is what the header claims.  Payload, bytes and SHA-1 are null for
+    records that are no HTTP messages.  No archives give no rows; a page of any length is one record.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
     names = ["kind", "record_id", "concurrent_to", "refers_to", "uri", "digest", "head", "payload"]
@@ -146,34 +183,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
-            sizes = [None if x is None else len(x) for x in columns[-1]]
-            arrays = [*(pa.array(c, pa.string()) for c in columns[:-1]), pa.array(columns[-1], pa.binary()), pa.array(sizes, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, [*names, "payload_bytes"])
+            payloads = columns[-1]
+            sizes = pa.array([None if x is None else len(x) for x in payloads], pa.int64())
+            found = pa.array([None if x is None else hashlib.sha1(x).hexdigest() for x in payloads], pa.string())
+            arrays = [*(pa.array(c, pa.string()) for c in columns[:-1]), pa.array(payloads, pa.binary()), sizes, found]
+            return pa.RecordBatch.from_arrays(arrays, [*names, "payload_bytes", "payload_sha1"])
 
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows, held = [], 0
-                for fields, block in parse(data):
-                    rows.append([*(fields.get(h) for h in headers), *split_block(fields, block)])
-                    held += len(block)
-                    if held > 4 << 20:
-                        yield flush(rows)
-                        rows, held = [], 0
+                for member in members(content.as_py()):
+                    for fields, block in parse(member):
+                        rows.append([*(fields.get(h) for h in headers), *split_block(fields, block)])
+                        held += len(block)
+                        if held > 4 << 20:
+                            yield flush(rows)
+                            rows, held = [], 0
                 if rows:
                     yield flush(rows)
 
-    schema = ", ".join(f"{n} string" for n in names[:-1]) + ", payload binary, payload_bytes long"
+    schema = ", ".join(f"{n} string" for n in names[:-1]) + ", payload binary, payload_bytes long, payload_sha1 string"
     return files.mapInArrow(run, schema)
 
 
 def captures(found: DataFrame) -> DataFrame:
     """Transactions: one nested row per capture, its request and metadata joined through their concurrent-to ids.
 
-    (record_id, kind, uri, digest, refers_to, payload, payload_bytes, request struct, metadata struct).  A capture without
-    request or metadata has null there; requests and metadata without a capture are left out; if several name one capture,
-    the least by record id is taken; a revisit's payload is empty.
+    (record_id, kind, uri, digest, refers_to, payload, payload_bytes, payload_sha1, request struct, metadata struct).  A
+    capture without request or metadata has null there; requests and metadata without a capture are left out; if several
+    name one capture, the least by record id is taken; a revisit's payload is empty; no records give no rows.
     """
 
     def partner(kind: str, *fields) -> DataFrame:
@@ -181,16 +219,34 @@ def captures(found: DataFrame) -> DataFrame:
         return rows.agg(F.min(F.struct(F.col("record_id").alias("id"), *fields)).alias(kind))
 
     main = found.filter(F.col("kind").isin("response", "revisit"))
-    main = main.select("record_id", "kind", "uri", "digest", "refers_to", "payload", "payload_bytes")
+    main = main.select("record_id", "kind", "uri", "digest", "refers_to", "payload", "payload_bytes", "payload_sha1")
     return main.join(partner("request", F.col("uri"), F.col("head").alias("line")), "record_id", "left").join(partner("metadata", F.col("head").alias("fields")), "record_id", "left")
 
 
+def resolve(transactions: DataFrame) -> DataFrame:
+    """``transactions`` without payloads, with ``target`` (struct) for revisits, and ``verified``.
+
+    ``target`` is the capture of the record that WARC-Refers-To names: its fields, bytes and SHA-1 as read; null if there is
+    none.  ``payload_bytes`` and ``payload_sha1`` of a revisit are its target's.  ``verified``: the digest that the header
+    claims is that of the payload (the target's, for a revisit); false where it is not, or where there is no target.
+    """
+    slim = materialize(transactions.drop("payload"), "transactions")
+    targets = slim.filter(F.col("kind") == "response").select(F.col("record_id").alias("refers_to"), F.struct("metadata", "payload_bytes", "payload_sha1").alias("target"))
+    # Responses that are referred to, so that a target that many revisits name meets them in a join that can be split.
+    targets = targets.join(slim.filter("kind = 'revisit'").select("refers_to").distinct(), "refers_to", "left_semi")
+    out = slim.join(materialize(targets, "targets"), "refers_to", "left")
+    revisit = F.col("kind") == "revisit"
+    out = out.withColumns({c: F.when(revisit, F.col(f"target.{c}")).otherwise(F.col(c)) for c in ("payload_bytes", "payload_sha1")})
+    claimed = F.lower(F.regexp_replace("digest", "^sha1:", ""))
+    return out.withColumn("verified", F.coalesce(claimed == F.col("payload_sha1"), F.lit(False)))
+
+
 _FIELD = r"(?:^|\r\n){}: ([^\r\n]*)"
 
 
-def metadata_field(name: str) -> Column:
-    """A field of a capture's metadata record; null if it has none."""
-    value = F.regexp_extract(F.col("metadata.fields"), _FIELD.format(re.escape(name)), 1)
+def metadata_field(name: str, record: str = "metadata") -> Column:
+    """A field of a metadata record; null if it has none."""
+    value = F.regexp_extract(F.col(f"{record}.fields"), _FIELD.format(re.escape(name)), 1)
     return F.when(value != "", value)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import re
@@ -218,7 +219,7 @@ def test_warc_round_trip(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\n" + "x" * 1200
     rows = [(1, "http://a/1", big), (2, "http://a/2 x\r\nWARC-Type: bad", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", big[:-1]), (6, "u", big[:-1]), (None, "u", "null id")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit("clash"))
-    warc.write(pages, str(tmp_path / "w"), pages_per_file=2)
+    warc.write(pages, str(tmp_path / "w"), archive_bytes=600)
     found = warc.captures(warc.read(spark, str(tmp_path / "w"))).collect()
     assert len(found) == len(rows) and all(r.request is not None and r.metadata is not None for r in found)
     by_page = {}
@@ -231,7 +232,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(r.kind for r in by_page["6"]) == ["response", "revisit"]
     assert warc.sha1_hex(by_page["1"][0].digest) == hashlib.sha1(big.encode()).hexdigest()
     warc.write(pages.limit(0), str(tmp_path / "e"))
-    assert warc.captures(warc.read(spark, str(tmp_path / "e"))).count() == 0
+    assert warc.resolve(warc.captures(warc.read(spark, str(tmp_path / "e")))).count() == 0
+    files = sorted((tmp_path / "w").glob("*.txt"))
+    assert len(files) > 3
+    for f in files:  # an archive is what any gzip reader takes
+        assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: ")
+
+
+def test_warc_transactions_answer_from_what_is_read(spark, tmp_path):
+    big = "<p>" + "y" * 2000
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", big), (4, "u", "z" * 1500)], "page_id long, url string, html string")
+    warc.write(pages.coalesce(1), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("*.txt")
+    whole = gzip.decompress(file.read_bytes())
+
+    def answers(data: bytes):
+        (tmp_path / "x").mkdir(exist_ok=True)
+        (tmp_path / "x" / "part.txt").write_bytes(data)
+        found = warc.resolve(warc.captures(warc.read(spark, str(tmp_path / "x"))))
+        columns = ["verified", "payload_bytes", "payload_sha1", warc.metadata_field("page-id", "target.metadata").alias("target"), F.col("request").isNotNull().alias("asked")]
+        return {int(r.page): r for r in found.select(warc.metadata_field("page-id").alias("page"), "kind", *columns).collect()}
+
+    good = answers(whole)
+    assert [(good[i].kind, good[i].target, good[i].verified, good[i].payload_bytes) for i in (1, 2, 3, 4)] == [("revisit", "3", True, 2003), ("revisit", "3", True, 2003), ("response", None, True, 2003), ("response", None, True, 1500)]
+    assert good[1].payload_sha1 == hashlib.sha1(big.encode()).hexdigest() and all(r.asked for r in good.values())
+    bad = answers(whole.replace(b"yyyy", b"yyyx", 1))  # a damaged payload: its page and what refers to it
+    assert [bad[i].verified for i in (1, 2, 3, 4)] == [False, False, False, True] and bad[3].payload_sha1 != good[3].payload_sha1
+    name = re.search(rb"WARC-Refers-To: (<[^>]*>)", whole)[1]
+    lost = answers(whole.replace(b"WARC-Refers-To: " + name, b"WARC-Refers-To: " + name[:-3] + b"00>", 1))
+    assert sorted((r.kind, r.target, r.verified) for r in lost.values() if r.kind == "revisit" and not r.verified) == [("revisit", None, False)]
+    alone = answers(re.sub(rb"WARC-Concurrent-To: <urn", b"WARC-Concurrent-To: <xrn", whole, count=1))
+    assert sum(not r.asked for r in alone.values()) == 1
 
 
 def test_html_structure_and_suffix_array(spark):
