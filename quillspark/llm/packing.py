@@ -1,11 +1,12 @@
 """Harmonic packing of token sequences.
 
-Lengths are partitioned into reciprocal-capacity classes: a bin of class ``k`` takes exactly ``k`` pieces of
-``capacity / k`` tokens.  Documents may be cut, so every document is cut into whole sequences, then pieces of the
-classes 2, 4, 8 ... in falling size, and one tail shorter than the smallest class; tails go by next fit, which is the
-last class of the harmonic scheme.  Bins are filled by each task on its own, without a shuffle: the cut of a document
-depends on its length only, and a task's open bins hold at most one sequence a class.  When a task ends, its open bins
-are closed at powers of two, which need no padding.
+A document's length (what is left of it after whole sequences) has the reciprocal-capacity class j where it is above
+capacity / (j + 1) and at most capacity / j; a bin of class j takes exactly j documents.  Documents are cut only where a
+sequence is full: a bin that has its j documents has room for less than one more of its class, and the next document of the
+class closes it with its head; what is left of that document is classed anew.  Lengths of capacity / ``classes`` or less
+share the last class, whose bins take documents until one closes them.  Bins are filled by each task on its own, without a
+shuffle; a task has one open bin a class at most.  When it ends, what is open is joined to whole sequences and a rest that
+is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -84,77 +85,66 @@ class WordCachedTokenizer:
         ]
 
 
-def cut_lengths(total: int, capacity: int, smallest: int) -> Iterator[int]:
-    """Lengths of a document's pieces: whole sequences, then the classes' sizes in falling order, then the tail."""
-    for _ in range(total // capacity):
-        yield capacity
-    rest, size = total % capacity, capacity // 2
-    while size >= smallest:
-        if rest >= size:
-            yield size
-            rest -= size
-        size //= 2
-    if rest:
-        yield rest
-
-
 class HarmonicBins:
-    """The open bins of one task. ``add`` gives back closed sequences as (id, pieces); a piece is (key, start, length)."""
+    """The open bins of one task. ``add`` gives back closed sequences as (id, pieces).
+
+    A piece is (key, ids as bytes, start in its document, tokens of its document).
+    """
 
-    def __init__(self, capacity: int, smallest: int, first_id: int):
-        self.capacity, self.smallest, self.next_id = capacity, smallest, first_id
-        self.open: dict[int, list] = {}
-        self.tails: list = []
-        self.tail_sum = 0
+    def __init__(self, capacity: int, classes: int, first_id: int):
+        self.capacity, self.classes, self.next_id = capacity, classes, first_id
+        self.open: dict[int, tuple[list, int]] = {}
 
     def _close(self, pieces: list) -> tuple[int, list]:
         self.next_id += 1
         return self.next_id - 1, pieces
 
-    def add(self, key, start: int, length: int) -> Iterator[tuple[int, list]]:
-        if length == self.capacity:
-            yield self._close([(key, start, length)])
-        elif length >= self.smallest:
-            bin_ = self.open.setdefault(length, [])
-            bin_.append((key, start, length))
-            if len(bin_) * length == self.capacity:
-                yield self._close(self.open.pop(length))
-        else:
-            if self.tail_sum + length > self.capacity:
-                yield self._close(self.tails)
-                self.tails, self.tail_sum = [], 0
-            self.tails.append((key, start, length))
-            self.tail_sum += length
+    def add(self, key, raw: bytes) -> Iterator[tuple[int, list]]:
+        total, start = len(raw) // 4, 0
+
+        def cut(length: int) -> tuple:
+            nonlocal start
+            start += length
+            return key, raw[(start - length) * 4 : start * 4], start - length, total
+
+        while total - start >= self.capacity:
+            yield self._close([cut(self.capacity)])
+        while rest := total - start:
+            class_ = min(self.capacity // rest, self.classes)
+            pieces, used = self.open.pop(class_, ([], 0))
+            full = len(pieces) == class_ < self.classes
+            taken = min(rest, self.capacity - used) if full or class_ == self.classes else rest
+            pieces.append(cut(taken))
+            used += taken
+            if used == self.capacity:
+                yield self._close(pieces)
+            else:
+                self.open[class_] = (pieces, used)
 
     def finish(self) -> Iterator[tuple[int, list]]:
-        """Close what is open as sequences whose sums are powers of two, cutting tails where one ends."""
-        for size, pieces in sorted(self.open.items()):
-            while pieces:
-                n = 1 << (len(pieces).bit_length() - 1)
-                yield self._close(pieces[:n])
-                pieces = pieces[n:]
-        self.open = {}
-        pieces, total = self.tails[::-1], self.tail_sum
+        """Close what is open: whole sequences, then sequences whose sums are powers of two."""
+        left = [p for _, (pieces, _) in sorted(self.open.items()) for p in pieces][::-1]
+        total, self.open = sum(len(p[1]) // 4 for p in left), {}
         while total:
-            room = 1 << (total.bit_length() - 1)
+            room = min(self.capacity, 1 << (total.bit_length() - 1))
             total -= room
             taken = []
             while room:
-                key, start, length = pieces.pop()
-                if length > room:
-                    pieces.append((key, start + room, length - room))
-                    length = room
-                taken.append((key, start, length))
-                room -= length
+                key, raw, start, tokens = left.pop()
+                n = len(raw) // 4
+                if n > room:
+                    left.append((key, raw[room * 4 :], start + room, tokens))
+                    raw, n = raw[: room * 4], room
+                taken.append((key, raw, start, tokens))
+                room -= n
             yield self._close(taken)
-        self.tails, self.tail_sum = [], 0
 
 
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
     capacity: int = 4096,
-    smallest: int = 64,
+    classes: int = 64,
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -168,8 +158,8 @@ def pack(
     a null id stays null; repeated rows are packed as so many documents; very long texts become many whole sequences;
     an empty table gives no rows; other columns of ``docs`` are not read, so their names cannot clash.
     """
-    if capacity & (capacity - 1) or smallest & (smallest - 1) or not 0 < smallest <= capacity:
-        raise ValueError("capacity and smallest must be powers of two, smallest the lesser")
+    if capacity < 1 or capacity & (capacity - 1) or not 1 < classes <= capacity:
+        raise ValueError("capacity must be a power of two, and classes from 2 to it")
     source = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     key_type = source.schema["k"].dataType
     fields = [
@@ -182,7 +172,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
-        bins = HarmonicBins(capacity, smallest, TaskContext.get().partitionId() << 36)
+        bins = HarmonicBins(capacity, classes, TaskContext.get().partitionId() << 36)
         end = np.array([end_id], dtype="<u4").tobytes()
         key_arrow = None
 
@@ -190,9 +180,9 @@ def pack(
             key, start, length, crc, total, seq, offset, ids = [], [], [], [], [], [], [], []
             for sequence, pieces in sequences:
                 at = 0
-                for (k, raw), s, n in pieces:
-                    part = raw[s * 4 : (s + n) * 4]
-                    for column, value in ((key, k), (start, s), (length, n), (crc, zlib.crc32(part)), (total, len(raw) // 4), (seq, sequence), (offset, at)):
+                for k, part, s, tokens in pieces:
+                    n = len(part) // 4
+                    for column, value in ((key, k), (start, s), (length, n), (crc, zlib.crc32(part)), (total, tokens), (seq, sequence), (offset, at)):
                         column.append(value)
                     if with_ids:
                         ids.append(np.frombuffer(part, dtype="<i4"))
@@ -205,11 +195,7 @@ def pack(
         def added(keys, texts):
             for lo in range(0, len(texts), 256):
                 for key, raw in zip(keys[lo : lo + 256], tokenizer.encode_batch([t or "" for t in texts[lo : lo + 256]]), strict=True):
-                    raw += end
-                    start = 0
-                    for length in cut_lengths(len(raw) // 4, capacity, smallest):
-                        yield from bins.add((key, raw), start, length)
-                        start += length
+                    yield from bins.add(key, raw + end)
 
         for batch in batches:
             tokenizer = tokenizer or WordCachedTokenizer(tokenizer_path)

@@ -79,6 +79,24 @@ def test_pack_round_trip(spark):
     assert packing.padding(packing.pack(docs(spark, rows), TOKENIZER, with_ids=False)).first()["share"] < 0.01
 
 
+def test_harmonic_classes():
+    """A closed bin of class j below the last holds j whole documents and the head of one more, unless they fill it exactly."""
+    rng, bins = np.random.default_rng(4), packing.HarmonicBins(64, 8, 0)
+    sizes = [*rng.integers(1, 200, 3000).tolist(), 64, 32, 32, 16, 16, 16, 16]
+    closed = [pieces for i, n in enumerate(sizes) for _, pieces in bins.add(i, b"\0\0\0\0" * n)]
+    last = list(bins.finish())
+    assert all(sum(len(p[1]) // 4 for p in pieces) == 64 for pieces in closed) and all((sum(len(p[1]) // 4 for p in pieces)).bit_count() == 1 for _, pieces in last)
+    assert sum(len(p[1]) // 4 for pieces in [*closed, *(x for _, x in last)] for p in pieces) == sum(sizes)
+    for pieces in closed:
+        lengths = [len(p[1]) // 4 for p in pieces]
+        if 1 < len(pieces) and min(lengths[:-1]) > 8:
+            class_ = 64 // lengths[0]
+            assert {64 // n for n in lengths[:-1]} == {class_} and len(pieces) in (class_, class_ + 1)
+            assert all(p[2] + len(p[1]) // 4 == p[3] for p in pieces[:-1])  # whole, or the end of a document
+    per_document = len([p for pieces in closed for p in pieces]) / len(sizes)
+    assert per_document < 3 and len({i for i, _ in last}) == len(last)
+
+
 def test_pack_splits_words_as_the_tokenizer_does():
     from tokenizers import Tokenizer
 
