@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -286,9 +287,6 @@ def test_warc_transactions_answer_from_what_is_read(spark, tmp_path):
 def test_html_structure_and_suffix_array(spark):
     page = html.Page('<body><div id="cookie-notice">c</div><nav>n</nav><main><h1>T &lt; x</h1><p>a<b>b</b>c<br>d &nbsp; e<p>two<!-- x --><ul><li>one<li>2</ul><div class="comments">r</div><form>f</form><script>var a="</p>";</script></main><aside>s</aside><footer>z</footer>')
     assert [t for t, _ in page.parts()[0]] == ["T < x", "abc d e", "two", "one", "2"]
-    stream = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 5, 6, 7, 8, 77], dtype=np.uint64)
-    rank = html.suffix_classes(stream)
-    assert rank[0] == rank[9] and len(set(rank.tolist())) == len(stream) - 1
     menu = "home news sport weather travel food music film"
     rows = [(i, f"http://h.org/{i}", f"<div>{menu}</div><div>{prose(i, 30)}</div>") for i in range(5)]
     rows += [(10, "http://other.org/", f"<div>{menu}</div>"), (11, None, None), (12, "http://h.org/x", ""), (13, "http://h.org/0", rows[0][2])]
@@ -299,6 +297,63 @@ def test_html_structure_and_suffix_array(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 50, 300):
+        for letters in (1, 2, 5, 1000):
+            stream = rng.integers(0, letters, n).astype(np.uint64)
+            plain = sorted(range(n), key=lambda i: stream[i:].tolist())
+            order, lcp = html.suffix_array(stream)
+            assert order.tolist() == plain
+            common = [sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(stream[a:], stream[b:], strict=False))) for a, b in itertools.pairwise(plain)]
+            assert lcp.tolist()[1:] == common
+
+
+@pytest.mark.parametrize("shard_tokens", [150, 10**6])
+def test_repeats_against_brute_force(spark, shard_tokens):
+    """Open text loses exactly the places of 8-token runs on three or more distinct pages of its host; shards change nothing."""
+    rng, rows = np.random.default_rng(6), []
+    common = [prose(70 + i, 6 + 5 * i) for i in range(4)]
+    for i in range(40):
+        blocks = [prose(i * 10 + j, int(rng.integers(1, 25))) for j in range(3)] + [common[k] for k in rng.integers(0, 4, 3)]
+        rows.append((i, f"https://h{i % 3}.org/{i}", "".join(f"<p>{blocks[k]}</p>" for k in rng.permutation(6))))
+    rows += [(40, "https://h0.org/x", rows[0][2]), (41, "https://one.org/", rows[1][2])]
+    runs: dict = {}
+    for i, url, source in rows[:40] + rows[41:]:
+        stream = [t for b in re.findall("<p>(.*?)</p>", source) for t in html.padded(b.split())]
+        for at in range(len(stream) - 7):
+            runs.setdefault((url.split("/")[2], *stream[at : at + 8]), set()).add(i)
+    expected = {}
+    for i, url, source in rows:
+        stream = [t for b in re.findall("<p>(.*?)</p>", source) for t in html.padded(b.split())]
+        gone = {at + j for at in range(len(stream) - 7) if len(runs[(url.split("/")[2], *stream[at : at + 8])]) >= 3 for j in range(8)}
+        kept, at = [], 0
+        for b in re.findall("<p>(.*?)</p>", source):
+            kept.append(" ".join(t for j, t in enumerate(b.split(), at) if j not in gone))
+            at += len(html.padded(b.split()))
+        expected[i] = "\n\n".join(x for x in kept if x)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(pages, shard_tokens=shard_tokens).collect()} == expected
+
+
+def test_hints_within_an_article_are_left_to_the_suffix_array(spark):
+    legal = "terms apply to all offers shown on this page today"
+    rows = [(i, "http://h.org/" + str(i), f'<article><p>{prose(i, 20)}</p><p class="legal">{legal}</p><p class="share">Share this</p><p class="notice">{prose(90 + i, 9)}</p><div class="comments">{prose(50 + i, 9)}</div></article>') for i in range(4)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: prose(i, 20) + "\n\n" + prose(90 + i, 9) for i in range(4)}
+
+
+def test_raw_elements_cost_linear_time():
+    def seconds(n: int) -> float:
+        source = "<article>" + "<p>x</p><script>var a = '<p>';</script>" * n + "<svg>" * n + "</article>"
+        began = time.perf_counter()
+        assert len(html.Page(source).parts()[0]) >= n
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(8000) < 40 * max(seconds(800), 0.005)
+
+
 def test_licences():
     m = licences.Matcher(licences.TEMPLATES, 0.8)
     assert m.matches("intro\nReleased under the MIT License.\nmore") == {"mit-notice": 1.0}
