@@ -113,7 +113,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """A row per row of ``docs``: ``id_col``, ``lang_pred``, ``score`` (its proportion), ``languages`` (array of lang, share).
 
     Defined cases: a null text, or one without a letter, is ``und`` with score 0 and no languages, as is every text if
-    nothing was learnt; ties go to the language first in order; repeated rows get equal answers; null ids stay null; an
+    nothing was learnt; very long texts are read whole; ties go to the language first in order; repeated rows get equal answers; null ids stay null; an
     empty table gives no rows; other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))

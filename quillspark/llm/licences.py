@@ -123,7 +123,7 @@ class Matcher:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: id, ``licence`` (best template, ties by name; null if none), ``dice`` and ``n_licences``.
 
-    ``matches`` maps every matched template to its best coefficient.  Defined cases: null and empty texts match nothing;
+    ``matches`` maps every matched template to its best coefficient.  Defined cases: null and empty texts match nothing; very long texts are read whole;
     repeated rows get equal answers; null ids stay null; an empty table gives no rows; other columns are not read.
     """
     matcher = Matcher(TEMPLATES if templates is None else templates, threshold)

@@ -82,21 +82,25 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self._cache = model, {}
 
-    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """The text's number of tokens, and its significant segments as (first token, end, normalised score)."""
+    def values(self, text: str | None) -> np.ndarray:
+        """The score of every token of the text."""
         words = _WORD.findall(text.lower()) if text else []
-        if not words:
-            return 0, []
         cache, model = self._cache, self.model
         if len(cache) > CACHE_WORDS:
             cache.clear()
         for w in set(words):
             if w not in cache:
                 cache[w] = model.word_score(w)
-        values = np.fromiter(map(cache.__getitem__, words), dtype=np.float64, count=len(words))
-        base = model.log_k + math.log(len(words))
+        return np.fromiter(map(cache.__getitem__, words), dtype=np.float64, count=len(words))
+
+    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """The text's number of tokens, and its significant segments as (first token, end, normalised score)."""
+        values, model = self.values(text), self.model
+        if not len(values):
+            return 0, []
+        base = model.log_k + math.log(len(values))
         found = [(a, b, model.rate * s - base) for a, b, s in maximal_segments(values)]
-        return len(words), [x for x in found if x[2] > 0]
+        return len(values), [x for x in found if x[2] > 0]
 
     def score(self, text: str | None) -> float:
         n, found = self.segments(text)
@@ -107,10 +111,10 @@ def _near_copy_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     cache = _WordHashes()
     for batch in batches:
         keys = []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             hashes = shingle_hashes(text, cache)
             keys.append(int(hashes[0].view(np.int64)) if len(hashes) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["y", "t", "near"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["i", "y", "t", "near"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +149,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS, z: float = 3.0, least_docs: int = 3, least_score: float = 1.0) -> Model:
     """A model from labelled rows (label 1: toxic). Rows without label are ignored; without both classes, a flat score."""
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), (F.col(label_col) > 0).alias("y"), F.col(text_col).cast("string").alias("t"))
-    rows = bounded_sample(rows, "i", sample_rows).select("y", "t")
-    sample = materialize(rows.mapInArrow(_near_copy_key, "y boolean, t string, near long").dropDuplicates(["near", "y"]).select("y", "t"), "toxicity_sample")
+    rows = bounded_sample(rows, "i", sample_rows)
+    # Of near copies the row with the least id stands for all, so that every run fits the same model.
+    keyed = rows.mapInArrow(_near_copy_key, f"i {rows.schema['i'].dataType.simpleString()}, y boolean, t string, near long")
+    sample = materialize(keyed.groupBy("near", "y").agg(F.min(F.struct("i", "t")).alias("first")).select("y", "first.t"), "toxicity_sample")
     totals = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n1, n0 = totals.get(True, 0), totals.get(False, 0)
     if not n1 or not n0:
@@ -161,7 +167,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample_
     odds = F.ln(hit / miss) - F.ln(hit0 / miss0)
     bound = odds - z * F.sqrt(1 / hit + 1 / hit0)
     best = counts.filter(F.col("toxic") >= least_docs).withColumn("s", bound).filter(F.col("s") >= least_score).select("f", "s")
-    model = Model(scores={r["f"]: r["s"] for r in best.orderBy(F.desc("s"), "f").limit(200_000).collect()})
+    model = Model(scores=dict(best.collect()))  # features of toxic texts of the bounded sample
 
     # Extreme-value law from clean texts: p of each score, sum p exp(lambda s) = 1.
     def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +187,25 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample_
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(mid * s)).sum() < 1 else (lo, mid)
     model.rate = max(lo, 0.05)
-    model.log_k = math.log(max(p[s > 0].sum(), 1e-5)) if len(s) else math.log(1e-5)
+
+    # K from the law's tail: of N clean tokens, K N exp(-lambda x) maximal segments reach x; x is the ninth decile of those found.
+    def clean_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, counts = Scorer(model), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                values = scorer.values(text)
+                counts[-1.0] += len(values)  # tokens
+                counts.update(round(x, 1) for _, _, x in maximal_segments(values))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.float64()), pa.array(list(counts.values()), pa.int64())], ["s", "n"])
+
+    tail = dict(sample.filter(~F.col("y")).select("t").mapInArrow(clean_segments, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect())
+    tokens, reached, wanted = tail.pop(-1.0, 0), 0, 0.1 * sum(tail.values())
+    model.log_k = math.log(1e-5)
+    for x in sorted(tail, reverse=True):
+        reached += tail[x]
+        if reached >= wanted:
+            model.log_k = max(model.log_k, math.log(reached / tokens) + model.rate * x)
+            break
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -200,8 +224,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """A row per row of ``docs``: ``id_col``, ``text_hash``, ``score`` (0 to 1) and, with ``spans``, ``segments``.
 
     ``segments`` are the significant toxic passages as (token, end, score), tokens being runs of letters.  Defined cases:
-    null and empty texts score as texts without segments; repeated rows get equal scores; null ids stay null; an empty
-    table gives no rows; other columns are not read.
+    null and empty texts score as texts without segments; very long texts are scored whole; repeated rows get equal scores;
+    null ids stay null; an empty table gives no rows; other columns are not read.
     """
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("th"), text.alias("t"))
@@ -226,7 +250,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``; no row is moved."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; no row is moved.
+
+    Null and empty texts score as texts without segments; ids are not read; repeated rows stay or go together; very long texts
+    are scored whole; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -234,6 +234,51 @@ def test_language_mixture(spark):
     assert list(model.mixture(de * 3)) == ["de"] and model.mixture("123 !?") == {} and model.mixture(None) == {}
 
 
+def test_language_mixture_against_plain_em(spark):
+    """Proportions, likelihoods and the chosen set, from counts of trigrams in plain Python."""
+    rng = np.random.default_rng(12)
+    letters = {"aa": "abcdef", "bb": "cdefgh", "cc": "efghab"}
+    write = lambda lang, n, seed: " ".join("".join(np.random.default_rng(seed * 1000 + i).choice(list(letters[lang]), 4)) for i in range(n))
+    train = [(write(x, 400, k), x) for k, x in enumerate(letters)]
+    model = langid.fit(spark.createDataFrame(train, "t string, l string"), "t", "l")
+
+    def plain_counts(text: str) -> Counter:
+        padded = " " + " ".join(text.split()) + " "
+        return Counter(padded[i : i + 3] for i in range(len(padded) - 2))
+
+    for _ in range(8):
+        a, b = rng.choice(list(letters), 2, replace=False)
+        text = write(a, int(rng.integers(20, 80)), int(rng.integers(50, 99))) + " " + write(b, int(rng.integers(0, 80)), int(rng.integers(50, 99)))
+        ids, counts = langid.trigram_counts(text)
+        assert sum(counts) == sum(plain_counts(text).values())
+        p = np.exp(model.log_p[ids])
+
+        def em(chosen, p=p, counts=counts):
+            share = [1 / len(chosen)] * len(chosen)
+            for _ in range(25):
+                new = [0.0] * len(chosen)
+                for row, n in zip(p, counts, strict=True):
+                    joint = sum(s * row[c] for s, c in zip(share, chosen, strict=True))
+                    for k, c in enumerate(chosen):
+                        new[k] += n * share[k] * row[c] / joint
+                new = [x / sum(counts) for x in new]
+                moved, share = max(abs(x - y) for x, y in zip(new, share, strict=True)), new
+                if moved < 1e-4:
+                    break
+            return share, sum(n * np.log(sum(s * row[c] for s, c in zip(share, chosen, strict=True))) for row, n in zip(p, counts, strict=True))
+
+        order = np.argsort(-np.array(em([0, 1, 2])[0]), kind="stable").tolist()
+        found, best = None, -np.inf
+        for size in (1, 2, 3):
+            share, likelihood = em(order[:size])
+            value = likelihood - (size - 1) * np.log(sum(counts))
+            if value <= best:
+                break
+            found, best = {model.languages[c]: s for c, s in zip(order[:size], share, strict=True)}, value
+        got = model.mixture(text)
+        assert set(got) == set(found) and all(abs(got[k] - v) < 1e-6 for k, v in found.items())
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\n" + "x" * 1200
     rows = [(1, "http://a/1", big), (2, "http://a/2 x\r\nWARC-Type: bad", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", big[:-1]), (6, "u", big[:-1]), (None, "u", "null id")]
