@@ -374,6 +374,7 @@ def nw_align_ops(spark, sf_dir):
     top = R.top_with_margin(R.work_scores(rows, "id", X.skeleton(F.col("text")), index))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("work_id"), X.tokenize(F.col("text")).alias("ref"))
     joined = rows.join(top, rows["id"] == top["query_id"]).join(R.broadcast_if_small(items, 20_000), "work_id")
+    joined = joined.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # few bytes, much work: not to be coalesced
     a = A.align_udf("latin")(X.tokenize(F.col("text")), F.col("ref"), F.transform("ref", lambda _: F.col("work_id").cast("string")))
     found = joined.withColumn("a", a)
     return found.select("id", "work_id", A.label(F.col("a.ops"), F.col("a.relaxed"), LATIN).alias("decision"), A.op_count(F.col("a.ops"), "match").cast("long").alias("n_match"), A.op_count(F.col("a.ops"), "delete").cast("long").alias("n_delete"), F.size("a.ops").cast("long").alias("n_ops"))
