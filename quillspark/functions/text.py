@@ -49,18 +49,22 @@ def strip_unknown(text: Column) -> Column:
     return collapse(F.regexp_replace(text, "unk>|un>|<unk?>?|<k>?|<un", " "))
 
 
+# Verse marks, and what captions put in brackets.
+VERSE_NUMBER = "॥[੦-੯]+॥"
+DOUBLE_DANDA = "॥"
+CAPTION_TAGS = r"(?i)\[[^\]]*\]|\(\s*(?:music|sangit|applause|laughter|instrumental)\s*\)"
+CAPTION_MARKS = "॥[੦-੯0-9]*॥|॥|।"
+
+
 def strip_verse_marks(text: Column, joint: str = "") -> Column:
-    """Numbered and bare verse marks replaced by ``joint`` ('' for training text, ' ' for matching), zero-width joiners too."""
-    out = F.regexp_replace(text, r"॥\s*[੦-੯0-9]+\s*॥", joint)
-    out = F.regexp_replace(out, r"[॥।]", joint)
-    return collapse(F.regexp_replace(out, r"[\x{200B}\x{200C}\x{200D}]", joint))
+    """Numbered and bare double marks replaced by ``joint`` ('' for training text, ' ' for matching)."""
+    return collapse(F.regexp_replace(F.regexp_replace(text, VERSE_NUMBER, joint), DOUBLE_DANDA, joint))
 
 
 def strip_caption(text: Column) -> Column:
-    """Bracket and parenthesis tags and verse marks as blanks, zero-width characters away."""
-    out = F.regexp_replace(text, r"\[[^\]]*\]|\([^)]*\)", " ")
-    out = F.regexp_replace(out, r"॥\s*[੦-੯0-9]*\s*॥?", " ")
-    return collapse(F.regexp_replace(out, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""))
+    """Tags in brackets and verse marks, single and double, as blanks, zero-width characters away."""
+    out = F.regexp_replace(F.regexp_replace(text, CAPTION_TAGS, " "), CAPTION_MARKS, " ")
+    return collapse(F.regexp_replace(out, r"[\x{200C}\x{200D}]", ""))
 
 
 def normalize_word(word: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,11 +39,14 @@ def clock_seconds(text: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
 def html_unescape(text: Column) -> Column:
-    """The five entities that caption and listing files use."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """All character references, named and numbered."""
+    return F.when(F.contains(text, F.lit("&")), _unescaped(text)).otherwise(text)
 
 
 def vtt_cues(files: DataFrame, content: str, *keep: str) -> DataFrame:
@@ -121,11 +126,38 @@ def playlist_fields(line: Column) -> Column:
 
 
 def manifest_tree(spark: SparkSession, root: str, schema: str, defaults: dict | None = None) -> DataFrame:
-    """All <root>/<session>/manifest.jsonl: rows with their session from the folder's name; blank lines are skipped."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{root}/*/manifest.jsonl").withColumn("session", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/manifest\.jsonl", 1))
+    """All <root>/<session>/manifest.jsonl: rows with their session from the folder's name; blank lines are skipped.
+
+    A line that is no JSON of the schema raises when it is read.
+    """
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/*/manifest.jsonl").withColumn("session", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/manifest\.jsonl", 1))
     return rows.fillna(defaults) if defaults else rows
 
 
+def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files that hold one JSON array each."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def jsonl_directory(spark: SparkSession, root: str, schema: str, name: str = "item") -> DataFrame:
+    """Rows of all <root>/*.jsonl, with the file's name (without extension) in column ``name``."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/*.jsonl")
+    return rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.jsonl$", 1))
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of CSV files with a header and a stated schema; quoted fields may hold line feeds."""
+    return spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').option("mode", "FAILFAST").csv(path)
+
+
+def missing_ids(asked: DataFrame, answered: DataFrame, id_: str, **fill: Column) -> DataFrame:
+    """``answered`` and a row for every asked id without an answer, its columns filled as stated (null if not)."""
+    gone = asked.select(id_).distinct().join(answered.select(id_), id_, "left_anti")
+    kinds = {f.name: f.dataType for f in answered.schema.fields}
+    columns = [F.col(id_) if c == id_ else fill.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in answered.columns]
+    return answered.unionByName(gone.select(*columns))
+
+
 def log_events(lines: DataFrame, line: str, pattern: str, fields: tuple[str, ...]) -> DataFrame:
     """Lines that match, with the pattern's groups as columns."""
     return lines.filter(F.col(line).rlike(pattern)).select("*", *[F.regexp_extract(line, pattern, i).alias(f) for i, f in enumerate(fields, 1)])

@@ -82,3 +82,31 @@ def test_grams(spark):
     row = spark.createDataFrame([("abcd", "abxy")], "a string, b string")
     assert row.select(G.common_prefix(F.col("a"), F.col("b"))).first()[0] == 2
     assert row.select(G.overlap_coefficient(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2))).alias("x")).first()["x"] == 1.0
+
+
+def test_caption_and_verse_marks(spark):
+    rows = [("(ਰਾਮ) ਨਾਮੁ । (Music) [x] ॥੧॥ ( sangit ) ਹਰਿ\u200c",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [tuple(r) for r in df.select(X.strip_caption(F.col("t")), X.strip_verse_marks(F.col("t")), X.strip_verse_marks(F.col("t"), " ")).collect()]
+    kept = "(ਰਾਮ) ਨਾਮੁ । (Music) [x] ( sangit ) ਹਰਿ\u200c"
+    assert got == [("(ਰਾਮ) ਨਾਮੁ ਹਰਿ", kept, kept), (None, None, None), ("", "", "")]
+
+
+def test_sources(spark, tmp_path):
+    from quillspark.sources import parsers as R
+
+    (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
+    (tmp_path / "b.jsonl").write_text('{"id": 3}\n')
+    assert sorted(map(tuple, R.jsonl_directory(spark, str(tmp_path), "id long").collect())) == [(1, "a"), (2, "a"), (3, "b")]
+    (tmp_path / "c.json").write_text('[{"id": 1, "t": "x"}, {"id": 2}]')
+    assert sorted(map(tuple, R.json_array(spark, str(tmp_path / "c.json"), "id long, t string").collect())) == [(1, "x"), (2, None)]
+    (tmp_path / "d.csv").write_text('id,t\n1,"a ""b""\nc"\n2,\n')
+    assert sorted(map(tuple, R.csv_rows(spark, str(tmp_path / "d.csv"), "id long, t string").collect())) == [(1, 'a "b"\nc'), (2, None)]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "manifest.jsonl").write_text('{"id": 1}\nbroken\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        R.manifest_tree(spark, str(tmp_path), "id long").collect()
+    asked, answered = spark.createDataFrame([(1,), (2,), (2,), (3,)], "id long"), spark.createDataFrame([(1, "ok")], "id long, verdict string")
+    assert sorted(map(tuple, R.missing_ids(asked, answered, "id", verdict=F.lit("REJECT")).collect())) == [(1, "ok"), (2, "REJECT"), (3, "REJECT")]
+    df = spark.createDataFrame([("&amp;&eacute;&#x41;",), ("a",), (None,)], "t string")
+    assert [r[0] for r in df.select(R.html_unescape(F.col("t"))).collect()] == ["&éA", "a", None]
