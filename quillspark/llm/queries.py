@@ -37,7 +37,9 @@ def op4_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_records`` are the records of the transaction; ``verified`` that claimed digest and payload agree."""
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    found = warc.resolve(warc.captures(warc.read(spark, path)))
+    # Payloads are digested where archives are read, which happens once.
+    found = materialize(warc.read(spark, path).drop("payload"), "records")
+    found = warc.resolve(warc.captures(found))
     return found.select(
         warc.metadata_field("page-id").cast("long").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("kind").alias("record_type"),
         warc.metadata_field("page-id", "target.metadata").cast("long").alias("refers_to"),

@@ -24,6 +24,8 @@ from quillspark.plans.storage import materialize
 LEAST_REVISIT = 1000
 #: Compressed bytes of an archive file, about: it is closed by the record that reaches them.
 ARCHIVE_BYTES = 32 << 20
+#: Bytes of an archive that are unpacked at once.
+PIECE = 1 << 14
 END = "\r\n\r\n"
 #: Fixed value: a gzip member without content, which ends every archive.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300" "0000000000000000")
@@ -133,11 +135,14 @@ def members(content: bytes) -> Iterator[bytes]:
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    view, at = memoryview(content), 0
-    while at < len(view):
-        unpacker = zlib.decompressobj(31)
-        yield unpacker.decompress(view[at:])
-        at = len(view) - len(unpacker.unused_data)
+    at = 0
+    while at < len(content):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof and at < len(content):  # by pieces: what follows a member is handed back as a copy
+            piece = content[at : at + PIECE]
+            parts.append(unpacker.decompress(piece))
+            at += len(piece) - len(unpacker.unused_data)
+        yield b"".join(parts)
 
 
 _HEADER = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)")
@@ -211,7 +216,8 @@ def captures(found: DataFrame) -> DataFrame:
 
     (record_id, kind, uri, digest, refers_to, payload, payload_bytes, payload_sha1, request struct, metadata struct).  A
     capture without request or metadata has null there; requests and metadata without a capture are left out; if several
-    name one capture, the least by record id is taken; a revisit's payload is empty; no records give no rows.
+    name one capture, the least by record id is taken; a revisit's payload is empty; no records give no rows.  ``found`` is
+    read three times; without its column payload the rows have none either.
     """
 
     def partner(kind: str, *fields) -> DataFrame:
@@ -219,7 +225,7 @@ def captures(found: DataFrame) -> DataFrame:
         return rows.agg(F.min(F.struct(F.col("record_id").alias("id"), *fields)).alias(kind))
 
     main = found.filter(F.col("kind").isin("response", "revisit"))
-    main = main.select("record_id", "kind", "uri", "digest", "refers_to", "payload", "payload_bytes", "payload_sha1")
+    main = main.drop("concurrent_to", "head")
     return main.join(partner("request", F.col("uri"), F.col("head").alias("line")), "record_id", "left").join(partner("metadata", F.col("head").alias("fields")), "record_id", "left")
 
 
