@@ -309,19 +309,12 @@ _SQL_SETS = "SELECT DISTINCT * FROM ({})"
 
 
 @query(f"""WITH l AS ({SQL_LINES}), r AS ({_SQL_SETS.format(gram_rows("work_id, line_id", "SELECT work_id, line_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM l"))}),
-q AS ({_SQL_SETS.format(gram_rows("query_id", "SELECT doc_id AS query_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents WHERE n_chars < 400"))}),
+q AS ({_SQL_SETS.format(gram_rows("query_id", "SELECT doc_id AS query_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents"))}),
 rn AS (SELECT line_id, count(*) AS rn FROM r GROUP BY line_id), qn AS (SELECT query_id, count(*) AS qn FROM q GROUP BY query_id),
 s AS (SELECT query_id, work_id, line_id, count(*) AS n FROM q JOIN r USING (gram) GROUP BY ALL),
 b AS (SELECT query_id, work_id, line_id, CAST(n AS DOUBLE) / least(qn, rn) AS score FROM s JOIN rn USING (line_id) JOIN qn USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id, work_id ORDER BY CAST(n AS DOUBLE) / least(qn, rn) DESC, line_id) = 1)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, work_id, line_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 5""")
 def overlap_coefficient_topn(spark, sf_dir):
-    """Short clips (the operator's input are clip-length texts) against all lines."""
-    queries = table(spark, sf_dir, "documents").filter("n_chars < 400")
-    return R.literal_search(queries, "doc_id", F.col("text"), bench_lines(spark, sf_dir), "work_id", "line_id", F.col("text"), top=5)
-
-
-@query(ORACLE_SQL["overlap_coefficient_topn"].replace(" WHERE n_chars < 400", ""))
-def overlap_coefficient_topn_whole(spark, sf_dir):
     """All documents, of any length, against all lines."""
     return R.literal_search(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), bench_lines(spark, sf_dir), "work_id", "line_id", F.col("text"), top=5)
 
@@ -335,19 +328,13 @@ def lcp_prefix_pointer(spark, sf_dir):
     return rows.select("conv_id", "turn", G.common_prefix(F.col("a"), F.col("b")).alias("common"), G.prefix_score(F.col("a"), F.col("b")).alias("score"))
 
 
-@query(f"""WITH l AS ({SQL_LINES}), d AS (SELECT id, text FROM ({_SQL_DOC_LINES}) WHERE length(text) BETWEEN 12 AND 60),
+@query(f"""WITH l AS ({SQL_LINES}), d AS (SELECT id, text FROM ({_SQL_DOC_LINES}) WHERE length(text) >= 3),
 a AS (SELECT DISTINCT * FROM ({gram_rows('query_id, ql', 'SELECT id AS query_id, length(text) AS ql, text AS t FROM d', 3)})),
 b AS (SELECT DISTINCT * FROM ({gram_rows('line_id, tl', 'SELECT line_id, length(text) AS tl, text AS t FROM l', 3)})),
 s AS (SELECT query_id, line_id, count(*) AS shared FROM a JOIN b USING (gram) GROUP BY query_id, line_id, ql, tl HAVING tl >= 0.3 * ql AND tl <= 3.0 * ql)
 SELECT query_id, line_id, shared, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, line_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20""")
 def trigram_candidate_match(spark, sf_dir):
-    queries = doc_lines(spark, sf_dir).filter(F.length("text").between(12, 60))
-    return R.trigram_candidates(queries, "id", "text", bench_lines(spark, sf_dir), "line_id", "text", top=20).select("query_id", "line_id", "shared", "rank")
-
-
-@query(ORACLE_SQL["trigram_candidate_match"].replace("length(text) BETWEEN 12 AND 60", "length(text) >= 3"))
-def trigram_candidate_match_whole(spark, sf_dir):
-    """Sentences of any length from 3 characters on."""
+    """Sentences of any length from 3 characters on (a trigram's length)."""
     queries = doc_lines(spark, sf_dir).filter(F.length("text") >= 3)
     return R.trigram_candidates(queries, "id", "text", bench_lines(spark, sf_dir), "line_id", "text", top=20).select("query_id", "line_id", "shared", "rank")
 

@@ -58,6 +58,6 @@ def test_every_sentence_is_answered(spark):
 
 def test_sentences_of_any_length_are_matched(spark):
     sentences = {r.id: r.text for r in catalogue.doc_lines(spark, SF).collect()}
-    for name, key in (("trigram_candidate_match_whole", "query_id"), ("nw_align_ops", "id")):
+    for name, key in (("trigram_candidate_match", "query_id"), ("nw_align_ops", "id")):
         found = {len(sentences[r[key]]) for r in catalogue.QUERIES[name](spark, SF).select(key).distinct().collect()}
         assert min(found) < 12 and max(found) > 200, name
