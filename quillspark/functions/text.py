@@ -235,6 +235,46 @@ def transliterate(text: Column, reorders: tuple[tuple[str, str], ...], words: tu
     return F.translate(out, *chars)
 
 
+# Devanagari signs whose counterpart in the Gurmukhi block lies 0x100 above, and those that differ.
+PARALLEL_SIGNS = "अआइईउऊएऐओऔकखगघङचछजझञटठडढणतथदधनपफबभमयरलवसहािीुूेैोौ्ंँ०१२३४५६७८९"
+OTHER_SIGNS = (("श", "ਸ਼"), ("ष", "ਸ਼"), ("ः", ""), ("क़", "ਕ਼"), ("ख़", "ਖ਼"), ("ग़", "ਗ਼"), ("ज़", "ਜ਼"), ("ड़", "ੜ"), ("ढ़", "ੜ੍ਹ"), ("फ़", "ਫ਼"))
+
+
+def devanagari_to_gurmukhi(text: Column) -> Column:
+    """Sign by sign; letters with a nukta as one, other signs and other scripts stay."""
+    return transliterate(text, (), OTHER_SIGNS, (PARALLEL_SIGNS, "".join(chr(ord(c) + 0x100) for c in PARALLEL_SIGNS)))
+
+
+def looks_devanagari(text: Column, share: float = 0.3) -> Column:
+    """Whether more than ``share`` of all characters are Devanagari; false for null and empty texts."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}]")) > share * F.length(text), F.lit(False))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def collapse_phrases(tokens: pd.Series) -> pd.Series:
+    """Phrases of 3 to 8 tokens said three times or more in a row, once; longer phrases first.  Null stays null.
+
+    For each phrase length the runs of tokens that equal the one a phrase further on are counted from the end, so a
+    place is judged without comparing phrases.
+    """
+    return tokens.map(lambda t: _collapsed(list(t)), na_action="ignore")
+
+
+def _collapsed(tokens: list, shortest: int = 3, longest: int = 8, least: int = 3) -> list:
+    same = {}
+    for size in range(shortest, longest + 1):
+        run = [0] * (len(tokens) + 1)
+        for i in range(len(tokens) - size - 1, -1, -1):
+            run[i] = run[i + 1] + 1 if tokens[i] == tokens[i + size] else 0
+        same[size] = run
+    out, i = [], 0
+    while i < len(tokens):
+        said = next(((size, same[size][i] // size + 1) for size in range(longest, shortest - 1, -1) if same[size][i] >= size * (least - 1)), (1, 1))
+        out += tokens[i : i + said[0]]
+        i += said[0] * said[1]
+    return out
+
+
 def strip_pauses(text: Column) -> Column:
     """Without the pause marks ; . and , of annotated lines."""
     return F.translate(text, ";.,", "")

@@ -40,6 +40,21 @@ def error_rate(rows: DataFrame, edits: Column, units: Column, *keys: str) -> Dat
     return sums.withColumn("rate", F.when(F.col("units") > 0, 100.0 * F.col("edits") / F.col("units")))
 
 
+def recogniser_report(rows: DataFrame, edits: Column, units: Column, audio: str, decode: str, order: list[str], *keys: str) -> DataFrame:
+    """Error rate, real-time factor (seconds of decoding per second of audio) and the first row's decoding time, by key.
+
+    Null seconds count 0 in the sums; without audio the factor's divisor is 1e-6.
+    """
+    def exact(c: str) -> Column:
+        return F.sum(F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(18,4)")).cast("double")
+
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(edits).alias("edits"), F.sum(units).alias("units"), exact(audio).alias("audio_s"), exact(decode).alias("decode_s"), F.min(F.struct(*order, decode))[decode].alias("first_latency_s"),
+    )
+    rate = F.when(F.col("units") > 0, 100.0 * F.col("edits") / F.col("units"))
+    return sums.withColumns({"rate": rate, "rtf": F.col("decode_s") / F.greatest("audio_s", F.lit(1e-6))})
+
+
 def totals(rows: DataFrame, seconds: str, size: str, who: str, *keys: str) -> DataFrame:
     """Hours, gigabytes and distinct names by key; summed as decimals."""
     def exact(c: str) -> Column:

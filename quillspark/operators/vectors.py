@@ -71,21 +71,25 @@ def group_hits(hits: DataFrame, work: str) -> DataFrame:
     return out.select("query_id", work, "hits", "total", F.col("b.score").alias("best"), (-F.col("b.neg")).alias("best_id"))
 
 
-def hybrid(groups: DataFrame, work: str, literal: DataFrame, confirmed: DataFrame, floor: float = 0.5, weight: float = 0.6, agree: float = 1.1, differ: float = 0.9, top: int = 5) -> DataFrame:
-    """Works ranked by weight * best cosine + (1 - weight) * literal overlap, more if the work-level search agrees.
+def hybrid(groups: DataFrame, work: str, literal: DataFrame | None, confirmed: DataFrame, floor: float = 0.5, weight: float = 0.4, agree: float = 1.1, differ: float = 0.9, top: int = 5) -> DataFrame:
+    """Works ranked by (1 - weight) * best cosine + weight * literal overlap, more if the work-level search agrees.
 
-    ``literal`` is (query_id, work, overlap), ``confirmed`` (query_id, work) the work-level best.  Adds ``ui``: the score's
-    place between the query's least and greatest, mapped to 0.5 .. 1.
+    ``literal`` is (query_id, work, overlap), or None for the mode by meaning alone, where the cosine counts whole; the
+    mode by letters alone is :func:`retrieval.literal_search`.  ``confirmed`` is (query_id, work), the work-level best.  A
+    query whose best cosine is below ``floor`` has no answer.  Adds ``ui``: the score's place between the query's least (0
+    for a single work) and greatest, mapped to 0.5 .. 1.
     """
+    w = Window.partitionBy("query_id")
     c = confirmed.select("query_id", F.col(work).alias("top_work"))
-    rows = groups.filter(F.col("best") >= floor).join(literal, ["query_id", work], "left").join(c, "query_id", "left")
-    blend = weight * F.col("best") + (1 - weight) * F.coalesce("overlap", F.lit(0.0))
+    rows = groups.withColumn("_best", F.max("best").over(w)).filter(F.col("_best") >= floor).join(c, "query_id", "left")
+    if literal is not None:
+        rows = rows.join(literal, ["query_id", work], "left")
+    blend = F.col("best") if literal is None else (1 - weight) * F.col("best") + weight * F.coalesce("overlap", F.lit(0.0))
     rows = rows.withColumn("confirmed", F.coalesce(F.col(work) == F.col("top_work"), F.lit(False))).withColumn("score", blend * F.when(F.col("confirmed"), agree).otherwise(differ))
-    w = Window.partitionBy("query_id")
-    span = F.max("score").over(w) - F.min("score").over(w)
-    ui = F.when(span > 0, 0.5 + 0.5 * (F.col("score") - F.min("score").over(w)) / span).otherwise(F.lit(1.0))
+    low = F.when(F.count("*").over(w) > 1, F.min("score").over(w)).otherwise(F.lit(0.0))
+    ui = 0.5 + 0.5 * (F.col("score") - low) / F.greatest(F.max("score").over(w) - low, F.lit(1e-6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), work)
-    ranked = rows.withColumns({"ui": ui, "rank": F.row_number().over(order)})
+    ranked = rows.withColumns({"ui": F.least(F.greatest(ui, F.lit(0.0)), F.lit(1.0)), "rank": F.row_number().over(order)})
     return ranked.filter(F.col("rank") <= top).select("query_id", work, "score", "ui", "confirmed", "rank")
 
 

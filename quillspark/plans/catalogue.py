@@ -27,7 +27,7 @@ from quillspark.operators import validate as V
 from quillspark.operators import vectors as K
 from quillspark.plans.session import table
 from quillspark.sources import parsers, sinks
-from quillspark.streaming import tracker
+from quillspark.streaming import live, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,6 +374,19 @@ def stage1_pipeline(spark, sf_dir):
     return stages.canonical_stage(c, bench_lines(spark, sf_dir))
 
 
+@query(f"""WITH o AS (SELECT conv_id, turn, {skel('t')} AS bones FROM (SELECT conv_id, turn, unnest({tok('text')}) AS t FROM conversations)), l AS (SELECT * FROM o WHERE length(bones) >= 2),
+e AS (SELECT conv_id, turn FROM l GROUP BY conv_id, turn HAVING count(*) >= 3), q AS (SELECT conv_id, turn, bones, count(*) AS m FROM l JOIN e USING (conv_id, turn) GROUP BY conv_id, turn, bones),
+k AS (SELECT item_id, {skel('t')} AS bones, count(*) AS k FROM (SELECT item_id, unnest({tok('text')}) AS t FROM benchmark) GROUP BY item_id, bones),
+v AS (SELECT conv_id, turn, item_id, sum(m * k) AS votes FROM q JOIN k USING (bones) WHERE item_id <> conv_id GROUP BY conv_id, turn, item_id)
+SELECT conv_id * 1000 + turn AS clip, item_id AS other, CAST(votes AS BIGINT) AS votes FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY votes DESC, item_id) = 1 AND votes >= 2""")
+def orphan_rescue(spark, sf_dir):
+    """Turns as unmatched tokens that vote for a benchmark item other than their conversation's number."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clip"), "conv_id", F.explode(X.tokenize(F.col("text"))).alias("t"))
+    index = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("work_id"), F.explode(X.tokenize(F.col("text"))).alias("t"))
+    bones = X.skeleton(F.col("t")).alias("bones")
+    return A.rescue(turns.select("clip", "conv_id", bones), "clip", "conv_id", index.select("work_id", bones))
+
+
 _COUNTS = {"m": "l_quantity % 6", "f": "l_linenumber % 4", "g": "l_partkey % 2", "s": "l_suppkey % 2", "d": "l_orderkey % 5"}
 
 
@@ -677,6 +690,52 @@ def streaming_replay(spark, sf_dir):
     return tracker.replay(_observations(spark, sf_dir))
 
 
+# Live segmentation: a user's events are frames of two seconds, their values levels.
+FRAME_MS = 2000
+_SQL_FRAMES = "SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f FROM events"
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("frame_id"), F.lit(FRAME_MS).alias("ms"), F.col("value").alias("level"))
+
+
+@query("SELECT user_id AS session, n, n * 15000 AS seg_start, n * 15000 + 15000 AS seg_end, 'window' AS reason, CAST(NULL AS DOUBLE) AS level FROM (SELECT user_id, unnest(range(0, count(*) * 2000 // 15000)) AS n FROM events GROUP BY user_id)")
+def live_fixed(spark, sf_dir):
+    """Equal windows of 15 s."""
+    return live.segments(_frames(spark, sf_dir), live.Cuts(mode="fixed"))
+
+
+@query(f"""WITH f AS ({_SQL_FRAMES}), s AS (SELECT user_id, unnest(range(0, CASE WHEN count(*) >= 6 THEN (count(*) - 6) // 4 + 1 ELSE 0 END)) AS n FROM f GROUP BY user_id)
+SELECT user_id AS session, n, n * 8000 AS seg_start, n * 8000 + 8000 AS seg_end, 'commit' AS reason, sqrt(avg(value * value)) AS level FROM s JOIN f USING (user_id) WHERE f BETWEEN 4 * n AND 4 * n + 3 GROUP BY user_id, n""")
+def live_rolling(spark, sf_dir):
+    """Beyond 11 s the first 8 are committed; with frames of 2 s at the sixth frame and every fourth after it."""
+    return live.segments(_frames(spark, sf_dir), live.ROLLING)
+
+
+@query(f"""WITH f AS ({_SQL_FRAMES}), s AS (SELECT user_id, unnest(range(0, CASE WHEN count(*) >= 7 THEN (count(*) - 7) // 5 + 1 ELSE 0 END)) AS i FROM f GROUP BY user_id),
+r AS (SELECT user_id, i, sqrt(avg(value * value)) AS level FROM s JOIN f USING (user_id) WHERE f BETWEEN 5 * i AND 5 * i + 4 GROUP BY user_id, i)
+SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS n, i * 10000 AS seg_start, i * 10000 + 10000 AS seg_end, 'commit' AS reason, level FROM r WHERE level >= 60""")
+def live_commit_and_carry(spark, sf_dir):
+    """Beyond 12 s the first 10 are committed if loud enough for the gate, else let go."""
+    return live.segments(_frames(spark, sf_dir), replace(live.COMMIT_AND_CARRY, gate=60.0))
+
+
+@query()
+def live_speech(spark, sf_dir):
+    """Segments opened by loud frames and closed by silence or length."""
+    return live.segments(_frames(spark, sf_dir), live.Cuts(speech=50.0, silence=4000, least=4000, most=30_000, pre_roll=2000))
+
+
+@query("""WITH a AS (SELECT user_id, ts, event_id, epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id) AS elapsed, sum(2.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS got FROM events),
+d AS (SELECT *, max(CAST(floor(greatest(0, least(got, elapsed - 3)) / 8) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS done FROM a),
+b AS (SELECT *, coalesce(lag(done) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before FROM d)
+SELECT user_id, n, (n + 1) * 8.0::DOUBLE AS win_end, elapsed AS released FROM (SELECT user_id, elapsed, unnest(range(before, done)) AS n FROM b)""")
+def live_playhead_gate(spark, sf_dir):
+    """Windows of 8 s, released when they have been played."""
+    e = _events(spark, sf_dir).withColumn("elapsed", F.col("start") - F.min("start").over(Window.partitionBy("user_id"))).withColumn("received", F.lit(2.0))
+    return live.playhead_gate(e, "user_id", ["ts", "event_id"], "elapsed", "received", 8.0)
+
+
 # Vectors.
 @query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) > 0 AS BOOLEAN) AS filled, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
 def vec_normalize(spark, sf_dir):
@@ -717,16 +776,96 @@ def work_mean_pool(spark, sf_dir):
     return rows.select("label", "n", F.get("embedding", F.lit(0)).cast("decimal(10,4)").cast("double").alias("x1"))
 
 
-@query()
-def hybrid_blend(spark, sf_dir):
-    """Vector hits blended with a literal score (shared neighbours' share), with the work-level search as witness."""
+def _sql_hybrid(score: str) -> str:
+    return f"""WITH {_SQL_KNN}, g AS (SELECT query_id, label, max(score) AS best, count(*) AS hits FROM h GROUP BY query_id, label),
+p AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY label, i), pm AS (SELECT label, list(m ORDER BY i) AS m FROM p GROUP BY label),
+pu AS (SELECT label, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS v FROM pm),
+c AS (SELECT vec_id AS query_id, pu.label AS top FROM u, pu WHERE vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_inner_product(u.v, pu.v), 9) DESC, pu.label) = 1),
+b AS (SELECT query_id, label, ({score}) * CASE WHEN label = top THEN 1.1::DOUBLE ELSE 0.9::DOUBLE END AS score, label = top AS confirmed FROM g JOIN c USING (query_id) QUALIFY max(best) OVER (PARTITION BY query_id) >= 0.1),
+r AS (SELECT *, max(score) OVER w AS hi, CASE WHEN count(*) OVER w > 1 THEN min(score) OVER w ELSE 0 END AS lo FROM b WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, label, CAST(CAST(score AS DECIMAL(10,4)) AS DOUBLE) AS score, CAST(CAST(0.5::DOUBLE + 0.5::DOUBLE * (score - lo) / greatest(hi - lo, 1e-6) AS DECIMAL(10,3)) AS DOUBLE) AS ui, confirmed, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS INTEGER) AS rank FROM r QUALIFY rank <= 5"""
+
+
+def _hybrid(spark, sf_dir, letters: bool) -> DataFrame:
     hits = _knn(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
     groups = K.group_hits(hits, "label")
-    literal = groups.select("query_id", "label", (F.col("hits") / 10.0).alias("overlap"))
+    literal = groups.select("query_id", "label", (F.col("hits") / 10.0).alias("overlap")) if letters else None
     pooled = K.mean_pool(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("label", F.col("label").cast("long"))
     unit = K.normalize(table(spark, sf_dir, "embeddings"), "embedding").filter("vec_id % 100 = 0")
     top = K.knn(unit, "vec_id", pooled, "label", "embedding", 1).select("query_id", F.col("id").cast("int").alias("label"))
-    return K.hybrid(groups, "label", literal, top, floor=0.1)
+    found = K.hybrid(groups, "label", literal, top, floor=0.1)
+    return found.withColumns({"score": F.col("score").cast("decimal(10,4)").cast("double"), "ui": F.col("ui").cast("decimal(10,3)").cast("double")})
+
+
+@query(_sql_hybrid("0.6::DOUBLE * best + 0.4::DOUBLE * hits / 10.0::DOUBLE"))
+def hybrid_blend(spark, sf_dir):
+    """Vector hits blended with a literal score (shared neighbours' share), with the work-level search as witness."""
+    return _hybrid(spark, sf_dir, True)
+
+
+@query(_sql_hybrid("best"))
+def hybrid_by_meaning(spark, sf_dir):
+    """The same without the literal score."""
+    return _hybrid(spark, sf_dir, False)
+
+
+# Predicates, scripts and paths.
+@query("SELECT doc_id FROM documents WHERE n_chars / 15.0::DOUBLE BETWEEN 1.5 AND 30")
+def duration_range(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(W.within(F.col("n_chars") / 15.0, 1.5, 30.0)).select("doc_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * 60 BETWEEN 120 AND 10800 AS \"clip\", l_quantity BETWEEN 30 AND 360 AS \"session\" FROM lineitem")
+def media_duration_windows(spark, sf_dir):
+    """Quantities as minutes: 120 s to 3 h, and 30 to 360 minutes."""
+    q = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", W.within(q * 60, 120, 10_800).alias("clip"), W.within(q, 30, 360).alias("session"))
+
+
+@query("SELECT page_id FROM pages WHERE strlen(html) >= 1500")
+def least_size(spark, sf_dir):
+    return table(spark, sf_dir, "pages").filter(W.within(F.octet_length("html"), 1500)).select("page_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'data')")
+def contains_any_case(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(W.contains_any_case(F.col("text"), "Data")).select("doc_id")
+
+
+_SAMPLE = "शांति क़लम ज़रा १२ः ष "
+_SQL_SIGNS = f"'{_SAMPLE}' || text"
+for _from, _to in sorted(X.OTHER_SIGNS, key=lambda w: (-len(w[0]), w[0])):
+    _SQL_SIGNS = f"replace({_SQL_SIGNS}, '{_from}', '{_to}')"
+
+
+@query(f"SELECT doc_id, translate({_SQL_SIGNS}, '{X.PARALLEL_SIGNS}', '{''.join(chr(ord(c) + 0x100) for c in X.PARALLEL_SIGNS)}') AS text FROM documents")
+def devanagari_map(spark, sf_dir):
+    """A Devanagari phrase put before every text, written in Gurmukhi."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.devanagari_to_gurmukhi(F.concat(F.lit(_SAMPLE), "text")).alias("text"))
+
+
+@query()
+def phrase_collapse(spark, sf_dir):
+    """Turns said one to four times in a row; from three on one remains, if it has 3 to 8 words."""
+    rows = table(spark, sf_dir, "conversations")
+    said = X.tokenize(F.array_join(F.array_repeat("text", (1 + F.col("turn") % 4).cast("int")), " "))
+    return rows.select("conv_id", "turn", X.collapse_phrases(said).alias("tokens"))
+
+
+@query("""WITH p AS (SELECT 'a/' || doc_id AS path FROM labels WHERE toxic = 1 UNION SELECT 'b/' || doc_id FROM labels)
+SELECT doc_id, coalesce(a.path, b.path) AS found FROM documents LEFT JOIN p a ON a.path = 'a/' || doc_id LEFT JOIN p b ON b.path = 'b/' || doc_id""")
+def first_existing_path(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    listing = labels.filter("toxic = 1").select(F.concat(F.lit("a/"), "doc_id").alias("path")).union(labels.select(F.concat(F.lit("b/"), "doc_id")))
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return parsers.first_existing(docs, "doc_id", F.array(F.concat(F.lit("a/"), "doc_id"), F.concat(F.lit("b/"), "doc_id")), listing)
+
+
+@query("""SELECT l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS edits, sum(l_quantity) AS units, sum(l_quantity) AS audio_s, CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) AS decode_s, arg_min(l_tax, (l_orderkey, l_linenumber, l_tax)) AS first_latency_s,
+100.0::DOUBLE * sum(l_linenumber) / sum(l_quantity) AS rate, CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) / sum(l_quantity) AS rtf FROM lineitem GROUP BY l_returnflag""")
+def recogniser_report(spark, sf_dir):
+    """Line numbers as edits, quantities as units and seconds, taxes as seconds of decoding."""
+    return P.recogniser_report(table(spark, sf_dir, "lineitem"), F.col("l_linenumber"), F.col("l_quantity"), "l_quantity", "l_tax", ["l_orderkey", "l_linenumber"], "l_returnflag")
 
 
 # Sources and sinks.

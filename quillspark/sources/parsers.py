@@ -150,6 +150,16 @@ def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
+def first_existing(rows: DataFrame, id_: str, candidates: Column, listing: DataFrame, path: str = "path") -> DataFrame:
+    """``rows`` with ``found``: the first of the ``candidates`` (an array, in order of preference) that ``listing`` holds, or null.
+
+    Repeated ids share what any of them finds first; a null id finds nothing.
+    """
+    tried = rows.select(id_, F.posexplode(candidates).alias("_i", path)).join(listing.select(path).distinct(), path, "left_semi")
+    best = tried.groupBy(id_).agg(F.min(F.struct("_i", path))[path].alias("found"))
+    return rows.join(best, id_, "left")
+
+
 def missing_ids(asked: DataFrame, answered: DataFrame, id_: str, **fill: Column) -> DataFrame:
     """``answered`` and a row for every asked id without an answer, its columns filled as stated (null if not)."""
     gone = asked.select(id_).distinct().join(answered.select(id_), id_, "left_anti")

@@ -121,36 +121,6 @@ def advance(pointer: Pointer, prefix: list[tuple[int, float]], overlap: list[tup
     return pointer.line
 
 
-@dataclass
-class Segmenter:
-    """Speech segments: opened by sound with a pre-roll, closed by silence or at their greatest length."""
-
-    pre_roll: float = 0.2
-    silence: float = 0.6
-    least: float = 1.0
-    most: float = 15.0
-    start: float | None = None
-    last: float | None = None
-
-    def push(self, t: float, loud: bool) -> tuple[float, float] | None:
-        """The segment that this frame closes, if any."""
-        out = None
-        if self.start is not None and (t - self.last >= self.silence or t - self.start >= self.most):
-            end = self.last if t - self.last >= self.silence else t
-            out = (self.start, end) if end - self.start >= self.least else None
-            self.start = None
-        if loud:
-            self.start = max(0.0, t - self.pre_roll) if self.start is None else self.start
-            self.last = t
-        return out
-
-    def finish(self) -> tuple[float, float] | None:
-        done = self.start is not None and self.last - self.start >= self.least
-        out = (self.start, self.last) if done else None
-        self.start = None
-        return out
-
-
 OUT = "session long, ts timestamp_ntz, event_id long, leader string, score double, locked string, push string"
 
 

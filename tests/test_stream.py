@@ -23,15 +23,12 @@ def test_lock_unlock_and_push():
     assert K.step(state, [("b", 0.9)])["push"] == "b"
 
 
-def test_pointer_and_segmenter():
+def test_pointer():
     p = K.Pointer()
     assert K.advance(p, [], [(3, 0.5)]) == 3
     assert K.advance(p, [], [(4, 0.6), (3, 0.5)]) == 3
     assert K.advance(p, [], [(4, 0.6), (3, 0.5)]) == 4
     assert K.advance(p, [], [(20, 0.6)]) == 4
-    g = K.Segmenter()
-    closed = [g.push(i / 10, 5 <= i < 25) for i in range(40)]
-    assert [c for c in closed if c] == [(0.3, 2.4)]
 
 
 def test_replay_equals_stream(spark, tmp_path):
