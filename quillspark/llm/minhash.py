@@ -200,8 +200,9 @@ def _block_links(table: list[tuple[int, int]], rows_per_band: int, width: int, n
     """Of each block (rows in order of bucket and block): candidate links between different labels.
 
     A pair is looked at in the bucket of the first band it shares only.  Signatures prune it; what is left is compared on
-    the sets' 32-bit hashes, which are off by collisions: a pair within two elements of the threshold is given out to be
-    verified, a clear link only if it joins labels that no earlier link of the block has joined.
+    the sets' 32-bit hashes, which are off by collisions.  What both sets may have lost to them is known, so no pair is
+    dropped that the full sets could link.  Links are given out to be verified; one that joins labels for the rest of the
+    block must be clear of the threshold by more than false matches can make up, whose number grows with both sizes.
     """
 
     def compare(bucket_band: int, rows: list[tuple]) -> tuple[list, list]:
@@ -210,6 +211,7 @@ def _block_links(table: list[tuple[int, int]], rows_per_band: int, width: int, n
         sizes = np.array([r[2] for r in rows], dtype=np.int64)
         sigs = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, width)
         sets = [np.frombuffer(r[4], dtype=np.uint32) for r in rows]
+        lost = sizes - np.array([len(s) for s in sets], dtype=np.int64)
         side = np.array([r[5] for r in rows])
         out_a, out_b = [], []
         for i in range(len(ids)):
@@ -229,12 +231,15 @@ def _block_links(table: list[tuple[int, int]], rows_per_band: int, width: int, n
             starts = np.cumsum([0] + [len(sets[j]) for j in other[:-1]])
             both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), starts)
             total = sizes[other] + sizes[i]
-            for j, common, n in zip(other.tolist(), both.tolist(), total.tolist(), strict=True):
-                if labels[j] == labels[i] or den * (common + 2) < num * (n - common - 2):
+            most = both + np.minimum(lost[other], lost[i])
+            false = sizes[other] * float(sizes[i]) / 2.0**32
+            least = both - np.ceil(2 + false + 10 * np.sqrt(false)).astype(np.int64)
+            for j, high, low, n in zip(other.tolist(), most.tolist(), least.tolist(), total.tolist(), strict=True):
+                if labels[j] == labels[i] or den * high < num * (n - high):
                     continue
                 out_a.append(int(min(ids[i], ids[j])))
                 out_b.append(int(max(ids[i], ids[j])))
-                if den * (common - 2) >= num * (n - common + 2):
+                if den * low >= num * (n - low):
                     labels[labels == labels[j]] = labels[i]
         return out_a, out_b
 

@@ -184,6 +184,29 @@ def test_components_of_chains(spark):
     assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_blocks_lose_no_link_to_short_hashes():
+    """Sets whose 64-bit hashes share their upper halves: short sets are smaller than the sets themselves."""
+    import pyarrow as pa
+
+    table = minhash.least_matches(0.8, 1e-6, 125, 25)
+    signature = np.arange(125, dtype=np.uint32).tobytes()
+
+    def links(common: int, own: int, upper: int) -> list[tuple[int, int]]:
+        rows = []
+        for k in (1, 2):
+            full = [(x % upper) << 32 | x for x in range(common)] + [((x + k * 1_000_000) % upper) << 32 | k << 20 | x for x in range(own)]
+            short = np.unique((np.array(full, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32))
+            rows.append((0, 7, 0, 0, k, k, len(set(full)), signature, short.tobytes(), -1))
+        columns = ["place", "band", "lo", "hi", "id", "label", "n", "sig", "small", "side"]
+        batch = pa.RecordBatch.from_pylist([dict(zip(columns, r, strict=True)) for r in rows])
+        out = [b.to_pylist() for b in minhash._block_links(table, 5, 125, 80, 100)(iter([batch]))]
+        return [(r["a"], r["b"]) for part in out for r in part]
+
+    assert links(900, 100, 2**31) == [(1, 2)]  # similarity 900 / 1100, hardly a collision
+    assert links(900, 100, 300) == [(1, 2)]  # 300 short hashes stand for 1000
+    assert links(500, 500, 2**31) == []
+
+
 def test_bayesian_bounds():
     rows, bands = minhash.plan_bands(0.85, 1e-6)
     assert (1 - 0.85**rows) ** bands <= 1e-6
