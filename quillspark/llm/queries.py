@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, html, langid, licences, minhash, packing, quality, search, toxicity, warc
+from quillspark.llm import decontaminate, html, langid, layers, licences, minhash, packing, quality, search, toxicity, warc
 from quillspark.llm.folds import bounded_sample, held_out
 from quillspark.plans.session import table
 from quillspark.plans.storage import materialize, new_path
@@ -112,6 +112,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
+def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layers.offers(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "sales"), table(spark, sf_dir, "items"))
+    return layers.pareto_layers(found, "part_type", lower=["price", "delay"], higher=["discount", "quantity"], most=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_block_max": op2_block_max,
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_resampling": op9_resampling,
     "op10_packing": op10_packing,
+    "op11_lattice": op11_lattice,
 }
 
 _SQL_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licences.TEMPLATES.items())
@@ -157,6 +163,20 @@ g AS (SELECT h, n, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY h, n)
 SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.h AS payload_digest,
        CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to, CAST(3 AS BIGINT) AS n_records, TRUE AS verified
 FROM p LEFT JOIN g ON p.h = g.h AND p.n = g.n""",
+    "op11_lattice": r"""
+WITH RECURSIVE l AS (SELECT item_id, vendor_id, kind, CAST(quantity AS BIGINT) AS q, CAST(floor(100 * amount + 0.5) AS BIGINT) AS c, CAST(floor(100 * discount + 0.5) AS BIGINT) AS d,
+  CAST(floor(100 * price + 0.5) AS BIGINT) AS p, date_diff('day', CAST(sold_at AS DATE), CAST(shipped_at AS DATE)) AS days
+  FROM sale_lines LEFT JOIN sales USING (sale_id) LEFT JOIN items USING (item_id) WHERE item_id IS NOT NULL AND vendor_id IS NOT NULL),
+s AS (SELECT item_id, vendor_id, any_value(kind) AS part_type, any_value(p) AS p, sum(c * (100 - d)) FILTER (q IS NOT NULL) AS paid, sum(q) FILTER (c IS NOT NULL AND d IS NOT NULL) AS pieces,
+  sum(d) AS d, count(d) AS n_d, sum(days) AS days, count(days) AS n_days, max(q) AS quantity FROM l GROUP BY ALL),
+o AS (SELECT item_id, vendor_id, part_type, CASE WHEN p >= 1 THEN CAST((paid - ((paid % (p * pieces)) + p * pieces) % (p * pieces)) // (p * pieces) AS BIGINT) END AS price,
+  CAST((d - ((d % n_d) + n_d) % n_d) // n_d AS BIGINT) AS discount, CAST((days - ((days % n_days) + n_days) % n_days) // n_days AS BIGINT) AS delay, quantity FROM s),
+k AS (SELECT *, coalesce('t' || part_type, 'none') AS grp, coalesce(price, 1000000000000) AS a, coalesce(delay, 1000000000000) AS b, coalesce(-discount, 1000000000000) AS c, coalesce(-quantity, 1000000000000) AS e FROM o),
+r(grp, a, b, c, e, layer) AS (SELECT DISTINCT grp, a, b, c, e, 1 FROM k UNION ALL SELECT DISTINCT 'all', a, b, c, e, 1 FROM k UNION ALL
+  SELECT grp, a, b, c, e, layer + 1 FROM r AS y WHERE layer <= 24 AND EXISTS (SELECT 1 FROM r AS x WHERE x.grp = y.grp AND x.a <= y.a AND x.b <= y.b AND x.c <= y.c AND x.e <= y.e AND (x.a < y.a OR x.b < y.b OR x.c < y.c OR x.e < y.e))),
+t AS (SELECT grp, a, b, c, e, CAST(CASE WHEN max(layer) <= 24 THEN max(layer) ELSE 0 END AS BIGINT) AS layer FROM r GROUP BY ALL)
+SELECT item_id, vendor_id, part_type, price, discount, delay, quantity, t.layer AS type_layer, g.layer AS global_layer, count(*) OVER (PARTITION BY a, b, c, e) AS n_equal
+FROM k JOIN t USING (grp, a, b, c, e) JOIN t AS g USING (a, b, c, e) WHERE g.grp = 'all'""",
     "op6_winnowing": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
