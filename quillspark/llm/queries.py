@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, html, langid, layers, licences, minhash, packing, quality, search, toxicity, warc
+from quillspark.llm import decontaminate, html, langid, layers, licences, minhash, packing, quality, search, sharding, toxicity, warc
 from quillspark.llm.folds import bounded_sample, held_out
 from quillspark.plans.session import table
 from quillspark.plans.storage import materialize, new_path
@@ -117,6 +117,11 @@ def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.pareto_layers(found, "part_type", lower=["price", "delay"], higher=["discount", "quantity"], most=24)
 
 
+def op12_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_block_max": op2_block_max,
@@ -129,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_resampling": op9_resampling,
     "op10_packing": op10_packing,
     "op11_lattice": op11_lattice,
+    "op12_minimax": op12_minimax,
 }
 
 _SQL_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licences.TEMPLATES.items())
@@ -177,6 +183,29 @@ r(grp, a, b, c, e, layer) AS (SELECT DISTINCT grp, a, b, c, e, 1 FROM k UNION AL
 t AS (SELECT grp, a, b, c, e, CAST(CASE WHEN max(layer) <= 24 THEN max(layer) ELSE 0 END AS BIGINT) AS layer FROM r GROUP BY ALL)
 SELECT item_id, vendor_id, part_type, price, discount, delay, quantity, t.layer AS type_layer, g.layer AS global_layer, count(*) OVER (PARTITION BY a, b, c, e) AS n_equal
 FROM k JOIN t USING (grp, a, b, c, e) JOIN t AS g USING (a, b, c, e) WHERE g.grp = 'all'""",
+    "op12_minimax": r"""
+WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, coalesce(text, '') AS text FROM documents),
+g AS (SELECT text, min(doc_id) AS leader, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY text),
+big AS (SELECT *, row_number() OVER w - 1 AS i, size * (24 - (row_number() OVER w - 1)) >= sum(size) OVER () - sum(size) OVER w + size AS large FROM g WINDOW w AS (ORDER BY size DESC, leader ROWS UNBOUNDED PRECEDING)),
+own AS (SELECT text, i FROM (SELECT *, bool_and(large) OVER (ORDER BY i) AS alone FROM big) WHERE alone AND i < 24),
+m AS (SELECT count(*) AS m FROM own),
+e AS (SELECT text, leader, size, CAST(sum(size) OVER (ORDER BY leader ROWS UNBOUNDED PRECEDING) AS BIGINT) AS place FROM g WHERE text NOT IN (SELECT text FROM own)),
+z AS (SELECT CAST(24 - m AS BIGINT) AS s, CAST(coalesce((SELECT max(place) FROM e), 0) AS BIGINT) AS total, CAST(coalesce((SELECT max(size) FROM e), 0) AS BIGINT) AS largest FROM m),
+p AS (SELECT place FROM e UNION ALL SELECT 0),
+search(lo, hi, pos, k) AS (SELECT greatest(largest, (total + s - 1) // s), total, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM z WHERE total > 0 UNION ALL
+  SELECT CASE WHEN pos < total AND k = s THEN (lo + hi) // 2 + 1 ELSE lo END, CASE WHEN pos = total THEN (lo + hi) // 2 ELSE hi END,
+         CASE WHEN pos = total OR k = s THEN 0 ELSE (SELECT max(place) FROM p WHERE place <= pos + (lo + hi) // 2) END, CASE WHEN pos = total OR k = s THEN 0 ELSE k + 1 END FROM search, z WHERE lo < hi),
+c AS (SELECT min(lo) AS c FROM search WHERE lo = hi),
+early(j, pos) AS (SELECT s, total FROM z UNION ALL SELECT j - 1, (SELECT min(place) FROM p WHERE place >= pos - c) FROM early, c WHERE j > 1),
+cut(j, pos) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL
+  SELECT j + 1, greatest(CASE WHEN over <= pos + c AND over - share < share - under THEN over ELSE under END, need) FROM (
+    SELECT *, (SELECT max(place) FROM p WHERE place <= least(share, pos + c)) AS under, (SELECT min(place) FROM p WHERE place >= share) AS over, (SELECT early.pos FROM early WHERE early.j = y.j + 1) AS need
+    FROM (SELECT j, pos, c, pos + (total - pos) // (s - j) AS share FROM cut, z, c WHERE j + 1 < s) AS y)),
+crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+place AS (SELECT text, leader, m + (SELECT count(*) FROM cut WHERE j > 0 AND cut.pos < e.place) AS shard FROM e, m UNION ALL SELECT own.text, leader, i FROM own JOIN g USING (text))
+SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+         lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY leader, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN place USING (text), crc_table""",
     "op6_winnowing": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
