@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, html, langid, layers, licences, minhash, packing, quality, search, sharding, toxicity, warc
+from quillspark.llm import decontaminate, html, langid, layers, licences, minhash, packing, quality, search, sharding, toxicity, trie, warc
 from quillspark.llm.folds import bounded_sample, held_out
 from quillspark.plans.session import table
 from quillspark.plans.storage import materialize, new_path
@@ -122,6 +122,10 @@ def op12_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"), every=20, heads=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_block_max": op2_block_max,
@@ -135,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_lattice": op11_lattice,
     "op12_minimax": op12_minimax,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _SQL_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licences.TEMPLATES.items())
@@ -206,6 +211,20 @@ place AS (SELECT text, leader, m + (SELECT count(*) FROM cut WHERE j > 0 AND cut
 SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
          lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY leader, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM d JOIN place USING (text), crc_table""",
+    "op13_prefix_trie": r"""
+WITH crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+ids AS (SELECT conv_id AS c, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+  lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc_table),
+o AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations GROUP BY conv_id),
+w AS (SELECT c, list_concat(coalesce(b.t[1 : h], []), own.t[h + 1 :]) AS t FROM ids JOIN o AS own ON own.conv_id = c LEFT JOIN o AS b ON b.conv_id = base),
+p AS (SELECT c, d, t[1 : d] AS k, len(t) AS n FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM w)),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends FROM p GROUP BY k, d),
+kid AS (SELECT k[1 : d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(kid.n, 0) AS n_children, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(node.k[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM node LEFT JOIN kid USING (k)),
+sub AS (SELECT k, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT k[1 : a] AS k, saved, CAST(n_children = 0 AS BIGINT) AS leaf FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_)) GROUP BY k)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ AS f JOIN sub USING (k) LEFT JOIN node AS up ON f.d > 0 AND up.k = f.k[1 : f.d - 1]""",
     "op6_winnowing": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
