@@ -50,7 +50,7 @@ def rebuild(turns: DataFrame, every: int = 20, heads: int = 4) -> DataFrame:
     shared = ids.join(first, "_base").filter("d <= _h").select("conv_id", "d", "role", "text")
     lengths = materialize(first.groupBy(F.col("_base").alias("_b")).agg(F.max("d").alias("_n")), "lengths")
     own = turns.withColumns({"_base": base, "_h": head}).filter("d > _h").join(lengths, F.col("_base") == F.col("_b"), "left")
-    given = F.coalesce(F.least("_h", "_n"), F.lit(0))
+    given = F.least("_h", F.coalesce("_n", F.lit(0)))  # least passes over nulls
     return own.select("conv_id", (F.col("d") - F.col("_h") + given).alias("d"), "role", "text").unionByName(shared)
 
 
