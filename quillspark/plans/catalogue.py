@@ -17,6 +17,7 @@ from quillspark.functions import similarity as M
 from quillspark.functions import text as X
 from quillspark.functions.profiles import LATIN
 from quillspark.operators import align as A
+from quillspark.operators import forced as C
 from quillspark.operators import reports as P
 from quillspark.operators import retrieval as R
 from quillspark.operators import rows as W
@@ -890,3 +891,49 @@ def seam_merge_fold(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").withColumn("a", X.tokenize(F.col("text"))).withColumn("b", F.lead("a").over(w)).filter("b IS NOT NULL")
     return rows.select("conv_id", "turn", F.size(X.seam_merge(F.col("a"), F.col("b"))).cast("long").alias("n"))
+
+
+# Known texts in recordings: documents are recordings, their words a time-stamped stream.
+WORD = "[\\p{L}\\p{M}\\p{N}]+"
+
+
+def sql_words(x: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({x}, ''), '{C.UPPER}', '{C.LOWER}'), '{WORD}')"
+
+
+def _recited(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Confirmed works per document, and all lines with their words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", C.words_of(F.col("text")).alias("words"))
+    lines = bench_lines(spark, sf_dir).select("work_id", "line_no", "text", C.words_of(F.col("text")).alias("words"))
+    hits = C.line_hits(docs, "doc_id", "words", lines, "work_id", "line_no", "words")
+    return C.confirmed_works(hits, lines, "work_id"), lines
+
+
+@query(f"""WITH line AS (SELECT work_id, line_no, {sql_words('text')} AS w FROM ({SQL_LINES})),
+l AS (SELECT work_id, line_no, len(w) AS n, unnest(w) AS word FROM line WHERE length(array_to_string(w, ' ')) >= 5),
+lw AS (SELECT work_id, line_no, n, word, count(*) AS c FROM l GROUP BY ALL),
+d AS (SELECT doc_id, len(w) AS m, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)),
+x AS (SELECT doc_id, work_id, line_no, n, m, pos, word, c FROM d JOIN lw USING (word)),
+s AS (SELECT DISTINCT doc_id, work_id, line_no, n, m, greatest(least(pos, m - n), 0) AS place FROM x),
+k AS (SELECT s.doc_id, s.work_id, s.line_no, place, s.n, s.m, x.word, least(count(*), any_value(c)) AS k FROM s JOIN x USING (doc_id, work_id, line_no) WHERE pos >= place AND pos < place + s.n GROUP BY ALL),
+score AS (SELECT doc_id, work_id, line_no, place, 2.0::DOUBLE * sum(k) / (any_value(n) + least(any_value(n), any_value(m))) AS score FROM k GROUP BY ALL),
+hit AS (SELECT DISTINCT doc_id, work_id, line_no FROM score WHERE score > 0.55::DOUBLE),
+size AS (SELECT work_id, count(*) AS n_lines FROM line GROUP BY work_id)
+SELECT doc_id, work_id, hits, n_lines FROM (SELECT doc_id, work_id, count(*) AS hits FROM hit GROUP BY ALL) JOIN size USING (work_id)
+WHERE n_lines >= 2 AND (hits >= 3 OR (hits >= 2 AND hits / n_lines > 0.3))""")
+def identified_works(spark, sf_dir):
+    found, _ = _recited(spark, sf_dir)
+    return found.select(F.col("rec").alias("doc_id"), F.col("work").alias("work_id"), "hits", "n_lines")
+
+
+@query()
+def word_stream_lines(spark, sf_dir):
+    """Words are half a second apart, a new line of a document comes after a pause of two seconds."""
+    found, lines = _recited(spark, sf_dir)
+    own = found.join(lines, found["work"] == lines["work_id"]).select(F.col("rec").alias("session"), "work", F.col("line_no").alias("line"), F.array_join("words", " ").alias("text"))
+    each = F.flatten(F.transform(F.split("text", "\n"), lambda t, k: F.transform(C.words_of(t), lambda w: F.struct(w.alias("word"), k.alias("k")))))
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session"), F.posexplode(each).alias("pos", "w"))
+    words = words.select("session", F.col("pos").cast("long").alias("pos"), "w.word", (F.col("pos") * 0.5 + F.col("w.k") * 2.0).alias("start"))
+    words = words.withColumn("end", F.col("start") + 0.4).withColumn("confidence", 1.0 / F.length("word"))
+    out = C.match_stream(words, own, silence=1.5)
+    return out.select(F.col("session").alias("doc_id"), "pos", "n_words", "start", "end", F.round("score", 3).alias("score"), F.round("confidence", 3).alias("confidence"), F.col("work").alias("work_id"), F.col("line").alias("line_no"), "raw_text")
