@@ -8,20 +8,18 @@ A point's layer is the length of the longest chain of dominating points that end
   those of the blocks that they can dominate (blocks are compared by the corners of their boxes first), a pair of blocks a
   task; then each block raises its own. It ends when no level rises, after as many rounds as there are layers at most.
 
-No step holds more than two blocks, whatever the number of points, groups or ties; nothing but counts goes to the driver.
+No step holds more than two blocks, whatever the number of points, groups or ties; nothing but counts goes to the driver,
+and joins merge: a table whose file is small can still be large, so none is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import lattice
+from quillspark.llm.scans import ones, running
 from quillspark.plans.storage import materialize
 
 #: Points of a bucket while pruning, about, and of a block afterwards, at most.
@@ -56,7 +54,7 @@ def layers(points: DataFrame, group: str, costs: list[str], most: int, bucket: i
 def _prune(state: DataFrame, group: str, costs: list[str], most: int, bucket: int) -> DataFrame:
     sizes = state.groupBy(group).agg(F.ceil(F.count("*") / bucket).alias("_n"))
     sizes = materialize(sizes, "sizes")  # a side that ends in an exchange of its own: a hot group can be split
-    dealt = state.join(sizes, group).withColumn("_b", F.pmod(F.xxhash64(*costs), F.col("_n")))
+    dealt = state.join(sizes.hint("merge"), group).withColumn("_b", F.pmod(F.xxhash64(*costs), F.col("_n")))
 
     def level(rows: pd.DataFrame) -> pd.DataFrame:
         rows["level"] = lattice.raise_levels(rows[costs].to_numpy(), rows["level"].to_numpy(), most)
@@ -66,33 +64,22 @@ def _prune(state: DataFrame, group: str, costs: list[str], most: int, bucket: in
 
 
 def _blocks(state: DataFrame, group: str, costs: list[str], most: int, block: int) -> DataFrame:
-    """State with a block of rows that are neighbours in order, and levels raised within it; all rows count as risen."""
+    """State with a block of rows that are neighbours in order, and levels raised within it; all rows count as risen.
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, n, held = TaskContext.get().partitionId(), 0, None
+    Blocks come from the rows' numbers, so that they are alike for any number of tasks.
+    """
+    key = [group, *costs]
+    numbered = running(state.select(*key, "level"), [], key, ones("_number"), {"_number": 0})
 
-        def done(rows: pd.DataFrame) -> pd.DataFrame:
-            nonlocal n
-            rows = rows.assign(block=(task << 32) + n, risen=True)
-            rows["level"] = lattice.raise_levels(rows[costs].to_numpy(), rows["level"].to_numpy(), most)
-            n += 1
-            return rows[rows["level"] <= most]
-
-        for part in parts:
-            for _, rows in part.groupby(group, sort=False):
-                if held is not None and (held[group].iat[0] != rows[group].iat[0] or len(held) + len(rows) > block):
-                    yield done(held)
-                    held = None
-                while len(rows) > block:
-                    yield done(rows[:block])
-                    rows = rows[block:]
-                held = rows if held is None else pd.concat([held, rows])
-        if held is not None:
-            yield done(held)
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows["level"] = lattice.raise_levels(rows[costs].to_numpy(), rows["level"].to_numpy(), most)
+        rows["risen"] = True
+        return rows.loc[rows["level"] <= most, [*key, "level", "block", "risen"]]
 
-    key = [group, *costs]
     schema = ", ".join([f"`{group}` string", *(f"`{c}` long" for c in costs), "level int, block long, risen boolean"])
-    return state.repartitionByRange(*key).sortWithinPartitions(*key).mapInPandas(cut, schema)
+    cut = numbered.withColumn("block", F.floor((F.col("_number") - 1) / block)).drop("_number")
+    # Where a block holds the end of one group and the start of another, each part is a block of the same number.
+    return cut.groupBy(group, "block").applyInPandas(settle, schema)
 
 
 def _round(state: DataFrame, group: str, costs: list[str], most: int) -> DataFrame:
@@ -104,10 +91,10 @@ def _round(state: DataFrame, group: str, costs: list[str], most: int) -> DataFra
     meets = (F.col(group) == F.col("_group")) & (F.col("_from") != F.col("_to")) & (F.col("_top") >= F.col("_least"))
     for r in reach:
         meets &= r
-    pairs = materialize(targets.join(sources, meets).select("_from", "_to"), "pairs")
+    pairs = materialize(targets.join(sources.hint("merge"), meets).select(F.col(group).alias("_of"), "_from", "_to"), "pairs")
 
     def rows(side: str, chosen: DataFrame) -> DataFrame:
-        found = chosen.join(pairs, F.col("block") == F.col(side)).select("_from", "_to", "block", *key, "level")
+        found = chosen.join(pairs.hint("merge"), (F.col(group) == F.col("_of")) & (F.col("block") == F.col(side))).select("_from", "_to", "block", *key, "level")
         return found.toDF(*[f"{c}{side}" for c in found.columns])  # names that the two sides do not share
 
     def lift(ups: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -118,7 +105,7 @@ def _round(state: DataFrame, group: str, costs: list[str], most: int) -> DataFra
         return own.loc[own["level"].to_numpy() > was, ["block", *key, "level"]]
 
     schema = state.select("block", *key, "level").schema
-    sides = [rows("_from", state.filter("risen")).groupBy("_from_from", "_to_from"), rows("_to", state).groupBy("_from_to", "_to_to")]
+    sides = [rows("_from", state.filter("risen")).groupBy(f"{group}_from", "_from_from", "_to_from"), rows("_to", state).groupBy(f"{group}_to", "_from_to", "_to_to")]
     lifted = sides[0].cogroup(sides[1]).applyInPandas(lift, schema).groupBy("block", *key).agg(F.max("level").alias("level"))
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +115,7 @@ def _round(state: DataFrame, group: str, costs: list[str], most: int) -> DataFra
         rows["risen"] = rows["level"] > rows["_was"]
         return rows.loc[rows["level"] <= most, [*key, "level", "block", "risen"]]
 
-    return state.select("block", *key, "level").unionByName(lifted).groupBy("block").applyInPandas(settle, state.schema)
+    return state.select("block", *key, "level").unionByName(lifted).groupBy(group, "block").applyInPandas(settle, state.schema)
 
 
 def floor_div(a: Column, b: Column) -> Column:
@@ -159,14 +146,14 @@ def offers(lines: DataFrame, sales: DataFrame, items: DataFrame) -> DataFrame:
     item = materialize(items.filter("item_id IS NOT NULL").groupBy(F.col("item_id").alias("_item")).agg(cents(F.min("price")).alias("_p"), F.min("kind").alias("part_type")), "items")
     used = lines.filter("item_id IS NOT NULL AND vendor_id IS NOT NULL")
     used = used.select("sale_id", "item_id", "vendor_id", F.col("quantity").cast("long").alias("quantity"), cents(F.col("amount")).alias("_c"), cents(F.col("discount")).alias("_d"), F.to_date("shipped_at").alias("_shipped"))
-    used = used.join(day, F.col("sale_id") == F.col("_sale"), "left")
+    used = used.join(day.hint("merge"), F.col("sale_id") == F.col("_sale"), "left")
     days = F.datediff("_shipped", "_sold").cast("long")
     priced = F.col("_c").isNotNull() & F.col("_d").isNotNull() & F.col("quantity").isNotNull()
     summed = used.groupBy("item_id", "vendor_id").agg(
         F.sum(F.when(priced, F.col("_c") * (100 - F.col("_d")))).alias("_paid"), F.sum(F.when(priced, F.col("quantity"))).alias("_pieces"),
         F.sum("_d").alias("_d"), F.count("_d").alias("_n_d"), F.sum(days).alias("_days"), F.count(days).alias("_n_days"), F.max("quantity").alias("quantity"),
     )
-    found = summed.join(item, F.col("item_id") == F.col("_item"), "left")
+    found = summed.join(item.hint("merge"), F.col("item_id") == F.col("_item"), "left")
     return found.select(
         "item_id", "vendor_id", "part_type", F.when(F.col("_p") >= 1, floor_div(F.col("_paid"), F.col("_p") * F.col("_pieces"))).alias("price"),
         floor_div(F.col("_d"), F.col("_n_d")).alias("discount"), floor_div(F.col("_days"), F.col("_n_days")).alias("delay"), "quantity",
@@ -192,8 +179,8 @@ def pareto_layers(rows: DataFrame, type_col: str, lower: list[str], higher: list
     # Dominators within a type are dominators among all: what is above the last layer of its type is above it among all.
     start = typed.groupBy(*costs).agg(F.max("level").alias("level")).withColumn("__l_type", F.lit("all"))
     overall = layers(materialize(start, "start"), "__l_type", costs, most, bucket, block).select(*costs, F.col("level").alias("global_layer"))
-    equal = points.groupBy(*costs).agg(F.sum("__l_n").alias("n_equal")).join(overall, costs, "left")
-    found = points.join(typed.withColumnRenamed("level", "type_layer"), ["__l_type", *costs], "left").join(equal, costs)
+    equal = points.groupBy(*costs).agg(F.sum("__l_n").alias("n_equal")).join(overall.hint("merge"), costs, "left")
+    found = points.join(typed.withColumnRenamed("level", "type_layer").hint("merge"), ["__l_type", *costs], "left").join(equal.hint("merge"), costs)
     zero = {c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for c in ("type_layer", "global_layer")}
     found = materialize(found.drop("__l_n").withColumns(zero), "layers")
-    return rows.join(found, ["__l_type", *costs]).drop("__l_type", *costs)
+    return rows.join(found.hint("merge"), ["__l_type", *costs]).drop("__l_type", *costs)
