@@ -28,7 +28,7 @@ from quillspark.operators import validate as V
 from quillspark.operators import vectors as K
 from quillspark.plans.session import table
 from quillspark.sources import parsers, sinks
-from quillspark.streaming import live, tracker
+from quillspark.streaming import follow, live, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -909,7 +909,7 @@ def _recited(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return C.confirmed_works(hits, lines, "work_id"), lines
 
 
-@query(f"""WITH line AS (SELECT work_id, line_no, {sql_words('text')} AS w FROM ({SQL_LINES})),
+_SQL_RECITED = f"""line AS (SELECT work_id, line_no, {sql_words('text')} AS w FROM ({SQL_LINES})),
 l AS (SELECT work_id, line_no, len(w) AS n, unnest(w) AS word FROM line WHERE length(array_to_string(w, ' ')) >= 5),
 lw AS (SELECT work_id, line_no, n, word, count(*) AS c FROM l GROUP BY ALL),
 d AS (SELECT doc_id, len(w) AS m, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)),
@@ -918,9 +918,12 @@ s AS (SELECT DISTINCT doc_id, work_id, line_no, n, m, greatest(least(pos, m - n)
 k AS (SELECT s.doc_id, s.work_id, s.line_no, place, s.n, s.m, x.word, least(count(*), any_value(c)) AS k FROM s JOIN x USING (doc_id, work_id, line_no) WHERE pos >= place AND pos < place + s.n GROUP BY ALL),
 score AS (SELECT doc_id, work_id, line_no, place, 2.0::DOUBLE * sum(k) / (any_value(n) + least(any_value(n), any_value(m))) AS score FROM k GROUP BY ALL),
 hit AS (SELECT DISTINCT doc_id, work_id, line_no FROM score WHERE score > 0.55::DOUBLE),
-size AS (SELECT work_id, count(*) AS n_lines FROM line GROUP BY work_id)
-SELECT doc_id, work_id, hits, n_lines FROM (SELECT doc_id, work_id, count(*) AS hits FROM hit GROUP BY ALL) JOIN size USING (work_id)
-WHERE n_lines >= 2 AND (hits >= 3 OR (hits >= 2 AND hits / n_lines > 0.3))""")
+size AS (SELECT work_id, count(*) AS n_lines FROM line GROUP BY work_id),
+recited AS (SELECT doc_id, work_id, hits, n_lines FROM (SELECT doc_id, work_id, count(*) AS hits FROM hit GROUP BY ALL) JOIN size USING (work_id)
+  WHERE n_lines >= 2 AND (hits >= 3 OR (hits >= 2 AND hits / n_lines > 0.3)))"""
+
+
+@query(f"WITH {_SQL_RECITED} SELECT * FROM recited")
 def identified_works(spark, sf_dir):
     found, _ = _recited(spark, sf_dir)
     return found.select(F.col("rec").alias("doc_id"), F.col("work").alias("work_id"), "hits", "n_lines")
@@ -937,3 +940,75 @@ def word_stream_lines(spark, sf_dir):
     words = words.withColumn("end", F.col("start") + 0.4).withColumn("confidence", 1.0 / F.length("word"))
     out = C.match_stream(words, own, silence=1.5)
     return out.select(F.col("session").alias("doc_id"), "pos", "n_words", "start", "end", F.round("score", 3).alias("score"), F.round("confidence", 3).alias("confidence"), F.col("work").alias("work_id"), F.col("line").alias("line_no"), "raw_text")
+
+
+# Following a performance.
+def _sql_two(x: str) -> str:
+    return f"array_to_string(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')[1:2], ' ')"
+
+
+def _sql_gram_set(x: str) -> str:
+    t = f"regexp_replace({x}, '\\s+', '', 'g')"
+    return f"CASE WHEN {t} = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length({t}) - 2, 2)), lambda i: substring({t}, i, 4))) END"
+
+
+@query(f"""WITH RECURSIVE {_SQL_RECITED}, locked AS (SELECT doc_id, work_id FROM recited QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, work_id) = 1),
+o AS (SELECT doc_id, work_id, i AS n, trim(t[i]) AS text FROM (SELECT doc_id, work_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, work_id, regexp_split_to_array(text, '[.\\n]+') AS t FROM documents JOIN locked USING (doc_id))) WHERE trim(t[i]) <> ''),
+og AS (SELECT *, {_sql_two('text')} AS p, {_sql_gram_set('text')} AS g, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM o),
+lg AS (SELECT work_id, line_no AS line, {_sql_two('text')} AS q, {_sql_gram_set('text')} AS h FROM ({SQL_LINES})),
+sc AS (SELECT doc_id, k, line, CASE WHEN p <> '' AND q <> '' THEN least(1.0::DOUBLE, CAST(coalesce(list_max(list_filter(range(0, least(length(p), length(q)) + 1), lambda i: substring(p, 1, i) = substring(q, 1, i))), 0) AS DOUBLE) / length(p)
+    + CASE WHEN string_split(p, ' ')[1] = string_split(q, ' ')[1] THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) END AS prefix,
+  CASE WHEN len(g) > 0 AND len(h) > 0 THEN nullif(CAST(len(list_intersect(g, h)) AS DOUBLE) / least(len(g), len(h)), 0) END AS overlap FROM og JOIN lg USING (work_id)),
+top AS (SELECT doc_id, k, list({{'line': line, 's': prefix}} ORDER BY prefix DESC, line) FILTER (prefix IS NOT NULL) AS p, list({{'line': line, 's': overlap}} ORDER BY overlap DESC, line) FILTER (overlap IS NOT NULL) AS v FROM sc GROUP BY ALL),
+lead AS (SELECT doc_id, k, CASE WHEN clear THEN p[1].line WHEN v[1].s >= 0.15 THEN v[1].line END AS adv, CASE WHEN clear THEN p[1].s ELSE v[1].s END AS s
+  FROM (SELECT *, coalesce(p[1].s >= 0.8::DOUBLE AND p[1].s - coalesce(p[2].s, 0) >= 0.15::DOUBLE, FALSE) AS clear FROM top)),
+r(doc_id, k, line, cand, seen, moved) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), FALSE FROM locked UNION ALL
+  SELECT doc_id, k, CASE WHEN go THEN adv ELSE line END, CASE WHEN wait THEN adv END, CASE WHEN wait THEN seen ELSE 0 END, go AND adv IS DISTINCT FROM line FROM (
+    SELECT *, adv IS NOT NULL AND (same OR (NOT weak AND (s >= 0.9 OR seen >= 2))) AS go, adv IS NOT NULL AND NOT same AND NOT weak AND s < 0.9 AND seen < 2 AS wait FROM (
+      SELECT r.doc_id, l.k, r.line, l.adv, l.s, CASE WHEN r.cand = l.adv THEN r.seen + 1 ELSE 1 END AS seen, coalesce(r.line IS NULL OR r.line = l.adv, FALSE) AS same,
+        coalesce(l.s < coalesce(sc.overlap, 0) + 0.04::DOUBLE OR (abs(l.adv - r.line) > 4 AND l.s < 0.75::DOUBLE), FALSE) AS weak
+      FROM r JOIN lead AS l ON l.doc_id = r.doc_id AND l.k = r.k + 1 LEFT JOIN sc ON sc.doc_id = r.doc_id AND sc.k = r.k + 1 AND sc.line = r.line)))
+SELECT doc_id, n, r.line AS line_no, moved, least(40, count(*) FILTER (moved) OVER (PARTITION BY doc_id ORDER BY k)) AS n_trail FROM r JOIN og USING (doc_id, k)""")
+def pointer_advance(spark, sf_dir):
+    """Sentences of a document in order, each against the lines of the work that it recites most of."""
+    found, _ = _recited(spark, sf_dir)
+    locked = S.first_wins(found, ["rec"], [F.desc("hits"), "work"])
+    said = table(spark, sf_dir, "documents").join(locked, F.col("doc_id") == F.col("rec")).select("doc_id", "work", F.posexplode(F.split("text", SENTENCES)).alias("p", "text"))
+    said = said.select(F.col("doc_id").alias("session"), F.timestamp_seconds("p").cast("timestamp_ntz").alias("ts"), (F.col("p") + 1).cast("long").alias("event_id"), "work", F.trim("text").alias("text")).filter("text <> ''")
+    lines = bench_lines(spark, sf_dir).select(F.col("work_id").alias("work"), F.col("line_no").alias("line"), "text")
+    out = follow.pointers(follow.score_lines(said, lines))
+    return out.select(F.col("session").alias("doc_id"), F.col("event_id").alias("n"), F.col("line").alias("line_no"), "moved", F.size("trail").cast("long").alias("n_trail"))
+
+
+_SQL_HEARD = "SELECT user_id, event_id, ts, event_type <> 'error' AS heard, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value / (abs(value) + 20) AS s, event_type AS a, 'p' || (coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) % 3) AS b, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k FROM events"
+
+
+@query(f"""WITH RECURSIVE o AS ({_SQL_HEARD}), h AS (SELECT *, CASE WHEN heard THEN [{{'work': a, 'line': k % 7, 's': s}}, {{'work': b, 'line': k % 5, 's': s * 0.9::DOUBLE}}] ELSE [] END AS hits FROM o),
+r(user_id, n, m) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), map_from_entries(CAST([] AS STRUCT(k VARCHAR, v DOUBLE)[])) FROM h UNION ALL
+  SELECT user_id, n, map_from_entries(list_filter(moved, lambda e: e.v >= 0.05::DOUBLE)) FROM (
+    SELECT r.user_id, h.n, CASE WHEN heard THEN list_transform(list_distinct(list_concat(map_keys(m), list_transform(hits, lambda x: x.work))),
+      lambda w: {{'k': w, 'v': (1 - 0.35::DOUBLE) * coalesce(m[w], 0) + 0.35::DOUBLE * coalesce(list_sum(list_transform(list_filter(hits, lambda x: x.work = w), lambda x: x.s)), 0)}})
+      ELSE list_transform(map_entries(m), lambda e: {{'k': e.key, 'v': e.value * 0.92::DOUBLE}}) END AS moved FROM r JOIN h ON h.user_id = r.user_id AND h.n = r.n + 1)),
+c AS (SELECT user_id, n, ts, event_id, heard, hits, list_transform(list_sort(list_transform(map_entries(m), lambda e: {{'s': -e.value, 'work': e.key}}))[1:5], lambda x: {{'work': x.work, 'score': -x.s}}) AS candidates FROM r JOIN h USING (user_id, n)),
+b AS (SELECT *, candidates[1].work AS work, list_sort(list_transform(list_filter(hits, lambda x: x.work = candidates[1].work), lambda x: {{'s': -x.s, 'line': x.line}}))[1] AS best, coalesce(list_max(list_transform(hits, lambda x: x.s)), 0) < 0.45::DOUBLE AS frozen FROM c)
+SELECT user_id, event_id, work, coalesce(best.line, -1) AS line, coalesce(-best.s, 0) AS line_score, frozen, candidates,
+  coalesce(list(event_id) FILTER (best IS NOT NULL AND NOT frozen) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING), [])[-40:] AS history FROM b""")
+def tracker_history(spark, sf_dir):
+    """Each event is an observation with two hits; errors are silence."""
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
+    score = F.col("value") / (F.abs("value") + 20)
+    hit = lambda work, line, s: F.struct(work.alias("work"), line.cast("long").alias("line"), s.alias("score"))
+    hits = F.array(hit(F.col("event_type"), k % 7, score), hit(F.concat(F.lit("p"), (k % 3).cast("string")), k % 5, score * 0.9))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", (F.col("event_type") != "error").alias("heard"), hits.alias("hits"))
+    out = follow.tracked(rows)
+    return out.select(F.col("session").alias("user_id"), "event_id", "work", "line", "line_score", "frozen", "candidates", "history")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE value >= 5),
+r(user_id, t, n, reason) AS (SELECT user_id, t, n, 'now' FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, CASE WHEN k > 0 THEN t + 43200000000 ELSE (SELECT e.t FROM e WHERE e.user_id = y.user_id AND e.n = y.n + 1) END, CASE WHEN k > 0 THEN n + k ELSE n + 1 END, CASE WHEN k > 0 THEN 'timer' ELSE 'now' END FROM (
+    SELECT r.user_id, r.t, r.n, (SELECT count(*) FROM e WHERE e.user_id = r.user_id AND e.n > r.n AND e.t < r.t + 43200000000) AS k, (SELECT max(e.n) FROM e WHERE e.user_id = r.user_id) AS last FROM r) AS y WHERE n < last)
+SELECT r.user_id, make_timestamp(r.t) AS at, event_id, reason FROM r JOIN e USING (user_id, n)""")
+def throttled_refresh(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", "event_id", "value")
+    return follow.throttled(rows, 12 * 3600, F.col("value") >= 5).withColumnRenamed("session", "user_id")

@@ -98,27 +98,29 @@ class Pointer:
 
 
 def advance(pointer: Pointer, prefix: list[tuple[int, float]], overlap: list[tuple[int, float]], sure: float = 0.8, gap: float = 0.15, least: float = 0.15, margin: float = 0.04, jump: int = 4, jump_score: float = 0.75, confirm: int = 2, at_once: float = 0.9) -> int | None:
-    """Move the pointer: a clear prefix match leads, else the best overlap; far jumps need a high score, most moves two sightings."""
+    """Move the pointer: a clear prefix match leads, else the best overlap (ties by line).
+
+    A line other than the present one must beat the present one's overlap by ``margin``, needs a high score to be far off,
+    and is believed at its ``confirm``-th sighting in a row, or at once if its score is very high.  Whatever else is seen
+    ends the row of sightings.
+    """
     top = sorted(prefix, key=lambda x: (-x[1], x[0]))
     clear = bool(top) and top[0][1] >= sure and top[0][1] - (top[1][1] if len(top) > 1 else 0.0) >= gap
     order = top if clear else sorted(overlap, key=lambda x: (-x[1], x[0]))
-    if not order or order[0][1] < least:
+    candidate, seen, pointer.candidate, pointer.seen = pointer.candidate, pointer.seen, None, 0
+    if not order or (not clear and order[0][1] < least):
         return pointer.line
     line, score = order[0]
-    if pointer.line is None:
-        pointer.line, pointer.candidate, pointer.seen = line, None, 0
-        return line
-    if line == pointer.line:
-        pointer.candidate, pointer.seen = None, 0
-        return line
-    held = dict(order).get(pointer.line, 0.0)
-    if score < held + margin or (abs(line - pointer.line) > jump and score < jump_score):
-        return pointer.line
-    pointer.seen = pointer.seen + 1 if pointer.candidate == line else 1
-    pointer.candidate = line
-    if pointer.seen >= confirm or score >= at_once:
-        pointer.line, pointer.candidate, pointer.seen = line, None, 0
-    return pointer.line
+    if pointer.line is not None and line != pointer.line:
+        if score < dict(overlap).get(pointer.line, 0.0) + margin or (abs(line - pointer.line) > jump and score < jump_score):
+            return pointer.line
+        if score < at_once:
+            seen = seen + 1 if candidate == line else 1
+            if seen < confirm:
+                pointer.candidate, pointer.seen = line, seen
+                return pointer.line
+    pointer.line = line
+    return line
 
 
 OUT = "session long, ts timestamp_ntz, event_id long, leader string, score double, locked string, push string"
