@@ -77,7 +77,7 @@ def score_lines(observations: DataFrame, lines: DataFrame, text: Column | None =
     prefix = F.when((F.col("_p") != "") & (F.col("_q") != ""), G.prefix_score(F.col("_q"), F.col("_p")))
     overlap = F.size(F.array_intersect("_g", "_h")) / F.least(F.size("_g"), F.size("_h"))
     overlap = F.when((F.size("_g") > 0) & (F.size("_h") > 0) & (overlap > 0), overlap)
-    kept = lambda s: F.collect_list(F.when(s.isNotNull(), F.struct("line", s.alias("score"))))
+    kept = lambda s: F.sort_array(F.collect_list(F.when(s.isNotNull(), F.struct("line", s.alias("score")))))
     return pairs.groupBy(*KEY).agg(kept(prefix).alias("prefix"), kept(overlap).alias("overlap"))
 
 
