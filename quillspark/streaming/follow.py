@@ -344,5 +344,5 @@ def stream(observations: DataFrame, processor: StatefulProcessor, out: str, wate
 
     Needs the RocksDB state store.
     """
-    rows = observations.withWatermark("ts", watermark)
+    rows = observations.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)  # watermarks want a zone: the session's, UTC
     return rows.groupBy("session").transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode=clock)
