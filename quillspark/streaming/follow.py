@@ -125,7 +125,7 @@ def track(state: Tracked, row: dict, settings: Settings = Settings()) -> list[tu
     sum of its hits; works below the floor go.  An observation whose best hit is above the freezing floor and that found a
     line of the leading work enters the history, which keeps the last ones.
     """
-    hits = [(h["work"], h["line"], h["score"]) for h in row["hits"] or []] if row["heard"] else []
+    hits = [(h["work"], h["line"], h["score"]) for h in ([] if row["hits"] is None else row["hits"])] if row["heard"] else []
     rules = tracker.Rules(alpha=settings.alpha, decay=settings.decay, floor=settings.floor)
     state.scores = tracker.blend(state.scores, [(w, s) for w, _, s in hits], bool(row["heard"]), rules)
     order = tracker.ranked(state.scores, settings.top)
