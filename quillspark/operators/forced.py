@@ -23,6 +23,8 @@ from quillspark.plans.storage import materialize
 #: Words of a recording that are joined with a line's words at once, and that one task matches at once.
 BLOCK = 32
 CHUNK = 256
+#: Size up to which an index of lines is sent to every task.
+INDEX_BYTES = 32 << 20
 #: Window sizes beside the number of a line's words, in the order in which equal scores go first.
 SIZES = (0, 1, -1, 2)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,7 +35,7 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
 
 
-def line_hits(recordings: DataFrame, rec: str, words: str, lines: DataFrame, work: str, line: str, line_words: str, share: float = 0.55, shortest: int = 5) -> DataFrame:
+def line_hits(recordings: DataFrame, rec: str, words: str, lines: DataFrame, work: str, line: str, line_words: str, share: float = 0.55, shortest: int = 5, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(rec, work, line, score, place): lines of which some window of as many words holds more than ``share``.
 
     score: the greatest Dice coefficient of the line's words and a window's, as multisets; a recording shorter than the
@@ -42,12 +44,121 @@ def line_hits(recordings: DataFrame, rec: str, words: str, lines: DataFrame, wor
     of a recording are not told apart.
 
     Exact without comparing all pairs: a window above the share holds at least one of the line's rarest words, as many of
-    them as may be missing and one more.  Only places near such words are looked at.
+    them as may be missing and one more.  Lines without such a word in a recording, or with too few words there, are not
+    looked at.  Lines whose words take up to ``index_bytes`` are sent to the recordings; else both sides are joined by word.
     """
     own = lines.select(F.col(work).alias("work"), F.col(line).alias("line"), F.col(line_words).alias("_w")).filter(F.length(F.array_join("_w", " ")) >= shortest)
     own = own.select("work", "line", F.size("_w").alias("n"), F.explode("_w").alias("word")).groupBy("work", "line", "n", "word").agg(F.count("*").alias("c"))
     own = materialize(own, "line_words")
-    said = recordings.select(F.col(rec).alias("rec"), F.size(words).alias("m"), F.posexplode(words).alias("pos", "word"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()[0]
+    said = recordings.select(F.col(rec).alias("rec"), F.col(words).alias("words"))
+    return _hits_in_tasks(said, own, share) if size <= index_bytes else _hits_by_joins(said, own, share)
+
+
+class LineIndex:
+    """Words of lines, and for each word the lines that have it, and those of whose rarest words it is one."""
+
+    def __init__(self, rows: list[tuple[int, int, str, int]], share: float):
+        """``rows``: (line, its number of words, word, how often)."""
+        self.share, self.ids = share, {w: k for k, w in enumerate(sorted({r[2] for r in rows}))}
+        line, n, word, count = (np.array(c, np.int64) for c in (zip(*((r[0], r[1], self.ids[r[2]], r[3]) for r in rows), strict=True) if rows else [[]] * 4))
+        often = np.bincount(word, minlength=len(self.ids))
+        order = np.lexsort((word, often[word], line))
+        line, n, word, count = line[order], n[order], word[order], count[order]
+        self.n = np.zeros(int(line.max()) + 1 if len(line) else 0, np.int64)
+        self.n[line] = n
+        before = np.cumsum(count) - count
+        before -= before[np.searchsorted(line, line)]
+        rare = before < n - np.floor(share * n)
+        self.all = self._postings(word, line, count)
+        self.rare = self._postings(word[rare], line[rare], count[rare])
+
+    def _postings(self, word, line, count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(word, kind="stable")
+        return np.searchsorted(word[order], np.arange(len(self.ids) + 1)), line[order], count[order]
+
+    @staticmethod
+    def _expand(postings, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among ids, line, count) of all postings of the ids."""
+        starts, line, count = postings
+        many = starts[ids + 1] - starts[ids]
+        at = np.repeat(starts[ids] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.repeat(np.arange(len(ids)), many), line[at], count[at]
+
+    def hits(self, words: list[str], part: int = 1_000) -> list[tuple[int, float, int]]:
+        """(line, score, place) of the lines that a recording's words hit; long recordings are gone through in parts."""
+        best: dict[int, tuple[float, int]] = {}
+        longest, m = int(self.n.max(initial=0)), len(words)
+        for start in range(0, max(m, 1), part):
+            for line, score, place in self._part(words[start : start + part + longest - 1], min(part, m - start) if start + part < m else m - start, m):
+                if line not in best or score > best[line][0]:
+                    best[line] = score, start + place
+        return [(line, *b) for line, b in best.items()]
+
+    def _part(self, words: list[str], begins: int, m: int) -> Iterator[tuple[int, float, int]]:
+        """The best windows that begin among the first ``begins`` words of this part of a recording of m words."""
+        ids = np.array([self.ids.get(w, -1) for w in words], np.int64)
+        pos = np.flatnonzero(ids >= 0)
+        ids = ids[pos]
+        own, inverse, often = np.unique(ids, return_inverse=True, return_counts=True)
+        # Lines longer than the recording have it as their one window; of others, a rarest word must be there.
+        open_ = self.n > m
+        open_[self._expand(self.rare, own)[1]] = True
+        at, line, count = self._expand(self.all, own)
+        held = np.bincount(line, np.minimum(count, often[at]), minlength=len(self.n))
+        keep = (open_ & (2 * held > self.share * (self.n + np.minimum(self.n, m))))[line]
+        postings = np.searchsorted(at[keep], np.arange(len(own) + 1)), line[keep], count[keep]
+        at, line, count = self._expand(postings, inverse)
+        if not len(at):
+            return
+        # A word counts in a window unless the line's share of it is taken by earlier ones there.
+        order = np.lexsort((pos, ids))
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        earlier = rank[at] - count
+        same = (earlier >= 0) & (ids[order[earlier]] == ids[at])
+        taken = np.where(same, pos[order[earlier]], -1)
+        q, n = pos[at], self.n[line]
+        low, high = np.maximum(np.maximum(q - n + 1, taken + 1), 0), np.minimum(q, np.maximum(len(words) - n, 0))
+        wide = len(words) + 1
+        inside = low <= high
+        lows, highs = np.sort(line[inside] * wide + low[inside]), np.sort(line[inside] * wide + high[inside])
+        here = high < begins
+        line, n, high = line[here], n[here], high[here]
+        code = line * wide + high
+        held = np.searchsorted(lows, code, "right") - np.searchsorted(highs, code, "left")
+        score = 2.0 * held / (n + np.minimum(n, m))
+        order = np.lexsort((high, -score, line))
+        order = order[np.diff(line[order], prepend=-1) != 0]
+        for k in order[score[order] > self.share]:
+            yield int(line[k]), float(score[k]), int(high[k])
+
+
+def _hits_in_tasks(said: DataFrame, own: DataFrame, share: float) -> DataFrame:
+    """Recordings are read where they lie, by an index of the lines that a check has shown to be small."""
+    held = own.orderBy("work", "line").collect()
+    names = list(dict.fromkeys((r["work"], r["line"]) for r in held))
+    number = {k: i for i, k in enumerate(names)}
+    index = said.sparkSession.sparkContext.broadcast((LineIndex([(number[r["work"], r["line"]], r["n"], r["word"], r["c"]) for r in held], share), names))
+    kinds = {**{f.name: f.dataType.simpleString() for f in own.schema}, "rec": said.schema["rec"].dataType.simpleString()}
+    arrow = {f.name: f.type for f in [*said.limit(0).toArrow().schema, *own.limit(0).toArrow().schema]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, names = index.value
+        for batch in batches:
+            out = [(rec.as_py(), *names[k], score, place) for rec, words in zip(*batch.columns, strict=True) for k, score, place in lines.hits(words.as_py() or [])]
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            types = [arrow["rec"], arrow["work"], arrow["line"], pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["rec", "work", "line", "score", "place"])
+
+    found = said.mapInArrow(run, f"rec {kinds['rec']}, work {kinds['work']}, line {kinds['line']}, score double, place long")
+    best = found.groupBy("rec", "work", "line").agg(F.max(F.struct("score", -F.col("place"))).alias("b"))
+    return best.select("rec", "work", "line", "b.score", (-F.col("b.col2")).alias("place"))
+
+
+def _hits_by_joins(said: DataFrame, own: DataFrame, share: float) -> DataFrame:
+    """The same by joins on words, for any number of lines."""
+    said = said.select("rec", F.size("words").alias("m"), F.posexplode("words").alias("pos", "word"))
     # Words that no line has never count; what is left is all that the rest needs.
     said = materialize(said.join(broadcast_if_small(own.select("word").distinct()), "word", "left_semi"), "said")
     often = said.groupBy("word").agg(F.count("*").alias("_often"))
@@ -129,15 +240,17 @@ def match_places(words: DataFrame, lines: DataFrame, floor: float = 0.45, silenc
     longest = own.agg(F.max(F.size(F.split("text", " ")))).first()[0] or 0
     ahead = longest + max(SIZES)
     in_chunk = F.sequence(F.floor((F.greatest(F.col("pos") - ahead, F.lit(0))) / chunk), F.floor(F.col("pos") / chunk))
+    words = words.join(own.select("session").distinct(), "session", "left_semi")
     parts = words.select("session", F.explode(in_chunk).alias("chunk"), F.struct("pos", F.coalesce("word", F.lit("")).alias("word"), "start", "end").alias("w"))
-    parts = parts.join(own.select("session").distinct(), "session", "left_semi").groupBy("session", "chunk").agg(F.sort_array(F.collect_list("w")).alias("words"))
+    parts = parts.groupBy("session", "chunk").agg(F.sort_array(F.collect_list("w")).alias("words"))
     parts = materialize(parts, "chunks")
     types = [own.schema[c].dataType.simpleString() for c in ("work", "line")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for session, c, held, work, line, target in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for row in zip(*batch.columns, strict=True):  # one row's values at a time
+                session, c, held, work, line, target = (x.as_py() for x in row)
                 low = held[0]["pos"]
                 pause = [silence is not None and None not in (a["end"], b["start"]) and b["start"] - a["end"] > silence for a, b in zip(held, held[1:])]
                 breaks = np.cumsum([0, *pause])

@@ -30,8 +30,8 @@ def windows_hit(words, line, share):
     return best
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_line_hits(spark, seed):
+@pytest.mark.parametrize("seed, index_bytes", [(0, 1 << 20), (1, 1 << 20), (2, 1 << 20), (0, 0), (1, 0), (3, 0)])
+def test_line_hits(spark, seed, index_bytes):
     rng = random.Random(seed)
     vocabulary = ["the"] * 6 + [f"w{i}" for i in range(12)] + GURMUKHI[2].split()
     lines = [(w, i, [rng.choice(vocabulary) for _ in range(rng.randint(1, 9))]) for w in range(5) for i in range(4)]
@@ -39,7 +39,7 @@ def test_line_hits(spark, seed):
     for r in range(3):
         recordings[r][1].extend(lines[r][2])
     table = spark.createDataFrame(lines, "work long, line long, words array<string>")
-    hits = forced.line_hits(spark.createDataFrame(recordings, "rec long, words array<string>"), "rec", "words", table, "work", "line", "words")
+    hits = forced.line_hits(spark.createDataFrame(recordings, "rec long, words array<string>"), "rec", "words", table, "work", "line", "words", index_bytes=index_bytes)
     expected = {}
     for rec, words in recordings:
         for work, line, target in lines:
@@ -52,6 +52,18 @@ def test_line_hits(spark, seed):
     assert confirmed == {k: (n, 4) for k, n in counts.items() if n >= 3 or (n >= 2 and n / 4 > 0.3)}
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_long_recordings_go_through_in_parts(seed):
+    rng = random.Random(seed)
+    lines = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))] for _ in range(30)]
+    words = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)]
+    index = forced.LineIndex([(k, len(w), x, c) for k, w in enumerate(lines) for x, c in Counter(w).items()], 0.55)
+    whole = {k: (s, p) for k, s, p in index.hits(words)}
+    assert whole == {k: windows_hit(words, w, 0.55) for k, w in enumerate(lines) if windows_hit(words, w, 0.55)}
+    for part in (13, 50, 400):
+        assert {k: (s, p) for k, s, p in index.hits(words, part)} == whole
+
+
 def greedy(words, lines, floor, silence):
     """The cursor, one place after another."""
     out, i = [], 0
