@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +16,10 @@ from quillspark.plans.storage import materialize
 
 #: Rows of a gram table up to which it is broadcast (about 50 MB); beyond, the join shuffles by gram.
 BROADCAST_ROWS = 1_000_000
-#: Lines that are compared with every query at once, a job each such block.
+#: Lines that are compared with every query at once.
 LINES_BLOCK = 1_000
+#: UTF-8 bytes of lines up to which their index is sent to every task (it takes some 30 times as much there).
+INDEX_BYTES = 8 << 20
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -23,6 +27,53 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def held_lines(lines: DataFrame, *columns: str) -> list | None:
+    """All lines in order of ``columns``, the text being the last, if a sum has shown them to be small; else None."""
+    size = lines.agg(F.sum(F.octet_length(columns[-1]) + 16)).first()[0] or 0
+    return lines.orderBy(*columns).collect() if size <= INDEX_BYTES else None
+
+
+def grams_of(text: str, n: int) -> set[str]:
+    """Distinct character n-grams; a shorter text is its own, an empty one has none."""
+    return {text[i : i + n] for i in range(len(text) - n + 1)} or ({text} if text else set())
+
+
+class GramLines:
+    """Lines by the n-grams that they hold: how many a text shares with each is one count over the lists of its grams."""
+
+    def __init__(self, texts: list[str], n: int):
+        sets = [grams_of(t, n) for t in texts]
+        self.n, self.sizes = n, np.array([len(g) for g in sets], np.int64)
+        self.ids: dict[str, int] = {}
+        pairs = np.array([(self.ids.setdefault(g, len(self.ids)), k) for k, own in enumerate(sets) for g in own], np.int64).reshape(-1, 2)
+        order = np.argsort(pairs[:, 0], kind="stable")
+        self.lines = pairs[order, 1].astype(np.int32)
+        self.starts = np.searchsorted(pairs[order, 0], np.arange(len(self.ids) + 1))
+
+    def shared(self, text: str) -> tuple[np.ndarray, int]:
+        """The number of grams shared with each line, and that of the text."""
+        grams = grams_of(text, self.n)
+        ids = np.array([k for g in grams if (k := self.ids.get(g)) is not None], np.int64)
+        many = self.starts[ids + 1] - self.starts[ids]
+        at = np.repeat(self.starts[ids] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.bincount(self.lines[at], minlength=len(self.sizes)), len(grams)
+
+
+def _per_text(queries: DataFrame, index, answer: Callable[[object, str], list[tuple]], schema: str) -> DataFrame:
+    """(query_id, ...) for each row of ``queries`` (id, text): what ``answer`` gives for the index and the text."""
+    held = queries.sparkSession.sparkContext.broadcast(index)
+    schema = f"query_id {queries.schema[0].dataType.simpleString()}, {schema}"
+    arrow = queries.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(x, *row) for x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in answer(held.value, text or "")]
+            columns = zip(*out, strict=True) if out else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return queries.mapInArrow(run, schema)
+
+
 def gram_index(lines: DataFrame, work: str, text: Column, n: int = 4) -> DataFrame:
     """(work_id, gram, tf): the gram multiset of each work, over all its lines."""
     rows = lines.select(F.col(work).alias("work_id"), F.explode(G.char_grams(text, n)).alias("gram"))
@@ -106,8 +157,34 @@ def next_work(lines: DataFrame, work: str, order: str) -> DataFrame:
 def literal_search(queries: DataFrame, query: str, text: Column, lines: DataFrame, work: str, line: str, line_text: Column, top: int = 5, least: float = 0.0) -> DataFrame:
     """(query_id, work_id, line_id, score, rank): lines by overlap coefficient of 4-gram sets, the best line of each work.
 
-    Only pairs that share a gram are formed: counts of shared grams come from an equi-join, not from a cross product.
+    Shared grams are counted against an index of the lines where those are small; else by an equi-join of grams, in which
+    the grams of many lines and queries make many rows.
     """
+    known = lines.select(F.col(work).alias("work_id"), F.col(line).alias("line_id"), F.regexp_replace(line_text, r"\s+", "").alias("t")).filter("t <> ''")
+    if (held := held_lines(known, "work_id", "line_id", "t")) is not None:
+        names = [(r["work_id"], r["line_id"]) for r in held]
+        works = np.cumsum([0, *(a[0] != b[0] for a, b in zip(names, names[1:]))]) if held else np.zeros(0, np.int64)
+        kinds = [known.schema[c].dataType.simpleString() for c in ("work_id", "line_id")]
+        rows = queries.select(F.col(query).alias("query_id"), F.regexp_replace(text, r"\s+", "").alias("t"))
+
+        def answer(index, t: str) -> list[tuple]:
+            lines, works, names = index
+            shared, size = lines.shared(t)
+            own = np.flatnonzero(shared)
+            if not len(own):
+                return []
+            score = shared[own] / np.minimum(size, lines.sizes[own])
+            starts = np.flatnonzero(np.diff(works[own], prepend=-1))
+            best = np.maximum.reduceat(score, starts)
+            out = []
+            for k in np.argsort(-best, kind="stable")[:top]:  # works are in order: equal scores stay so
+                if best[k] >= least:
+                    end = starts[k + 1] if k + 1 < len(starts) else len(own)
+                    first = own[starts[k] + int(np.argmax(score[starts[k] : end]))]
+                    out.append((*names[first], float(best[k]), len(out) + 1))
+            return out
+
+        return _per_text(rows, (GramLines([r["t"] for r in held], 4), works, names), answer, f"work_id {kinds[0]}, line_id {kinds[1]}, score double, rank int")
     q = queries.select(F.col(query).alias("query_id"), G.char_gram_set(text).alias("g")).withColumn("qn", F.size("g"))
     r = lines.select(F.col(work).alias("work_id"), F.col(line).alias("line_id"), G.char_gram_set(line_text).alias("g")).withColumn("rn", F.size("g"))
     left = q.select("query_id", "qn", F.explode("g").alias("gram"))
@@ -121,9 +198,26 @@ def literal_search(queries: DataFrame, query: str, text: Column, lines: DataFram
 
 
 def trigram_candidates(queries: DataFrame, query: str, text: str, lines: DataFrame, line: str, line_text: str, top: int = 200, ratio: tuple[float, float] = (0.3, 3.0)) -> DataFrame:
-    """(query_id, line_id, shared, q, t): for each query the ``top`` lines by shared distinct trigrams, lengths within bounds."""
+    """(query_id, line_id, shared, q, t): for each query the ``top`` lines by shared distinct trigrams, lengths within bounds.
+
+    Counted against an index of the lines where those are small, else by an equi-join of trigrams.
+    """
     q = queries.select(F.col(query).alias("query_id"), F.col(text).alias("q"))
     r = lines.select(F.col(line).alias("line_id"), F.col(line_text).alias("t"))
+    if (held := held_lines(r.filter("t <> ''"), "line_id", "t")) is not None:
+        texts = [x["t"] for x in held]
+        index = GramLines(texts, 3), np.array([len(t) for t in texts], np.int64), [x["line_id"] for x in held], texts
+
+        def answer(index, x: str) -> list[tuple]:
+            grams, lengths, ids, texts = index
+            shared, _ = grams.shared(x)
+            own = np.flatnonzero((shared > 0) & (lengths >= ratio[0] * len(x)) & (lengths <= ratio[1] * len(x)))
+            if len(own) > top:  # all that share as much as the last one that is taken
+                own = own[shared[own] >= np.partition(shared[own], -top)[-top]]
+            own = own[np.argsort(-shared[own], kind="stable")][:top]
+            return [(ids[k], int(shared[k]), n + 1, x, texts[k]) for n, k in enumerate(own)]
+
+        return _per_text(q, index, answer, f"line_id {r.schema['line_id'].dataType.simpleString()}, shared long, rank int, q string, t string")
     left = q.select("query_id", F.length("q").alias("ql"), F.explode(F.array_distinct(G.char_grams(F.col("q"), 3))).alias("gram"))
     right = r.select("line_id", F.length("t").alias("tl"), F.explode(F.array_distinct(G.char_grams(F.col("t"), 3))).alias("gram"))
     shared = left.join(broadcast_if_small(right), "gram").groupBy("query_id", "line_id").agg(F.count("*").alias("shared"), F.first("ql").alias("ql"), F.first("tl").alias("tl"))
@@ -153,21 +247,30 @@ def token_set_best(queries: DataFrame, query: str, text: str, lines: DataFrame,
     token-set ratio, ties by id; a null line and ratio 0 where the text has no words or there are no lines."""
     q = queries.select(F.col(query).alias("query_id"), F.col(text).alias("q"))
     r = lines.select(F.col(line).cast("long").alias("line_id"), F.col(line_text).alias("t")).filter(F.length("t") >= least)
-    blocks = max(1, -(-r.count() // block))
     texts = materialize(q.select("q").distinct(), "texts")
-    found = None
-    for i in range(blocks):
-        held = [(x.line_id, x.t) for x in r.filter(F.pmod(F.xxhash64("line_id"), F.lit(blocks)) == i).collect()]
+    held = held_lines(r, "line_id", "t")
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            scorer = M.TokenSetLines(held)
+    def best_of(lines: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        parts = [[(x["line_id"], x["t"]) for x in lines[k : k + block]] for k in range(0, len(lines), block)]
+        sent = q.sparkSession.sparkContext.broadcast(parts)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorers = [M.TokenSetLines(p) for p in sent.value]
             for batch in batches:
-                best = [(x, *b) for x in batch.column(0).to_pylist() if (b := scorer.best(x or ""))]
+                best = [(x, *max(b, key=lambda y: (y[0], -y[1]))) for x in batch.column(0).to_pylist() if (b := [y for s in scorers if (y := s.best(x or ""))])]
                 columns = zip(*best, strict=True) if best else ([], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.float64(), pa.int64()), strict=True)], ["q", "ratio", "line_id"])
 
-        part = materialize(texts.mapInArrow(run, "q string, ratio double, line_id long"), "best")
-        found = part if found is None else found.unionByName(part)
+        return run
+
+    if held is not None:
+        found = texts.mapInArrow(best_of(held), "q string, ratio double, line_id long")
+    else:  # lines that no task can hold at once: a job for each part of them
+        lots, found = max(1, -(-r.count() // (50 * block))), None
+        for i in range(lots):
+            lot = r.filter(F.pmod(F.xxhash64("line_id"), F.lit(lots)) == i).collect()
+            part = materialize(texts.mapInArrow(best_of(lot), "q string, ratio double, line_id long"), "best")
+            found = part if found is None else found.unionByName(part)
     best = found.groupBy("q").agg(F.max(F.struct("ratio", (-F.col("line_id")).alias("neg"))).alias("b"))
     return _answered(q, best.select("q", (-F.col("b.neg")).alias("line_id"), F.col("b.ratio").alias("ratio")))
 
@@ -181,6 +284,29 @@ def sequence_best(queries: DataFrame, query: str, text: str, lines: DataFrame, w
     """
     q = queries.select(F.col(query).alias("query_id"), F.col(text).alias("q"))
     texts = materialize(q.filter(F.length("q") >= 3).groupBy("q").agg(F.min("query_id").alias("rep")), "texts")
+    r = lines.select(F.col(work).alias("work_id"), F.col(line).alias("line_id"), F.col(line_text).alias("t")).filter("t <> ''")
+    if (held := held_lines(r, "line_id", "work_id", "t")) is not None:
+        ids, words = [x["line_id"] for x in held], [x["t"] for x in held]
+        after: list[int | None] = [None] * len(held)
+        in_work = sorted(range(len(held)), key=lambda k: (held[k]["work_id"] is None, held[k]["work_id"], k))
+        for a, b in zip(in_work, in_work[1:]):
+            if held[a]["work_id"] == held[b]["work_id"]:
+                after[a] = b
+        before = {b: a for a, b in enumerate(after) if b is not None}
+        index = GramLines(words, 3), np.array([len(t) for t in words], np.int64), ids, words, after, before
+
+        def answer(index, x: str) -> list[tuple]:
+            grams, lengths, ids, words, after, before = index
+            low, high = ratio[0] * len(x), ratio[1] * len(x)
+            shared, _ = grams.shared(x)
+            own = np.flatnonzero((shared > 0) & (lengths >= low) & (lengths <= high))
+            own = own[np.argsort(-shared[own], kind="stable")][:top].tolist()
+            heads = {k for k in own[:pairs] if after[k] is not None} | {before[k] for k in own[:pairs] if k in before}
+            both = [(f"{words[k]} {words[after[k]]}", 2 * ids[k] + 1) for k in heads]
+            best = M.best_sequence(x, [(words[k], 2 * ids[k]) for k in own] + [b for b in both if low <= len(b[0]) <= high])
+            return [(x, best[1], best[0])] if best else []
+
+        return _answered(q, _per_text(texts.select("rep", "q"), index, answer, "q string, line_id long, ratio double").select("q", "line_id", "ratio"))
     near = materialize(trigram_candidates(texts, "rep", "q", lines, line, line_text, top, ratio).select("query_id", "line_id", "rank", "t"), "near")
     order = Window.partitionBy(work).orderBy(line)
     beside = lines.select(F.col(line).alias("line_id"), F.lag(line).over(order).alias("before"), F.lead(line).over(order).alias("after"), F.lag(line_text).over(order).alias("t_before"), F.lead(line_text).over(order).alias("t_after"))
