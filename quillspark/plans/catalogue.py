@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import grams as G
+from quillspark.functions import gurmukhi as U
 from quillspark.functions import similarity as M
 from quillspark.functions import text as X
-from quillspark.functions.profiles import LATIN
+from quillspark.functions.profiles import GURMUKHI, LATIN
 from quillspark.operators import align as A
 from quillspark.operators import forced as C
 from quillspark.operators import reports as P
@@ -27,7 +28,8 @@ from quillspark.operators import stages
 from quillspark.operators import validate as V
 from quillspark.operators import vectors as K
 from quillspark.plans.session import table
-from quillspark.sources import parsers, sinks
+from quillspark.plans.storage import materialize, new_path
+from quillspark.sources import parsers, sinks, snapshots
 from quillspark.streaming import follow, live, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -906,7 +908,7 @@ def _recited(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", C.words_of(F.col("text")).alias("words"))
     lines = bench_lines(spark, sf_dir).select("work_id", "line_no", "text", C.words_of(F.col("text")).alias("words"))
     hits = C.line_hits(docs, "doc_id", "words", lines, "work_id", "line_no", "words")
-    return C.confirmed_works(hits, lines, "work_id"), lines
+    return materialize(C.confirmed_works(hits, lines, "work_id"), "recited"), lines
 
 
 _SQL_RECITED = f"""line AS (SELECT work_id, line_no, {sql_words('text')} AS w FROM ({SQL_LINES})),
@@ -935,7 +937,8 @@ def word_stream_lines(spark, sf_dir):
     found, lines = _recited(spark, sf_dir)
     own = found.join(lines, found["work"] == lines["work_id"]).select(F.col("rec").alias("session"), "work", F.col("line_no").alias("line"), F.array_join("words", " ").alias("text"))
     each = F.flatten(F.transform(F.split("text", "\n"), lambda t, k: F.transform(C.words_of(t), lambda w: F.struct(w.alias("word"), k.alias("k")))))
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session"), F.posexplode(each).alias("pos", "w"))
+    docs = table(spark, sf_dir, "documents").join(own.select(F.col("session").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    words = docs.select(F.col("doc_id").alias("session"), F.posexplode(each).alias("pos", "w"))
     words = words.select("session", F.col("pos").cast("long").alias("pos"), "w.word", (F.col("pos") * 0.5 + F.col("w.k") * 2.0).alias("start"))
     words = words.withColumn("end", F.col("start") + 0.4).withColumn("confidence", 1.0 / F.length("word"))
     out = C.match_stream(words, own, silence=1.5)
@@ -1012,3 +1015,44 @@ SELECT r.user_id, make_timestamp(r.t) AS at, event_id, reason FROM r JOIN e USIN
 def throttled_refresh(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", "event_id", "value")
     return follow.throttled(rows, 12 * 3600, F.col("value") >= 5).withColumnRenamed("session", "user_id")
+
+
+# Salvage: rows that lack a value are mended from later changes, and the table gets a new version.
+@query("""WITH last AS (SELECT client_id, city, segment, balance FROM client_changes WHERE client_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY seq DESC NULLS LAST, change_id DESC) = 1)
+SELECT c.client_id, c.source, c.updated_at, CASE WHEN l.client_id IS NOT NULL AND (c.balance IS NULL OR c.segment IS NULL OR c.city IS NULL) THEN l.city ELSE c.city END AS city,
+CASE WHEN l.client_id IS NOT NULL AND (c.balance IS NULL OR c.segment IS NULL OR c.city IS NULL) THEN l.segment ELSE c.segment END AS segment,
+CASE WHEN l.client_id IS NOT NULL AND (c.balance IS NULL OR c.segment IS NULL OR c.city IS NULL) THEN l.balance ELSE c.balance END AS balance FROM clients AS c LEFT JOIN last AS l ON l.client_id = c.client_id""")
+def salvaged_clients(spark, sf_dir):
+    clients = table(spark, sf_dir, "clients").select("client_id", "source", "updated_at", "city", "segment", "balance")
+    changes = table(spark, sf_dir, "client_changes").select("client_id", "seq", "change_id", "city", "segment", "balance")
+    broken = F.col("balance").isNull() | F.col("segment").isNull() | F.col("city").isNull()
+    path = new_path(spark, "clients")
+    first = snapshots.publish(clients, path)
+    snapshots.publish(snapshots.merge_rows(snapshots.read(spark, path, first), changes, "client_id", ["seq", "change_id"], when=broken), path, base=first)
+    return snapshots.read(spark, path)
+
+
+# Gurmukhi: documents read as text that was typed for the font.
+def _sql_table(x: str, table: dict[str, str]) -> str:
+    for k, v in table.items():
+        x = f"replace({x}, '{k}', '{v}')"
+    return x
+
+
+def _sql_gurmukhi() -> str:
+    x = "text"
+    for pattern, by in U.ASCII_ORDER:
+        x = f"regexp_replace({x}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    g = GURMUKHI
+    skeleton = _sql_table("lower(coalesce(u, ''))", dict(g.replacements))
+    skeleton = f"translate({skeleton}, '{g.fold[0]}', '{g.fold[1]}')" if g.fold[0] else skeleton
+    voiced = f"regexp_replace(regexp_replace(replace({_sql_table('u', U.COMPOSED)}, '਼', ''), '({U.CONSONANT})', '\\1a', 'g'), 'a({U.VOWEL_SIGN})', '\\1', 'g')"
+    return f"""WITH c AS (SELECT doc_id, {_sql_table(_sql_table(x, U.ASCII_PAIRS), U.ASCII_SIGNS)} AS u FROM documents)
+SELECT doc_id, u AS unicode, regexp_replace({skeleton}, '{g.strip.replace(chr(39), chr(39) * 2)}', '', 'g') AS skeleton,
+trim(regexp_replace(regexp_replace(lower({_sql_table(voiced, U.ROMAN)}), '[^a-z \\t\\n]', '', 'g'), '[ \\t\\n]+', ' ', 'g')) AS roman FROM c"""
+
+
+@query(_sql_gurmukhi())
+def gurmukhi_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", U.ascii_to_unicode(F.col("text")).alias("unicode"))
+    return rows.select("doc_id", "unicode", X.skeleton(F.col("unicode"), GURMUKHI).alias("skeleton"), U.roman(F.col("unicode")).alias("roman"))

@@ -75,8 +75,7 @@ def score_lines(observations: DataFrame, lines: DataFrame, text: Column | None =
     known = lines.select(F.col("work").alias("_work"), F.col("line").cast("long").alias("line"), two(own).alias("_q"), G.char_gram_set(own).alias("_h"))
     pairs = seen.join(known, F.col("work") == F.col("_work"), "left")
     prefix = F.when((F.col("_p") != "") & (F.col("_q") != ""), G.prefix_score(F.col("_q"), F.col("_p")))
-    overlap = F.size(F.array_intersect("_g", "_h")) / F.least(F.size("_g"), F.size("_h"))
-    overlap = F.when((F.size("_g") > 0) & (F.size("_h") > 0) & (overlap > 0), overlap)
+    overlap = G.let(F.size(F.array_intersect("_g", "_h")), lambda n: F.when(n > 0, n / F.least(F.size("_g"), F.size("_h"))))
     kept = lambda s: F.sort_array(F.collect_list(F.when(s.isNotNull(), F.struct("line", s.alias("score")))))
     return pairs.groupBy(*KEY).agg(kept(prefix).alias("prefix"), kept(overlap).alias("overlap"))
 
