@@ -1,9 +1,8 @@
 """Quality by importance resampling.
 
 Two generative models over hashed n-grams (words, pairs of words, and pairs of word shapes), one of target text and one of
-the raw corpus, which is all of the documents, give each document an importance weight, the ratio of its likelihoods.  The
-ratio of a long text is taken to the power that leaves it the weight of ``REACH`` n-grams, else length would decide alone.
-Resampling without replacement is Gumbel top-k: log weight plus Gumbel noise, the k greatest keys.  k is the stated count,
+the raw corpus, which is all of the documents, give each document an importance weight, the ratio of its likelihoods over
+all its n-grams, whatever their number.  Resampling without replacement is Gumbel top-k: log weight plus Gumbel noise, the k greatest keys.  k is the stated count,
 or else the expected number of target documents: the sum of their posteriors under the stated share of target text.
 The k-th key is found by narrowing histograms, so no row is sorted globally or collected.
 """
@@ -26,8 +25,6 @@ from quillspark.plans.storage import materialize
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
-#: A text's log weight is that of so many of its n-grams at most, on average.
-REACH = 256
 CACHE_WORDS = 300_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -84,10 +81,9 @@ class Model:
     share: float = 0.5
 
     def weight(self, features: Features, text: str | None) -> tuple[float, int]:
-        """(log importance weight, n-grams): the sum of a text's log ratios, or ``REACH`` times their mean if it has more."""
+        """(log importance weight, n-grams): the sum of a text's log ratios, 0 without n-grams."""
         buckets = features.buckets(text)
-        n = len(buckets)
-        return (float(self.log_ratio[buckets].sum()) * min(1.0, REACH / n), n) if n else (0.0, 0)
+        return float(self.log_ratio[buckets].sum()), len(buckets)
 
     def posterior(self, weight: float) -> float:
         """Probability of target text under the expected share."""

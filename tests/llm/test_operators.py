@@ -456,7 +456,14 @@ def test_quality_and_gumbel(spark):
     fresh = docs(spark, [(1, prose(901, 50)), (2, noisy(902)), (3, None), (4, "one"), (5, ""), (6, prose(901, 5000))])
     r = {x.doc_id: x for x in quality.resample(fresh, model).collect()}
     assert r[1].selected and r[6].selected and not r[2].selected and not r[3].selected and not r[5].selected
-    assert r[2].log_weight < -5 < 0 < r[1].log_weight and r[6].log_weight < 30 and r[4].n_grams == 1
+    assert r[2].log_weight < -5 < 0 < r[1].log_weight and r[4].n_grams == 1
+    # Both models from plain counts, and a long text's weight as the plain ratio of its likelihoods under them.
+    counts = lambda rows: Counter(int(b) for _, t in rows for b in quality.Features().buckets(t))
+    own, every = counts(good), counts(raw)
+    scale = sum(own.values()) / sum(every.values())
+    for k, t in ((1, prose(901, 50)), (2, noisy(902)), (6, prose(901, 5000))):
+        ratio = sum(np.log((own[int(b)] + 50.0) / (every[int(b)] * scale + 50.0)) for b in quality.Features().buckets(t))
+        assert abs(r[k].log_weight - ratio) < 1e-6 * max(1, abs(ratio)), k
     # The definition, in plain Python: the k greatest of log weight plus noise; and that is not a threshold on the weight.
     features, plain = quality.Features(), []
     noise = dict(docs(spark, raw).select("doc_id", quality._noise("doc_id", "text")).collect())
