@@ -19,19 +19,25 @@ def bucket_counts(rows: DataFrame, value: Column, thresholds: list[float]) -> Da
     return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"), *ge)
 
 
-def _half_median(values: Column, first: Column, n: Column) -> Column:
-    """Median of ``n`` sorted values from the 0-based ``first``."""
-    middle = first + F.floor(n / 2).cast("int")
-    return F.when(n % 2 == 1, F.get(values, middle)).otherwise((F.get(values, middle - 1) + F.get(values, middle)) / 2)
-
-
 def median_iqr(rows: DataFrame, key: str, value: str, least: int = 4) -> DataFrame:
-    """(key, n, median, iqr): quartiles as medians of the halves, the middle value in neither; null below ``least`` values."""
-    v = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("v"))
-    n = F.size("v")
-    half = F.floor(n / 2).cast("int")
-    iqr = _half_median(F.col("v"), n - half, half) - _half_median(F.col("v"), F.lit(0), half)
-    return v.select(key, n.cast("long").alias("n"), _half_median(F.col("v"), F.lit(0), n).alias("median"), F.when(n >= least, iqr).alias("iqr"))
+    """(key, n, median, iqr): quartiles as medians of the halves, the middle value in neither; null below ``least`` values.
+
+    Values are counted first, and read off at their places in the running counts: no list of a key's values is made.
+    Null values are left out; a key with no others has n 0.
+    """
+    counts = rows.groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_c"))
+    in_order = Window.partitionBy(key).orderBy("_v")
+    counts = counts.withColumn("_to", F.sum("_c").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(key)))
+
+    def middle(first: Column, n: Column) -> Column:
+        """Median of ``n`` values from the 0-based ``first`` on."""
+        low, high = (F.max(F.when((F.col("_to") - F.col("_c") <= at) & (at < F.col("_to")), F.col("_v"))) for at in (first + F.floor((n - 1) / 2), first + F.floor(n / 2)))
+        return (low + high) / 2
+
+    n = F.col("_n")
+    half = F.floor(n / 2)
+    iqr = middle(n - half, half) - middle(F.lit(0), half)
+    return counts.groupBy(key).agg(F.max("_n").alias("n"), middle(F.lit(0), n).alias("median"), iqr.alias("_iqr")).select(key, "n", "median", F.when(F.col("n") >= least, F.col("_iqr")).alias("iqr"))
 
 
 def error_rate(rows: DataFrame, edits: Column, units: Column, *keys: str) -> DataFrame:

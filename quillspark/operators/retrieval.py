@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import grams as G
 from quillspark.functions import similarity as M
+from quillspark.operators.scans import ones, running
 from quillspark.plans.storage import materialize
 
 #: Rows of a gram table up to which it is broadcast (about 50 MB); beyond, the join shuffles by gram.
@@ -149,9 +150,14 @@ def session_priors(hits: DataFrame, following: DataFrame | None = None, weight:
 
 
 def next_work(lines: DataFrame, work: str, order: str) -> DataFrame:
-    """(work_id, next_work): works in order of their last line; the last one has none."""
+    """(work_id, next_work): works in order of their last line; the last one has none.
+
+    Works are numbered in ranges of that order, and each is joined with the next number: no task sees them all.
+    """
     last = lines.groupBy(F.col(work).alias("work_id")).agg(F.max(order).alias("last"))
-    return last.select("work_id", F.lead("work_id").over(Window.orderBy("last", "work_id")).alias("next_work"))
+    numbered = materialize(running(last, [], ["last", "work_id"], ones("n"), {"n": 0}).select("work_id", "n"), "numbered")
+    following = numbered.select(F.col("work_id").alias("next_work"), (F.col("n") - 1).alias("n"))
+    return numbered.join(following, "n", "left").select("work_id", "next_work")
 
 
 def literal_search(queries: DataFrame, query: str, text: Column, lines: DataFrame, work: str, line: str, line_text: Column, top: int = 5, least: float = 0.0) -> DataFrame:

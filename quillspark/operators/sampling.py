@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.plans.storage import materialize
+
 #: Groups up to which their splits are broadcast; beyond, the join shuffles.
 BROADCAST_GROUPS = 100_000
 
@@ -24,13 +26,15 @@ def first_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def running_total(rows: DataFrame, order: list[str], amount: str, out: str = "before", ranges: int = 64) -> DataFrame:
+def running_total(rows: DataFrame, order: list[str], amount: str, out: str = "before", ranges: int | None = None) -> DataFrame:
     """``out``: the sum of ``amount`` over all rows before this one in a total order.
 
-    Rows are dealt to ranges of the order; each range is summed and numbered on its own, and the ranges' offsets, one row
-    a range, are joined back.
+    Rows are dealt to ranges of the order (as many as the session's shuffle partitions, unless given) and written with the
+    range's number, so that a lost executor changes no range; each is summed on its own, and the ranges' offsets, one row a
+    range, are joined back.
     """
-    dealt = rows.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
     offsets = dealt.groupBy("_part").agg(F.sum(amount).alias("_sum"))
     offsets = offsets.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_offset"))  # one row a range
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
