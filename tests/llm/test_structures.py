@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import lattice, layers, scans, sharding, trie
+from quillspark.llm import lattice, layers, sharding, trie
+from quillspark.operators import scans
 
 
 def chain_levels(points, lower_bounds=None, most=99):
