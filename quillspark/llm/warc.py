@@ -27,6 +27,8 @@ ARCHIVE_BYTES = 32 << 20
 #: Bytes of an archive that are unpacked at once.
 PIECE = 1 << 14
 END = "\r\n\r\n"
+#: Fixed value: how a gzip member begins.
+MAGIC = b"\x1f\x8b\x08"
 #: Fixed value: a gzip member without content, which ends every archive.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300" "0000000000000000")
 
@@ -130,40 +132,60 @@ def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **col
     writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    """The content of each gzip member in turn; content that is not compressed is given whole."""
-    if content[:2] != b"\x1f\x8b":
-        yield content
+def members(content: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """(content, None) of each gzip member in turn; content that is not compressed is given whole.
+
+    (b"", reason) stands for a member that cannot be unpacked; reading goes on where the next one may begin.  Of a member
+    that ends early, what there is comes first and the reason after it.
+    """
+    if content[:2] != MAGIC[:2]:
+        yield content, None
         return
     at = 0
-    while at < len(content):
-        unpacker, parts = zlib.decompressobj(31), []
-        while not unpacker.eof and at < len(content):  # by pieces: what follows a member is handed back as a copy
-            piece = content[at : at + PIECE]
-            parts.append(unpacker.decompress(piece))
-            at += len(piece) - len(unpacker.unused_data)
-        yield b"".join(parts)
+    while 0 <= at < len(content):
+        start, unpacker, parts = at, zlib.decompressobj(31), []
+        try:
+            while not unpacker.eof and at < len(content):  # by pieces: what follows a member is handed back as a copy
+                piece = content[at : at + PIECE]
+                parts.append(unpacker.decompress(piece))
+                at += len(piece) - len(unpacker.unused_data)
+        except zlib.error as e:
+            yield b"", f"member at byte {start}: {e}"
+            at = content.find(MAGIC, start + 1)
+            continue
+        yield b"".join(parts), None
+        if not unpacker.eof:
+            yield b"", f"member at byte {start}: it ends early"
 
 
 _HEADER = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record, by Content-Length. A cut last record is given as far as it goes."""
+    """(headers in lower case, block) of each record, by Content-Length. A cut last block is given as far as it goes.
+
+    Bytes that are no record, and heads that are cut or give no length, become a record of type error whose block is the
+    reason; reading goes on at the next ``WARC/``.
+    """
     at, size = 0, len(data)
-    while at < size:
+    while 0 <= at < size:
         if data.startswith(b"\r\n", at):
             at += 2
             continue
         if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
+            yield {"warc-type": "error"}, b"no record at byte %d" % at
+            at = data.find(b"WARC/", at)
+            continue
         end = data.find(b"\r\n\r\n", at)
-        head = data[at : end if end >= 0 else size]
-        fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(head)}
-        start = end + 4 if end >= 0 else size
-        stop = start + int(fields.get("content-length") or 0)
-        yield fields, data[start:stop]
-        at = stop
+        fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(data[at : max(end, at)])}
+        length = fields.get("content-length", "").strip()
+        if not (length.isascii() and length.isdigit()):
+            yield {"warc-type": "error"}, b"no length in the record at byte %d" % at
+            at = data.find(b"WARC/", at + 5)
+            continue
+        start = end + 4
+        yield fields, data[start : start + int(length)]
+        at = start + int(length)
 
 
 def split_block(fields: dict[str, str], block: bytes) -> tuple[str, bytes | None]:
@@ -179,7 +201,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     (kind, record_id, concurrent_to, refers_to, uri, digest, head, payload, payload_bytes, payload_sha1); the last two are
     taken from the payload as it was read, ``digest`` is what the header claims.  Payload, bytes and SHA-1 are null for
-    records that are no HTTP messages.  No archives give no rows; a page of any length is one record.
+    records that are no HTTP messages.  What is malformed gives a row of kind error with the reason as its head, and the
+    rest of the archive is read on.  No archives give no rows; a page of any length is one record.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
     names = ["kind", "record_id", "concurrent_to", "refers_to", "uri", "digest", "head", "payload"]
@@ -197,8 +220,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for member in members(content.as_py()):
-                    for fields, block in parse(member):
+                for member, broken in members(content.as_py()):
+                    for fields, block in parse(member) if broken is None else [({"warc-type": "error"}, broken.encode())]:
                         rows.append([*(fields.get(h) for h in headers), *split_block(fields, block)])
                         held += len(block)
                         if held > 4 << 20:

@@ -449,6 +449,32 @@ def test_search_against_brute_force(spark):
     assert {q: [k for k, _ in v] for q, v in got.items()} == {q: [k for k, _ in v] for q, v in expected.items()}
 
 
+def test_malformed_archives(spark, tmp_path):
+    """Broken members and records are rows with a reason; what is around them is read."""
+    def record(n: int, length: str | None = None) -> bytes:
+        block = f"HTTP/1.1 200 OK\r\n\r\nbody {n} WARC/1.0 inside".encode()
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{n}>\r\nContent-Type: application/http\r\n"
+        return head.encode() + (f"Content-Length: {len(block) if length is None else length}\r\n" if length != "" else "").encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    whole = [gzip.compress(record(n)) for n in range(4)]
+    broken = bytearray(gzip.compress(record(9)))
+    broken[14] ^= 0xFF
+    (tmp_path / "a.txt").write_bytes(whole[0] + bytes(broken) + whole[1])
+    (tmp_path / "b.txt").write_bytes(whole[2] + b"no gzip at all" + whole[3] + gzip.compress(record(5))[:-20])
+    (tmp_path / "c.txt").write_bytes(b"junk " + record(6) + b"more junk" + record(7, "x") + record(8, "") + record(10))
+    (tmp_path / "d.txt").write_bytes(b"")
+    (tmp_path / "e.txt").write_bytes(record(11)[:20])
+    found = warc.read(spark, str(tmp_path)).collect()
+    bodies = {r.record_id: r.payload for r in found if r.kind == "response"}
+    assert {k for k in bodies} >= {f"<{n}>" for n in (0, 1, 2, 3, 6, 10)} and not {"<7>", "<8>", "<11>"} & set(bodies)
+    assert all(bodies[f"<{n}>"] == f"body {n} WARC/1.0 inside".encode() for n in (0, 1, 2, 3, 6, 10))
+    errors = [r.head for r in found if r.kind == "error"]
+    assert len(errors) >= 7 and all(r.payload is None and r.payload_sha1 is None for r in found if r.kind == "error")
+    for reason in ("member at byte", "ends early", "no record at byte 0", "no length in the record"):
+        assert any(reason in e for e in errors), reason
+    assert {r.kind for r in warc.captures(warc.read(spark, str(tmp_path))).collect()} == {"response"}
+
+
 def test_quality_and_gumbel(spark):
     noisy = lambda i: " ".join(w + "%%%" for w in prose(i, 60).split())
     good, raw = [(i, prose(i, 60)) for i in range(80)], [(i, prose(500 + i, 60)) for i in range(300)] + [(600 + i, noisy(i)) for i in range(60)]
