@@ -188,10 +188,16 @@ class Page:
 
     def parts(self) -> tuple[list[tuple[str, bool]], list[str]]:
         """(blocks, evidence): the main blocks as (text, open), and the texts that only bear witness of boilerplate."""
-        best = max((r for r, marking, _, _ in self.blocks if marking < 2), default=0)
+        size: dict[int, int] = {}
+        for rank, marking, _, text in self.blocks:
+            if marking < 2:
+                size[rank] = size.get(rank, 0) + len(text)
+        # Of main element and articles in it the one with more text: articles may be cards beside the main text.
+        inner = [r for r in size if r > 1]
+        best = max(inner, key=lambda r: (size[r], r)) if inner else max(size, default=0)
         main, rest = [], []
         for rank, marking, linked, text in self.blocks:
-            if marking == 2 or rank < best:
+            if marking == 2 or rank < best or (inner and rank > best):
                 rest.append(text)
             else:
                 main.append((text, best < 2 or marking == 1 or linked > 0.5))

@@ -449,6 +449,16 @@ def test_search_against_brute_force(spark):
     assert {q: [k for k, _ in v] for q, v in got.items()} == {q: [k for k, _ in v] for q, v in expected.items()}
 
 
+def test_articles_beside_the_main_text(spark):
+    body, teaser = prose(1, 60), prose(2, 8)
+    pages = {
+        1: f"<main><p>{body}</p><article class='card'><p>{teaser}</p></article></main>", 2: f"<main><h2>{teaser}</h2><article><p>{body}</p></article></main>",
+        3: f"<div>{teaser}</div><main><p>{body}</p></main>", 4: f"<p>{body}</p>",
+    }
+    rows = spark.createDataFrame([(k, f"http://h{k}.example/", v) for k, v in pages.items()], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(rows).collect()} == dict.fromkeys(pages, body)
+
+
 def test_malformed_archives(spark, tmp_path):
     """Broken members and records are rows with a reason; what is around them is read."""
     def record(n: int, length: str | None = None) -> bytes:
