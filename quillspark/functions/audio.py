@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -48,3 +50,24 @@ def resampled(source_rate: int, target_rate: int):
         return samples.map(one, na_action="ignore")
 
     return run
+
+
+def high_pass(cutoff: float, rate: float) -> tuple[float, float, float]:
+    """(b, a1, a2) of the second-order Butterworth high-pass b (1 - 2/z + 1/z^2) / (1 + a1/z + a2/z^2), by the bilinear map."""
+    if not 0 < cutoff < rate / 2:
+        raise ValueError(f"a cutoff of {cutoff} Hz is outside 0 .. {rate / 2} Hz")
+    k = math.tan(math.pi * cutoff / rate)
+    b = 1 / (1 + math.sqrt(2) * k + k * k)
+    return b, 2 * (k * k - 1) * b, (1 - math.sqrt(2) * k + k * k) * b
+
+
+def filtered(samples: list[float | None], state: tuple[float, float], filter_: tuple[float, float, float]) -> tuple[list[float], tuple[float, float]]:
+    """The filter's output and the state to go on with; null samples are silence."""
+    (b, a1, a2), (z1, z2), out = filter_, state, []
+    for x in samples:
+        x = x or 0.0
+        y = b * x + z1
+        z1 = -2 * b * x - a1 * y + z2
+        z2 = b * x - a2 * y
+        out.append(y)
+    return out, (z1, z2)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillspark.functions import audio
 from quillspark.functions import grams as G
 from quillspark.streaming import tracker
 
@@ -192,6 +193,24 @@ def throttled(observations: DataFrame, every_s: float, loud: Column | None = Non
     return out.withColumn("at", F.timestamp_micros("at").cast("timestamp_ntz"))
 
 
+# A filter over blocks of samples.
+FILTERED = "session long, ts timestamp_ntz, event_id long, samples array<double>"
+
+
+def high_passed(blocks: DataFrame, cutoff: float, rate: float) -> DataFrame:
+    """(session, ts, event_id, samples): blocks of samples in order, high-passed as if a session's blocks were one.
+
+    The state that a block ends with is handed on to the session's next one.  Null blocks count as empty.
+    """
+    filter_ = audio.high_pass(cutoff, rate)
+
+    def step(state: list, row: dict) -> list[tuple]:
+        out, state[0] = audio.filtered(row["samples"] or [], state[0], filter_)
+        return [(row["ts"], row["event_id"], out)]
+
+    return fold(blocks, lambda: [(0.0, 0.0)], step, FILTERED)
+
+
 # Streams.
 class _Session(StatefulProcessor):
     """A session whose state ends when nothing came for ``idle_ms`` of event time: each batch moves its one timer on."""

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import audio
 from quillspark.streaming import follow, tracker
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -197,3 +198,19 @@ def test_throttle_by_a_controlled_clock():
     assert rows(7_400, 5) == [(7_000, 4, "timer")] and clock.timers == {8_000}  # the timer came late: the row finds it due
     assert timer(8_000) == [(5, "timer")]
     assert rows(20_000, 6) == [(20_000, 6, "now")] and clock.timers == set()
+
+
+def test_high_pass_blocks_equal_the_whole(spark):
+    rng = random.Random(3)
+    signal = [5.0 + rng.random() for _ in range(500)]
+    whole, state = audio.filtered(signal, (0.0, 0.0), audio.high_pass(100.0, 16_000.0))
+    cuts = [0, 1, 7, 7, 130, 131, 400, 500]
+    blocks = [(s, at(k), k, signal[a:b]) for s in (1, 2) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))] + [(3, at(0), 0, None), (3, at(1), 1, [None, 1.0])]
+    found = follow.high_passed(spark.createDataFrame(blocks, "session long, ts timestamp_ntz, event_id long, samples array<double>"), 100.0, 16_000.0).collect()
+    for s in (1, 2):
+        assert [y for r in sorted(found, key=lambda r: r.event_id) if r.session == s for y in r.samples] == whole
+    constant, _ = audio.filtered([1.0] * 20_000, (0.0, 0.0), audio.high_pass(100.0, 16_000.0))
+    assert abs(constant[0] - 0.9726) < 1e-3 and abs(constant[-1]) < 1e-9  # what does not change is taken away
+    assert [r.samples for r in found if r.session == 3][0] == []
+    with pytest.raises(ValueError):
+        audio.high_pass(9_000.0, 16_000.0)
