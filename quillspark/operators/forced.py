@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from quillspark.plans.storage import materialize
 #: Words of a recording that are joined with a line's words at once, and that one task matches at once.
 BLOCK = 32
 CHUNK = 256
+#: Lines that a part of a recording is compared with in one row, about.
+LINES = 64
 #: Size up to which an index of lines is sent to every task.
 INDEX_BYTES = 32 << 20
 #: Window sizes beside the number of a line's words, in the order in which equal scores go first.
@@ -85,8 +89,12 @@ class LineIndex:
         at = np.repeat(starts[ids] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         return np.repeat(np.arange(len(ids)), many), line[at], count[at]
 
-    def hits(self, words: list[str], part: int = 1_000) -> list[tuple[int, float, int]]:
-        """(line, score, place) of the lines that a recording's words hit; long recordings are gone through in parts."""
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each word, -1 for words that no line has."""
+        return pc.fill_null(pc.index_in(words, value_set=pa.array(list(self.ids), words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def hits(self, words: np.ndarray, part: int = 1_000) -> list[tuple[int, float, int]]:
+        """(line, score, place) of the lines that a recording's words, by number, hit; long recordings are gone through in parts."""
         best: dict[int, tuple[float, int]] = {}
         longest, m = int(self.n.max(initial=0)), len(words)
         for start in range(0, max(m, 1), part):
@@ -95,11 +103,10 @@ class LineIndex:
                     best[line] = score, start + place
         return [(line, *b) for line, b in best.items()]
 
-    def _part(self, words: list[str], begins: int, m: int) -> Iterator[tuple[int, float, int]]:
+    def _part(self, words: np.ndarray, begins: int, m: int) -> Iterator[tuple[int, float, int]]:
         """The best windows that begin among the first ``begins`` words of this part of a recording of m words."""
-        ids = np.array([self.ids.get(w, -1) for w in words], np.int64)
-        pos = np.flatnonzero(ids >= 0)
-        ids = ids[pos]
+        pos = np.flatnonzero(words >= 0)
+        ids = words[pos]
         own, inverse, often = np.unique(ids, return_inverse=True, return_counts=True)
         # Lines longer than the recording have it as their one window; of others, a rarest word must be there.
         open_ = self.n > m
@@ -146,7 +153,9 @@ def _hits_in_tasks(said: DataFrame, own: DataFrame, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, names = index.value
         for batch in batches:
-            out = [(rec.as_py(), *names[k], score, place) for rec, words in zip(*batch.columns, strict=True) for k, score, place in lines.hits(words.as_py() or [])]
+            said = batch.column(1)
+            ids, offsets = lines.numbers(said.values), said.offsets.to_numpy()  # a null list is an empty one
+            out = [(rec, *names[k], score, place) for rec, a, b in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True) for k, score, place in lines.hits(ids[a:b])]
             columns = zip(*out, strict=True) if out else [[]] * 5
             types = [arrow["rec"], arrow["work"], arrow["line"], pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["rec", "work", "line", "score", "place"])
@@ -192,48 +201,69 @@ def confirmed_works(hits: DataFrame, lines: DataFrame, work: str, least: int = 2
     return found.filter((F.col("hits") >= sure) | ((F.col("hits") >= least) & (F.col("hits") / F.col("n_lines") > part))).select("rec", "work", "hits", "n_lines")
 
 
-def _places(words: list[str], breaks: np.ndarray, first: int, last: int, line: str, floor: float) -> Iterator[tuple[int, int, int, float]]:
-    """(place, window, size, ratio) of the best window at each place from first up to last, where one is above the floor.
+def _letters(words: list[str]) -> np.ndarray:
+    """Running counts of the characters of words, in 64 classes."""
+    counts = np.array([np.bincount([ord(c) % 64 for c in w], minlength=64) for w in words] or np.zeros((0, 64), int))
+    return np.concatenate([np.zeros((1, 64), int), np.cumsum(counts, axis=0)])
 
-    Two bounds come before the matching blocks, which are a common subsequence of both texts: characters in common,
-    taken for all places at once, and the longest common subsequence.
-    """
-    n = line.count(" ") + 1
-    letters = np.array([np.bincount([ord(c) % 64 for c in w], minlength=64) for w in words] or np.zeros((0, 64), int))
-    sums = np.concatenate([np.zeros((1, 64), int), np.cumsum(letters, axis=0)])
-    target = np.bincount([ord(c) % 64 for c in line], minlength=64)
-    matcher, best = SequenceMatcher(None, "", line), {}
-    for window, more in enumerate(SIZES):
-        size = n + more
-        at = np.arange(first, min(last, len(words) - size + 1))
-        if size < 1 or not len(at):
-            continue
-        # A break before word k is counted in breaks[k]; a window may not have one inside.
-        at = at[breaks[at + size - 1] == breaks[at]]
-        held = sums[at + size] - sums[at]
-        held[:, ord(" ")] += size - 1
-        bounds = 2 * np.minimum(held, target).sum(axis=1) / (held.sum(axis=1) + len(line))
-        for i, bound in zip(at.tolist(), bounds.tolist(), strict=True):
-            least = best[i][3] if i in best else floor
-            if bound <= least:
-                continue
-            text = " ".join(words[i : i + size])
-            if 2 * common_subsequence(text, line) / (len(text) + len(line)) <= least:
-                continue
-            matcher.set_seq1(text)
-            if (ratio := matcher.ratio()) > least:
-                best[i] = i, window, size, ratio
-    yield from best.values()
 
+class Part:
+    """Words of a recording in which windows begin at the places from first up to last."""
+
+    def __init__(self, words: list[str], breaks: np.ndarray, first: int, last: int):
+        """A break before word k is counted in breaks[k]; a window may not have one inside."""
+        self.words, self.breaks, self.first, self.last = words, breaks, first, last
 
-def match_places(words: DataFrame, lines: DataFrame, floor: float = 0.45, silence: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return _letters(self.words)
+
+    def best(self, line: str, floor: float, common: float) -> Iterator[tuple[int, int, int, float]]:
+        """(place, window, size, ratio) of the best window at each place, where one is above the floor.
+
+        Bounds come before the matching blocks, which are a common subsequence of both texts: words in common, characters
+        in common, both taken for all places at once, and the longest common subsequence.
+        """
+        own = line.split(" ")
+        n, known = len(own), set(own)
+        said = np.cumsum([0, *(w in known for w in self.words)])
+        target, matcher, best = None, None, {}
+        for window, more in enumerate(SIZES):
+            size = n + more
+            at = np.arange(self.first, min(self.last, len(self.words) - size + 1))
+            if size < 1 or not len(at):
+                continue
+            at = at[(self.breaks[at + size - 1] == self.breaks[at]) & (said[at + size] - said[at] >= common * n)]
+            if not len(at):
+                continue
+            if matcher is None:
+                target, matcher = np.bincount([ord(c) % 64 for c in line], minlength=64), SequenceMatcher(None, "", line)
+            held = self.sums[at + size] - self.sums[at]
+            held[:, ord(" ")] += size - 1
+            bounds = 2 * np.minimum(held, target).sum(axis=1) / (held.sum(axis=1) + len(line))
+            for i, bound in zip(at.tolist(), bounds.tolist(), strict=True):
+                least = best[i][3] if i in best else floor
+                if bound <= least:
+                    continue
+                text = " ".join(self.words[i : i + size])
+                if 2 * common_subsequence(text, line) / (len(text) + len(line)) <= least:
+                    continue
+                matcher.set_seq1(text)
+                if (ratio := matcher.ratio()) > least:
+                    best[i] = i, window, size, ratio
+        yield from best.values()
+
+
+def match_places(words: DataFrame, lines: DataFrame, floor: float = 0.45, silence: float | None = None, common: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """(session, pos, size, score, work, line): at each word the best of the session's lines, where one is above the floor.
 
     ``words``: (session long, pos, word, start, end), numbered from 0; null words count as empty, times may be null.
     ``lines``: (session, work, line, text) with the lines that the session is compared with.  Windows have the line's
     number of words, one more, one less or two more; the score is the matching-blocks ratio of window and line.  Equal
     scores: the smaller (work, line), then the window in this order.  No window goes across a pause longer than
-    ``silence``.  A task compares at most ``chunk`` words and the windows that begin there with one line.
+    ``silence``.  ``common``: the least share of the line's number of words that a window must have in common with it; 0
+    compares every window with every line of the session, which takes time in proportion to both.  A task compares at most
+    ``chunk`` words and the windows that begin there with some ``LINES`` lines at once.
     """
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     own = materialize(lines.select("session", F.col("work"), F.col("line"), text.alias("text")).filter("text <> ''").distinct(), "lines")
@@ -250,17 +280,19 @@ def match_places(words: DataFrame, lines: DataFrame, floor: float = 0.45, silenc
         for batch in batches:
             out = []
             for row in zip(*batch.columns, strict=True):  # one row's values at a time
-                session, c, held, work, line, target = (x.as_py() for x in row)
+                session, c, held, lot = (x.as_py() for x in row)
                 low = held[0]["pos"]
                 pause = [silence is not None and None not in (a["end"], b["start"]) and b["start"] - a["end"] > silence for a, b in zip(held, held[1:])]
-                breaks = np.cumsum([0, *pause])
-                found = _places([w["word"] for w in held], breaks, max(c * chunk - low, 0), (c + 1) * chunk - low, target, floor)
-                out += [(session, low + i, size, ratio, work, line, window) for i, window, size, ratio in found]
+                part = Part([w["word"] for w in held], np.cumsum([0, *pause]), max(c * chunk - low, 0), (c + 1) * chunk - low)
+                out += [(session, low + i, size, ratio, x["work"], x["line"], window) for x in lot for i, window, size, ratio in part.best(x["text"], floor, common)]
             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=arrow)
 
+    lots = materialize(own.groupBy("session").agg(F.ceil(F.count("*") / LINES).alias("_lots")), "lots")
+    lot = own.join(lots, "session").groupBy("session", F.pmod(F.xxhash64("work", "line", "text"), "_lots").alias("_lot")).agg(F.collect_list(F.struct("work", "line", "text")).alias("lot"))
+    lot = materialize(lot.drop("_lot"), "lots")
     names = ["session", "pos", "size", "score", "work", "line", "window"]
-    compared = parts.join(own, "session").select("session", "chunk", "words", "work", "line", "text")
-    kinds = compared.limit(0).toArrow().schema
+    compared = parts.join(lot, "session").select("session", "chunk", "words", "lot")
+    kinds = own.limit(0).toArrow().schema
     arrow = pa.schema([("session", pa.int64()), ("pos", pa.int64()), ("size", pa.int64()), ("score", pa.float64()), ("work", kinds.field("work").type), ("line", kinds.field("line").type), ("window", pa.int64())])
     found = compared.mapInArrow(run, f"session long, pos long, size long, score double, work {types[0]}, line {types[1]}, window long")
     best = found.groupBy("session", "pos").agg(F.min(F.struct(-F.col("score"), "work", "line", "window", "size")).alias("b"))
@@ -298,14 +330,14 @@ def consume(places: DataFrame) -> DataFrame:
     return dealt.mapInArrow(go, places.schema)
 
 
-def match_stream(words: DataFrame, lines: DataFrame, floor: float = 0.45, silence: float | None = None, chunk: int = CHUNK) -> DataFrame:
+def match_stream(words: DataFrame, lines: DataFrame, floor: float = 0.45, silence: float | None = None, common: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """(session, pos, n_words, start, end, score, confidence, work, line, raw_text): the spans of words that lines consume.
 
     The cursor stands at a session's first word; where a line matches (see ``match_places``), it takes the best window and
     goes on behind it, else it goes one word further.  start and end are those of the span's words, confidence is the
     mean of theirs (null words and values left out).
     """
-    taken = consume(match_places(words, lines, floor, silence, chunk))
+    taken = consume(match_places(words, lines, floor, silence, common, chunk))
     taken = materialize(taken.select("session", F.col("pos").alias("_first"), F.col("size").cast("long").alias("n_words"), "score", "work", "line"), "taken")
     each = taken.withColumn("pos", F.explode(F.sequence("_first", F.col("_first") + F.col("n_words") - 1))).join(words.select("session", "pos", "word", "start", "end", "confidence"), ["session", "pos"])
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("word", F.lit("")).alias("word")))), lambda x: x["word"]), " ")

@@ -12,6 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import audio
 from quillspark.functions import grams as G
 from quillspark.functions import gurmukhi as U
 from quillspark.functions import similarity as M
@@ -933,15 +934,16 @@ def identified_works(spark, sf_dir):
 
 @query()
 def word_stream_lines(spark, sf_dir):
-    """Words are half a second apart, a new line of a document comes after a pause of two seconds."""
+    """Words are half a second apart, a new line of a document comes after a pause of two seconds.  Windows have as many
+    words in common with a line as are three tenths of the line's."""
     found, lines = _recited(spark, sf_dir)
     own = found.join(lines, found["work"] == lines["work_id"]).select(F.col("rec").alias("session"), "work", F.col("line_no").alias("line"), F.array_join("words", " ").alias("text"))
     each = F.flatten(F.transform(F.split("text", "\n"), lambda t, k: F.transform(C.words_of(t), lambda w: F.struct(w.alias("word"), k.alias("k")))))
-    docs = table(spark, sf_dir, "documents").join(own.select(F.col("session").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    docs = table(spark, sf_dir, "documents").join(R.broadcast_if_small(found.select(F.col("rec").alias("doc_id")).distinct()), "doc_id", "left_semi")
     words = docs.select(F.col("doc_id").alias("session"), F.posexplode(each).alias("pos", "w"))
     words = words.select("session", F.col("pos").cast("long").alias("pos"), "w.word", (F.col("pos") * 0.5 + F.col("w.k") * 2.0).alias("start"))
     words = words.withColumn("end", F.col("start") + 0.4).withColumn("confidence", 1.0 / F.length("word"))
-    out = C.match_stream(words, own, silence=1.5)
+    out = C.match_stream(words, own, silence=1.5, common=0.3)
     return out.select(F.col("session").alias("doc_id"), "pos", "n_words", "start", "end", F.round("score", 3).alias("score"), F.round("confidence", 3).alias("confidence"), F.col("work").alias("work_id"), F.col("line").alias("line_no"), "raw_text")
 
 
@@ -976,7 +978,7 @@ def pointer_advance(spark, sf_dir):
     """Sentences of a document in order, each against the lines of the work that it recites most of."""
     found, _ = _recited(spark, sf_dir)
     locked = S.first_wins(found, ["rec"], [F.desc("hits"), "work"])
-    said = table(spark, sf_dir, "documents").join(locked, F.col("doc_id") == F.col("rec")).select("doc_id", "work", F.posexplode(F.split("text", SENTENCES)).alias("p", "text"))
+    said = table(spark, sf_dir, "documents").join(R.broadcast_if_small(locked), F.col("doc_id") == F.col("rec")).select("doc_id", "work", F.posexplode(F.split("text", SENTENCES)).alias("p", "text"))
     said = said.select(F.col("doc_id").alias("session"), F.timestamp_seconds("p").cast("timestamp_ntz").alias("ts"), (F.col("p") + 1).cast("long").alias("event_id"), "work", F.trim("text").alias("text")).filter("text <> ''")
     lines = bench_lines(spark, sf_dir).select(F.col("work_id").alias("work"), F.col("line_no").alias("line"), "text")
     out = follow.pointers(follow.score_lines(said, lines))
@@ -994,7 +996,7 @@ r(user_id, n, m) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), map_from_entrie
       ELSE list_transform(map_entries(m), lambda e: {{'k': e.key, 'v': e.value * 0.92::DOUBLE}}) END AS moved FROM r JOIN h ON h.user_id = r.user_id AND h.n = r.n + 1)),
 c AS (SELECT user_id, n, ts, event_id, heard, hits, list_transform(list_sort(list_transform(map_entries(m), lambda e: {{'s': -e.value, 'work': e.key}}))[1:5], lambda x: {{'work': x.work, 'score': -x.s}}) AS candidates FROM r JOIN h USING (user_id, n)),
 b AS (SELECT *, candidates[1].work AS work, list_sort(list_transform(list_filter(hits, lambda x: x.work = candidates[1].work), lambda x: {{'s': -x.s, 'line': x.line}}))[1] AS best, coalesce(list_max(list_transform(hits, lambda x: x.s)), 0) < 0.45::DOUBLE AS frozen FROM c)
-SELECT user_id, event_id, work, coalesce(best.line, -1) AS line, coalesce(-best.s, 0) AS line_score, frozen, candidates,
+SELECT user_id, event_id, work, coalesce(best.line, -1) AS line, coalesce(-best.s, 0) AS line_score, frozen, list_transform(candidates, lambda x: x.work) AS candidates, candidates[1].score AS score,
   coalesce(list(event_id) FILTER (best IS NOT NULL AND NOT frozen) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING), [])[-40:] AS history FROM b""")
 def tracker_history(spark, sf_dir):
     """Each event is an observation with two hits; errors are silence."""
@@ -1004,7 +1006,7 @@ def tracker_history(spark, sf_dir):
     hits = F.array(hit(F.col("event_type"), k % 7, score), hit(F.concat(F.lit("p"), (k % 3).cast("string")), k % 5, score * 0.9))
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", (F.col("event_type") != "error").alias("heard"), hits.alias("hits"))
     out = follow.tracked(rows)
-    return out.select(F.col("session").alias("user_id"), "event_id", "work", "line", "line_score", "frozen", "candidates", "history")
+    return out.select(F.col("session").alias("user_id"), "event_id", "work", "line", "line_score", "frozen", F.col("candidates.work").alias("candidates"), F.get("candidates", F.lit(0))["score"].alias("score"), "history")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE value >= 5),
@@ -1056,3 +1058,19 @@ trim(regexp_replace(regexp_replace(lower({_sql_table(voiced, U.ROMAN)}), '[^a-z
 def gurmukhi_text(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", U.ascii_to_unicode(F.col("text")).alias("unicode"))
     return rows.select("doc_id", "unicode", X.skeleton(F.col("unicode"), GURMUKHI).alias("skeleton"), U.roman(F.col("unicode")).alias("roman"))
+
+
+_B, _A1, _A2 = audio.high_pass(10.0, 100.0)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, coalesce(value, 0) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, n, y, z1, z2) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM e UNION ALL
+  SELECT user_id, n, y, -2 * {_B!r}::DOUBLE * x - {_A1!r}::DOUBLE * y + z2, {_B!r}::DOUBLE * x - {_A2!r}::DOUBLE * y FROM (SELECT e.user_id, e.n, x, {_B!r}::DOUBLE * x + z1 AS y, z2 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, round(y, 6) AS y FROM r JOIN e USING (user_id, n)""")
+def high_pass_blocks(spark, sf_dir):
+    """A user's values are samples at 100 Hz, each day's a block; the filter's state goes on from day to day."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day"), F.struct("ts", "event_id", "value").alias("s"))
+    blocks = rows.groupBy("session", F.col("day").alias("ts")).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    ids = blocks.select("session", "ts", F.posexplode("s.event_id").alias("p", "event_id"))
+    found = follow.high_passed(blocks.select("session", "ts", F.lit(0).cast("long").alias("event_id"), F.col("s.value").alias("samples")), 10.0, 100.0)
+    return found.select("session", "ts", F.posexplode("samples").alias("p", "y")).join(ids, ["session", "ts", "p"]).select(F.col("session").alias("user_id"), "event_id", F.round("y", 6).alias("y"))

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 
 from quillspark.operators import forced
@@ -58,13 +59,14 @@ def test_long_recordings_go_through_in_parts(seed):
     lines = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))] for _ in range(30)]
     words = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)]
     index = forced.LineIndex([(k, len(w), x, c) for k, w in enumerate(lines) for x, c in Counter(w).items()], 0.55)
-    whole = {k: (s, p) for k, s, p in index.hits(words)}
+    numbers = index.numbers(pa.array(words))
+    whole = {k: (s, p) for k, s, p in index.hits(numbers)}
     assert whole == {k: windows_hit(words, w, 0.55) for k, w in enumerate(lines) if windows_hit(words, w, 0.55)}
     for part in (13, 50, 400):
-        assert {k: (s, p) for k, s, p in index.hits(words, part)} == whole
+        assert {k: (s, p) for k, s, p in index.hits(numbers, part)} == whole
 
 
-def greedy(words, lines, floor, silence):
+def greedy(words, lines, floor, silence, common=0.0):
     """The cursor, one place after another."""
     out, i = [], 0
     while i < len(words):
@@ -77,6 +79,8 @@ def greedy(words, lines, floor, silence):
                 part = words[i : i + size]
                 if silence is not None and any(b[1] - a[2] > silence for a, b in zip(part, part[1:])):
                     continue
+                if sum(w[0] in text.split() for w in part) < common * n:
+                    continue
                 ratio = SequenceMatcher(None, " ".join(w[0] for w in part), text).ratio()
                 if ratio > score:
                     best, score, span = (work, line), ratio, size
@@ -89,8 +93,8 @@ def greedy(words, lines, floor, silence):
     return out
 
 
-@pytest.mark.parametrize("seed, silence, chunk", [(0, None, 256), (1, None, 5), (2, 1.0, 5), (3, 0.5, 256)])
-def test_match_stream(spark, seed, silence, chunk):
+@pytest.mark.parametrize("seed, silence, common, chunk", [(0, None, 0.0, 256), (1, None, 0.3, 5), (2, 1.0, 0.0, 5), (3, 0.5, 0.5, 256)])
+def test_match_stream(spark, seed, silence, common, chunk):
     rng = random.Random(seed)
     texts = ["alpha beta gamma delta", "beta gamma", "delta epsilon zeta eta theta", "iota", "gamma delta epsilon", *GURMUKHI]
     lines = [(s, k // 3, k, t) for s in range(3) for k, t in enumerate(texts) if s < 2 or k % 2]
@@ -105,9 +109,9 @@ def test_match_stream(spark, seed, silence, chunk):
             words.append((session, pos, word, round(clock, 3), round(clock + 0.3, 3), 0.5))
             clock += 0.3
     table = spark.createDataFrame(words, "session long, pos long, word string, start double, end double, confidence double")
-    found = forced.match_stream(table, spark.createDataFrame(lines, "session long, work long, line long, text string"), silence=silence, chunk=chunk).collect()
+    found = forced.match_stream(table, spark.createDataFrame(lines, "session long, work long, line long, text string"), silence=silence, common=common, chunk=chunk).collect()
     for s in (0, 1, 2, 7):
-        expected = greedy([(w[2], w[3], w[4]) for w in words if w[0] == s], [x[1:] for x in lines if x[0] == s], 0.45, silence)
+        expected = greedy([(w[2], w[3], w[4]) for w in words if w[0] == s], [x[1:] for x in lines if x[0] == s], 0.45, silence, common)
         got = sorted((r.pos, r.n_words, r.start, r.end, round(r.score, 9), r.work, r.line, r.raw_text) for r in found if r.session == s)
         assert got == expected
     assert all(abs(r.confidence - 0.5) < 1e-9 for r in found)
