@@ -3,6 +3,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.functions import similarity as M
 from quillspark.operators import retrieval as R
@@ -61,3 +62,20 @@ def test_sentences_of_any_length_are_matched(spark):
     for name, key in (("trigram_candidate_match", "query_id"), ("nw_align_ops", "id")):
         found = {len(sentences[r[key]]) for r in catalogue.QUERIES[name](spark, SF).select(key).distinct().collect()}
         assert min(found) < 12 and max(found) > 200, name
+
+
+def test_works_are_scored_where_texts_lie(spark, monkeypatch):
+    works = [(k, f"{t} {'grey stone ' * (k % 4)}") for k, (_, _, t) in enumerate(LINES)] + [(900, "héé ß 🙂🙂 x"), (901, "héé ß 🙂🙂 x"), (902, "ab")]
+    lines = spark.createDataFrame(works, "work long, text string")
+    texts = [*QUERIES, (12, "stone harbour"), (12, "grey"), (13, "🙂🙂 x und ß"), (14, "ab"), (15, "abc"), (None, "the people"), (None, "of the town")]
+    queries = spark.createDataFrame(texts, "id long, text string")
+    index = R.gram_index(lines, "work", F.col("text"))
+    expected = sorted(map(tuple, R.top_with_margin(R.work_scores(queries, "id", F.col("text"), index)).collect()), key=repr)
+    found = R.top_works(queries, "id", F.col("text"), index)
+    assert sorted(map(tuple, found.collect()), key=repr) == expected
+    assert {12, 13, 14, None} <= {r[0] for r in expected}
+    alone = R.top_works(queries.filter("id < 12"), "id", F.col("text"), index)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan  # no gram of a text is shuffled
+    monkeypatch.setattr(R, "HELD_ROWS", 10)
+    assert sorted(map(tuple, R.top_works(queries, "id", F.col("text"), index).collect()), key=repr) == expected
