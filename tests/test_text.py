@@ -110,3 +110,58 @@ def test_sources(spark, tmp_path):
     assert sorted(map(tuple, R.missing_ids(asked, answered, "id", verdict=F.lit("REJECT")).collect())) == [(1, "ok"), (2, "REJECT"), (3, "REJECT")]
     df = spark.createDataFrame([("&amp;&eacute;&#x41;",), ("a",), (None,)], "t string")
     assert [r[0] for r in df.select(R.html_unescape(F.col("t"))).collect()] == ["&éA", "a", None]
+
+
+def test_dominant_token_is_counted_in_one_pass(spark):
+    long = " ".join(f"w{k % 30000}" for k in range(60_001))
+    found = one(spark, long, lambda T: X.dominant_token(X.tokenize(T)))  # by pairs: 1.8 billion comparisons
+    assert (found["token"], found["n"]) == ("w0", 3)
+    assert one(spark, "b a c a b", lambda T: X.dominant_token(X.tokenize(T)))["token"] == "b"
+    assert one(spark, "", lambda T: X.dominant_token(X.tokenize(T))) is None
+
+
+def test_suspect_windows_sort_no_texts(spark):
+    rows = spark.createDataFrame([("s", k, "a " * n) for k, n in enumerate([9, 9, 9, 30, 2, 30, 12, 9, 9, 9])], "s string, ord int, t string")
+    found = W.suspect_flag(rows, "s", "i", X.tokenize(F.col("t")), F.lit(False), repeats=12, order="ord").select("ord", "flag")
+    assert [r.flag for r in found.orderBy("ord").collect()] == ["intro"] * 3 + ["repeat", "short", "repeat", "repeat"] + ["outro"] * 3
+    found = W.suspect_flag(rows, "s", "i", X.tokenize(F.col("t")), F.lit(False), repeats=99, order="ord").select("ord", "flag")
+    assert [r.flag for r in found.orderBy("ord").collect()][3:7] == ["none", "short", "none", "none"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan[: plan.rindex("Window")]  # tokens are made below all windows
+
+
+def test_clean_text_binds_its_tokens_once(spark):
+    texts = ["Th <unk> thé  x1y\tthe\nTHE!", "", None, "12 34", "ß th<un k> àth", "  the", "aeiou th e t-h"]
+    for text in texts:
+        kept = X.collapse(F.regexp_replace(X.strip_unknown(F.col("t")), r"[^A-Za-zÀ-ÖØ-öø-ÿ\s]", " "))
+        before = X.tokenize(kept)
+        expected = spark.createDataFrame([(text,)], "t string").select(F.array_join(X.normalize_chant(before), " ").alias("a"), before.alias("b"), X.normalize_chant(before).alias("c")).first()
+        found = one(spark, text, lambda T: X.clean_text(T))
+        assert (found["text"], found["changed"]) == (expected["a"], sum(x != y for x, y in zip(expected["b"], expected["c"], strict=True))), text
+    plan = spark.createDataFrame([("x",)], "t string").select(X.clean_text(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("un>|") == 1  # the artefacts are stripped once
+
+
+def test_shares_met_by_place():
+    import random
+
+    from quillspark.operators import validate as V
+
+    def meets(a, b):
+        if not a or not b:
+            return False, False
+        if a == b:
+            return True, False
+        if a in b or b in a:
+            return True, True
+        return len(a) == len(b) >= 2 and sum(x != y for x, y in zip(a, b, strict=True)) <= 1, False
+
+    r = random.Random(1)
+    for _ in range(400):
+        mine, theirs = ([("".join(r.choices("ab", k=r.randrange(5)))) for _ in range(r.randrange(9))] for _ in range(2))
+        at = hits = 0
+        for bones in mine:
+            j, part = next(((j, p) for j in range(at, len(theirs)) for ok, p in (meets(bones, theirs[j]),) if ok), (None, False)) if bones else (None, False)
+            hits += not bones or j is not None
+            at = at if j is None else j if part else j + 1
+        assert V._met(mine, theirs) == hits
