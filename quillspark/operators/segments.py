@@ -87,15 +87,28 @@ def push_dedup(events: DataFrame, key: str, values: list[str], order: list[str])
 def proximity_join(left: DataFrame, right: DataFrame, word: str, ts: str, id_: str, within: float) -> DataFrame:
     """(id, other, delta): for each left row the nearest right row of the same word within ``within`` seconds, ties by id.
 
-    Time is cut in buckets of ``within``; rows meet their own and the neighbouring buckets only, so a frequent word spreads
-    over its time line.
+    Time is cut in buckets of ``within``. The nearest row is the last before or the first after, in the bucket of the left
+    row or, if it has none on that side, at the near end of the neighbouring bucket: rows are never paired with all others of
+    a bucket, so the work does not grow with their density.
     """
     bucket = F.floor(F.col(ts) / within)
-    a = left.select(F.col(word).alias("w"), F.col(ts).alias("t"), F.col(id_).alias("id"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    b = right.select(F.col(word).alias("w"), F.col(ts).alias("u"), F.col(id_).alias("other"), bucket.alias("b"))
-    delta = F.col("u") - F.col("t")
-    near = a.join(b, ["w", "b"]).filter(F.abs(delta) <= within)
-    best = near.groupBy("id").agg(F.min(F.struct(F.abs(delta).alias("d"), F.col("other"), delta.alias("delta"))).alias("m"))
+    real = F.col(word).isNotNull() & F.col(ts).isNotNull() & ~F.isnan(F.col(ts).cast("double"))
+    a = left.filter(real).select(F.col(word).alias("w"), bucket.alias("b"), F.col(ts).alias("t"), F.col(id_).alias("id"), F.lit(True).alias("asks"))
+    b = right.filter(real).select(F.col(word).alias("w"), bucket.alias("b"), F.col(ts).alias("t"), F.col(id_).alias("id"), F.lit(False).alias("asks"))
+    ends = b.groupBy("w", "b").agg(F.min(F.struct("t", "id")).alias("first"), F.max("t").alias("t"), F.min_by("id", F.struct(-F.col("t"), F.col("id"))).alias("id"))
+    # A bucket's ends are also rows of its neighbours.
+    above = ends.select("w", (F.col("b") + 1).alias("b"), "t", "id", F.lit(False).alias("asks"))
+    below = ends.select("w", (F.col("b") - 1).alias("b"), F.col("first.t").alias("t"), F.col("first.id").alias("id"), F.lit(False).alias("asks"))
+    rows = a.unionByName(b).unionByName(above).unionByName(below)
+    # Of equal times the least id is the last on either way, and left rows follow the right rows of their time.
+    told = F.when(~F.col("asks"), F.struct("t", F.col("id")))
+    group = Window.partitionBy("w", "b")
+    before = F.last(told, ignorenulls=True).over(group.orderBy("t", "asks", F.desc("id")).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(told, ignorenulls=True).over(group.orderBy(F.desc("t"), "asks", F.desc("id")).rowsBetween(Window.unboundedPreceding, 0))
+    near = rows.withColumns({"before": before, "after": after}).filter("asks").select("id", "t", F.explode(F.array("before", "after")).alias("x")).filter("x IS NOT NULL")
+    delta = F.col("x.t") - F.col("t")
+    near = near.filter(F.abs(delta) <= within)
+    best = near.groupBy("id").agg(F.min(F.struct(F.abs(delta).alias("d"), F.col("x.id").alias("other"), delta.alias("delta"))).alias("m"))
     return best.select("id", F.col("m.other").alias("other"), F.col("m.delta").alias("delta"))
 
 
