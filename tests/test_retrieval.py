@@ -79,3 +79,11 @@ def test_works_are_scored_where_texts_lie(spark, monkeypatch):
     assert "Exchange" not in plan and "Generate" not in plan  # no gram of a text is shuffled
     monkeypatch.setattr(R, "HELD_ROWS", 10)
     assert sorted(map(tuple, R.top_works(queries, "id", F.col("text"), index).collect()), key=repr) == expected
+
+
+def test_trigram_ranks_of_many_queries_at_once(spark):
+    queries, lines = tables(spark)
+    whole = R.trigram_candidates(queries, "id", "text", lines, "line", "text", top=5).select("query_id", "line_id", "shared", "rank")
+    ranks = R.trigram_candidates(queries, "id", "text", lines, "line", "text", top=5, texts=False)
+    assert ranks.columns == ["query_id", "line_id", "shared", "rank"]
+    assert sorted(map(tuple, ranks.collect())) == sorted(map(tuple, whole.collect()))
