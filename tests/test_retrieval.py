@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,30 @@ def test_trigram_ranks_of_many_queries_at_once(spark):
     ranks = R.trigram_candidates(queries, "id", "text", lines, "line", "text", top=5, texts=False)
     assert ranks.columns == ["query_id", "line_id", "shared", "rank"]
     assert sorted(map(tuple, ranks.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_sequence_choices_are_those_of_difflib():
+    import random
+
+    rng = random.Random(3)
+    text = lambda n, letters="abcdeé ": "".join(rng.choice(letters) for _ in range(n))
+    texts = [text(rng.randint(1, 90)) for _ in range(120)] + ["ab" * 200, text(300), text(130) * 3, text(64), text(128)]
+    texts += texts[:4]
+    queries = [text(rng.randint(1, 100)) for _ in range(40)] + [texts[7], texts[9][3:] + "zß🙂", "zzz", "", "ab" * 150, texts[-7] + text(60)]
+    ids = rng.sample(range(1000), len(texts))
+    picks = [np.array(sorted(rng.sample(range(len(texts)), rng.randint(0, len(texts)))), np.int64) for _ in queries]
+    found = M.SequenceChoices(texts, ids).best(queries, picks)
+    for q, own, got in zip(queries, picks, found, strict=True):
+        best = max(((SequenceMatcher(None, texts[k], q, autojunk=False).ratio(), -ids[k]) for k in own.tolist()), default=None)
+        assert got == (best and (best[0], -best[1])), q
+    assert any(x is None for x in found) or all(len(p) for p in picks)
+
+
+def test_queries_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """The answers come from as many tasks as there are shuffle partitions, however few bytes the texts have."""
+    queries, lines = tables(spark)
+    parts = []
+    written = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name: (parts.append(df.rdd.getNumPartitions()) if name == "answers" else None) or written(df, name))
+    R.sequence_best(queries, "id", "text", lines, "work", "line", "text")
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
