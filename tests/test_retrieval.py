@@ -114,4 +114,5 @@ def test_queries_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
     written = R.materialize
     monkeypatch.setattr(R, "materialize", lambda df, name: (parts.append(df.rdd.getNumPartitions()) if name == "answers" else None) or written(df, name))
     R.sequence_best(queries, "id", "text", lines, "work", "line", "text")
-    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    R.token_set_best(queries, "id", "text", lines, "line", "text").count()
+    assert parts == 2 * [int(spark.conf.get("spark.sql.shuffle.partitions"))]
