@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -131,3 +132,16 @@ def test_long_recording(spark):
     words = spark.createDataFrame([(1, 0, None, None, None, None)], "session long, pos long, word string, start double, end double, confidence double")
     assert forced.match_stream(words, empty).count() == 0
     assert forced.match_stream(words, spark.createDataFrame([(1, 1, 1, None), (1, 1, 2, " a  b ")], empty.schema)).count() == 0
+
+
+@pytest.mark.parametrize("common", [0.0, 0.3])
+def test_windows_of_many_parts_side_by_side(common):
+    rng = random.Random(4)
+    texts = ["alpha beta gamma delta", "beta gamma", "delta epsilon zeta eta theta", "iota", "gamma delta epsilon", "eta zeta epsilon"]
+    words = lambda n: [rng.choice(["alpha", "beta", "gama", "delta", "zeta", "eta", "", "ßß🙂", "iota"]) for _ in range(n)]
+    parts = [(forced.Part(words(n), np.cumsum([0, *(rng.random() < 0.1 for _ in range(n - 1))]), low, n), texts[k:]) for k, (n, low) in enumerate([(30, 0), (1, 0), (50, 7)])]
+    found = list(forced.best_windows(parts, [p.lanes(lines, common) for p, lines in parts], 0.45))
+    for k, (part, lines) in enumerate(parts):
+        every = [(i, ratio, n, window, size) for n, t in enumerate(lines) for i, window, size, ratio in part.best(t, 0.45, common)]
+        top = {i: max(r for j, r, *_ in every if j == i) for i, *_ in every}
+        assert sorted((i, r, n, w, s) for row, n, i, w, s, r in found if row == k) == sorted(x for x in every if x[1] == top[x[0]])
