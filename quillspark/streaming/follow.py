@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.functions import audio
 from quillspark.functions import grams as G
+from quillspark.operators.retrieval import broadcast_if_small
 from quillspark.streaming import tracker
 
 KEY = ["session", "ts", "event_id"]
@@ -53,6 +54,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 # The line within a work that is known.
 POINTER = "session long, ts timestamp_ntz, event_id long, line long, moved boolean, trail array<long>"
+#: Works up to which their lines are sent to every task.
+WORKS = 20_000
 #: Moves that a session remembers.
 TRAIL = 40
 
@@ -74,11 +77,14 @@ def score_lines(observations: DataFrame, lines: DataFrame, text: Column | None =
     seen = observations.select(*KEY, "work", two(said).alias("_p"), G.char_gram_set(said).alias("_g"))
     own = F.trim(F.coalesce(line_text if line_text is not None else F.col("text"), F.lit("")))
     known = lines.select(F.col("work").alias("_work"), F.col("line").cast("long").alias("line"), two(own).alias("_q"), G.char_gram_set(own).alias("_h"))
-    pairs = seen.join(known, F.col("work") == F.col("_work"), "left")
-    prefix = F.when((F.col("_p") != "") & (F.col("_q") != ""), G.prefix_score(F.col("_q"), F.col("_p")))
-    overlap = G.let(F.size(F.array_intersect("_g", "_h")), lambda n: F.when(n > 0, n / F.least(F.size("_g"), F.size("_h"))))
-    kept = lambda s: F.sort_array(F.collect_list(F.when(s.isNotNull(), F.struct("line", s.alias("score")))))
-    return pairs.groupBy(*KEY).agg(kept(prefix).alias("prefix"), kept(overlap).alias("overlap"))
+    # A work's lines are one value: an observation meets them where it lies, and no row is made for a pair.
+    known = known.groupBy("_work").agg(F.sort_array(F.collect_list(F.struct("line", "_q", "_h"))).alias("_lines"))
+    both = seen.join(broadcast_if_small(known, WORKS), F.col("work") == F.col("_work"), "left")
+    prefix = lambda x: F.when((F.col("_p") != "") & (x["_q"] != ""), G.prefix_score(x["_q"], F.col("_p")))
+    overlap = lambda x: G.let(F.size(F.array_intersect(F.col("_g"), x["_h"])), lambda n: F.when(n > 0, n / F.least(F.size("_g"), F.size(x["_h"]))))
+    scored = lambda s: F.filter(F.transform("_lines", lambda x: F.struct(x["line"].alias("line"), s(x).alias("score"))), lambda x: x["score"].isNotNull())
+    none = F.array().cast("array<struct<line:bigint,score:double>>")
+    return both.select(*KEY, *(F.coalesce(F.sort_array(scored(s)), none).alias(n) for n, s in (("prefix", prefix), ("overlap", overlap))))
 
 
 def point(state: Followed, row: dict) -> list[tuple]:

@@ -214,3 +214,13 @@ def test_high_pass_blocks_equal_the_whole(spark):
     assert [r.samples for r in found if r.session == 3][0] == []
     with pytest.raises(ValueError):
         audio.high_pass(9_000.0, 16_000.0)
+
+
+def test_observations_are_scored_where_they_lie(spark):
+    """No row is made or shuffled for an observation and a line."""
+    seen = spark.createDataFrame([(1, at(0), 1, 1, "grey stone"), (1, at(1), 2, 9, None)], "session long, ts timestamp_ntz, event_id long, work long, text string")
+    lines = spark.createDataFrame([(1, 1, "grey stone"), (1, 2, None), (1, 3, "green hills")], "work long, line long, text string")
+    scored = follow.score_lines(seen, lines)
+    assert {r.event_id: ([x.line for x in r.prefix], [x.line for x in r.overlap]) for r in scored.collect()} == {1: ([1, 3], [1]), 2: ([], [])}
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session" not in plan
