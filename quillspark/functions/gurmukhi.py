@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.profiles import GURMUKHI
+
 # The font's encoding. Signs that are typed in another order than they are stored, rewritten in this order.
 ASCII_ORDER = (
     ("i(.)", "$1i"), ("®", "R"), ("([iMµyY])([RH§ÍÏçœ˜†])", "$2$1"), ("([MµyY])([uU])", "$2$1"),
@@ -56,6 +59,20 @@ def ascii_to_unicode(text: Column) -> Column:
     return mapped(mapped(ordered, ASCII_PAIRS), ASCII_SIGNS)
 
 
+def skeleton(text: Column) -> Column:
+    """``text.skeleton`` of the Gurmukhi profile in a single pass; null gives the empty string.
+
+    A profile's replacement of two characters leaves out one that is stripped anyway; all others are of one character.
+    """
+    single = {a: b for a, b in GURMUKHI.replacements if len(a) == 1}
+    strip = re.compile(re.sub(r"\\x\{([0-9A-F]{4})\}", lambda m: f"\\u{m[1]}", GURMUKHI.strip), re.ASCII)
+    dropped = [c for c in map(chr, range(1, 0xD800)) if strip.fullmatch(c)]
+    if GURMUKHI.fold[0] or any(len(a) > 1 and strip.sub("", a) != b for a, b in GURMUKHI.replacements) or any(c in single for c in dropped):
+        raise ValueError("the profile asks for more than one pass")
+    # translate drops the characters that have no counterpart
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join([*single, *dropped]), "".join(single.values()))
+
+
 def roman(text: Column) -> Column:
     """Latin letters a-z and single blanks: a consonant has an a unless a vowel sign or a virama follows; no marks, digits
     or signs remain.  The doubling sign and vowel carriers are silent.  Latin letters stay, in lower case; null stays null."""

@@ -47,3 +47,16 @@ def test_skeletons_of_converted_text_agree(spark):
     rows = spark.createDataFrame(WORDS[:8], "a string, u string, r string")
     pairs = rows.select(X.skeleton(G.ascii_to_unicode(rows["a"]), GURMUKHI), X.skeleton(rows["u"], GURMUKHI)).collect()
     assert all(a == b for a, b in pairs) and any(a for a, _ in pairs)
+
+
+def test_skeleton_in_a_single_pass(spark):
+    import random
+
+    rng = random.Random(6)
+    signs = [*map(chr, range(0x0A00, 0x0A80)), *" \t\n\v\f\r\u0085  ‌‍।॥॰.,;:!?'\"()[]<>0189AzÉßİ🙂\\-", *(a for a, _ in GURMUKHI.replacements)]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(400)] + signs + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select(X.skeleton(rows["t"], GURMUKHI), G.skeleton(rows["t"]))
+    assert all(a == b for a, b in found.collect())
+    plan = rows.select(G.skeleton(rows["t"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "replace(" not in plan
