@@ -106,3 +106,57 @@ def test_stage2_merge(spark):
     out = {r.clip_id: (r.decision2, r.final_text2, r.usable) for r in stages.review_stage(rows, corrector, reviewer, words).collect()}
     assert out[1] == ("replaced_llm", "teri sarani", True) and out[2] == ("matched", "teri", True)
     assert out[3] == ("unchanged", "x", False) and out[4] == ("validator_fallback", "teri saran", False)
+
+
+def test_sessions_are_those_decided_clip_by_clip(monkeypatch):
+    """Scores and alignments made beforehand, and few best works of each text, change nothing."""
+    import random
+
+    from quillspark.operators import align as A
+    from quillspark.operators import stages
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bcdfgae") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    lines = [(w, n, 10 * w + n, t, "".join(map(A._python_skeleton("latin"), t))) for w in range(1, 13) for n in range(3) for t in [[rng.choice(words) for _ in range(5)]]]
+    works = stages.Works(lines, "latin")
+    said = [(rng.choice(lines)[3][: rng.randint(2, 5)] + [rng.choice(words)] * rng.randint(0, 3), rng.random() < 0.1) for _ in range(120)]
+    bones = ["".join(map(A._python_skeleton("latin"), t)) for t, _ in said]
+    at = lambda k: bones[k] if 0 <= k < len(bones) else ""
+    rows = [{"tokens": t, "joined": " ".join(t), "clean": " ".join(t), "bones": bones[k], "before": at(k - 1), "before2": at(k - 2), "after": at(k + 1), "after2": at(k + 2), "x_work": 3 if x else None, "x_line": 30 if x else None} for k, (t, x) in enumerate(said)]
+    following = {w: w % 12 + 1 for w in range(1, 13)}
+
+    def plain(row, hits, next_works):
+        def best(text):
+            scores = next(works.scores([text]))[0]
+            boost = {w: 0.8 * n / sum(hits.values()) for w, n in hits.items()}
+            if next_works and hits:
+                front = max(hits, key=lambda w: hits[w])  # the first of equals
+                boost[front] = boost.get(front, 0.0) + 0.8
+                boost[next_works[front]] = boost.get(next_works[front], 0.0) + 0.5
+            for w, more in boost.items():
+                scores[works.place[w]] *= 1 + more
+            k = int(scores.argmax())
+            top, scores[k] = float(scores[k]), -1.0
+            return k, top, (top - max(float(scores.max()), 0.0)) / top if top > 0 else 0.0
+
+        if row["x_work"] is not None:
+            return "exact", row["x_work"], None
+        k, score, margin = best(row["before"] + row["bones"] + row["after"])
+        if margin < 0.05:
+            k, score, margin = best(row["before2"] + row["before"] + row["bones"] + row["after"] + row["after2"])
+        if score < 2.0:
+            return "unchanged", works.ids[k] if score > 0 else None, margin
+        return A.decide(*A.align_with_orphans(row["tokens"], works.references[k]), "latin"), works.ids[k], margin
+
+    for best, next_works in ((2, None), (2, following), (8, None), (50, following)):
+        monkeypatch.setattr(stages, "BEST", best)
+        hits, expected = {}, []
+        for row in rows:
+            expected.append(plain(row, hits, next_works))
+            if expected[-1][0] in stages.WITNESS:
+                hits[expected[-1][1]] = hits.get(expected[-1][1], 0) + 1
+        assert len({e[1] for e in expected}) > 3
+        fresh = [r | {"narrow": n, "wide": None, "known": {}} for r, n in zip(rows, works.best([r["before"] + r["bones"] + r["after"] for r in rows]), strict=True)]
+        session = stages.Session(works, next_works, 0.8, 0.8, 0.5, 2.0, 0.05)
+        found = [c for k in range(0, len(fresh), 50) for c in session.clips([[r] for r in fresh[k : k + 50]])]
+        assert [(f["decision"], f["work"], f["margin"]) for f in found] == expected
