@@ -116,3 +116,36 @@ def test_queries_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
     R.sequence_best(queries, "id", "text", lines, "work", "line", "text")
     R.token_set_best(queries, "id", "text", lines, "line", "text").count()
     assert parts == 2 * [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+def test_slices_side_by_side_are_those_of_pairs():
+    """Longest runs (by bits, and cell by cell beyond 64), common subsequences and matching blocks of slices, however they lie in words."""
+    rng = np.random.default_rng(5)
+    sizes, others = rng.integers(1, 210, 60), rng.integers(1, 210, 60)
+    sizes[3], others[4] = 200, 180
+    text, other = rng.integers(0, 5, sizes.sum()), rng.integers(0, 4, others.sum())
+    starts, begins = np.cumsum(sizes) - sizes, np.cumsum(others) - others
+    text[starts[3] : starts[3] + sizes[3]] = 1
+    other[begins[4] : begins[4] + others[4]] = 1
+    pick, who = rng.integers(0, 60, 400), rng.integers(0, 60, 400)
+    pick[:60], who[:60] = 3, 4
+    cut = lambda n: np.sort(rng.integers(0, n[:, None] + 1, (len(n), 2)), axis=1).T
+    (a0, a1), (low, high) = cut(sizes[pick]), cut(others[who])
+    texts = M.TextPlaces(other, others, 5)
+    open_ = (a1 > a0) & (high > low)
+    found = [x.tolist() for x in (texts.subsequences(text, starts[pick] + a0, starts[pick] + a1, who, low, high), texts.matched(text, starts[pick] + a0, starts[pick] + a1, who, low, high))]
+    longest = np.zeros((3, len(pick)), np.int64)
+    longest[:, open_] = texts.longest(text, *((starts[pick] + x)[open_] for x in (a0, a1)), who[open_], low[open_], high[open_])
+    seen = 0
+    for k, (p, w) in enumerate(zip(pick.tolist(), who.tolist(), strict=True)):
+        # 0 is like nothing: another number on either side.
+        a = ["x" if c == 0 else str(c) for c in text[starts[p] + a0[k] : starts[p] + a1[k]]]
+        b = ["y" if c == 0 else str(c) for c in other[begins[w] + low[k] : begins[w] + high[k]]]
+        both = SequenceMatcher(None, a, b, autojunk=False)
+        assert found[0][k] == M.common_subsequence(a, b)
+        assert found[1][k] == sum(x.size for x in both.get_matching_blocks())
+        block = both.find_longest_match(0, len(a), 0, len(b))
+        assert longest[0][k] == block.size
+        assert not block.size or (longest[1][k] - starts[p] - a0[k], longest[2][k] - low[k]) == (block.a, block.b)
+        seen = max(seen, block.size)
+    assert seen > 64
