@@ -149,3 +149,20 @@ def test_slices_side_by_side_are_those_of_pairs():
         assert not block.size or (longest[1][k] - starts[p] - a0[k], longest[2][k] - low[k]) == (block.a, block.b)
         seen = max(seen, block.size)
     assert seen > 64
+
+
+def test_token_sets_side_by_side_are_those_of_pairs(monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    said = lambda n: " ".join(rng.choices(words, k=n))
+    lines = [(k, said(rng.choice([1, 2, 5, 12, 30, 60]))) for k in rng.sample(range(1000), 80)] + [(2000, "x" * 62), (2001, "y" * 63), (2002, "z" * 700), (2003, said(400)), (2004, "  ")]
+    queries = [said(rng.randint(1, 20)) for _ in range(60)] + ["", "  ", "x" * 62, "z" * 690, said(150), "qqq", "🙂 é", "x" * 61 + " y", lines[3][1] + " more of it"]
+    for guess in (0.0, M.GUESS, 0.99):
+        monkeypatch.setattr(M, "GUESS", guess)
+        found = M.TokenSetLines(lines).bests(queries)
+        for q, got in zip(queries, found, strict=True):
+            best = max((M.token_set(q, t), -k) for k, t in lines if t.split())
+            assert got == ((best[0], -best[1]) if q.split() else None), (guess, q)
+    assert M.TokenSetLines([]).bests(["a", ""]) == [None, None]
