@@ -160,3 +160,45 @@ def test_sessions_are_those_decided_clip_by_clip(monkeypatch):
         session = stages.Session(works, next_works, 0.8, 0.8, 0.5, 2.0, 0.05)
         found = [c for k in range(0, len(fresh), 50) for c in session.clips([[r] for r in fresh[k : k + 50]])]
         assert [(f["decision"], f["work"], f["margin"]) for f in found] == expected
+
+
+def test_sessions_are_dealt_evenly(spark):
+    """The largest sessions lie in tasks of their own, and every row of a session in one task."""
+    from quillspark.operators import stages
+
+    rows = spark.createDataFrame([(f"s{k}", n) for k in range(5) for n in range(40 - k)] + [(f"few{k}", 0) for k in range(9)] + [(None, 1)] * 3, "session string, n int")
+    dealt = stages._by_session(rows, rows, 5).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.session or "", r.n) for r in dealt) == sorted((r.session or "", r.n) for r in rows.collect())
+    parts = {}
+    for r in dealt:
+        parts.setdefault(r.session, set()).add(r.part)
+    assert all(len(p) == 1 for p in parts.values())
+    assert len(set.union(*(parts[f"s{k}"] for k in range(5)))) == 5
+
+
+def test_values_are_those_of_lists():
+    import pyarrow as pa
+
+    from quillspark.operators import stages
+
+    arrays = [pa.array([["a", None], None, [], ["b"]]), pa.array([[1, 2], None, [3]]), pa.array([["q"], ["r", "s"], None, ["t"]]).slice(1, 2), pa.array(["x", None]), pa.array([1, None, 2]), pa.array([True, False]), pa.array([1.5]), pa.array([], pa.list_(pa.string()))]
+    for a in arrays:
+        found, expected = stages._values(a), a.to_pylist()
+        assert found == expected and list(map(type, found)) == list(map(type, expected))
+
+
+def test_chants_are_those_counted_token_by_token(spark):
+    from quillspark.functions import text as X
+    from quillspark.functions.profiles import GURMUKHI, LATIN
+    from quillspark.operators import rows as W
+
+    texts = ["the " * 5, "the " * 4, "THE thé the, tha 'the' x", "the the x the the the", "the " * 5 + "x y z", "th1 " * 5, "", None, "ßth " * 6, "ਵਾਹਿਗੁਰੂ " * 5, "ਵਾਹਿਗੁਰੂ ਵਹਗਰ " * 3 + "ਸਤਿ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for profile in (LATIN, GURMUKHI):
+        tokens = X.tokenize(F.col("t"))
+        flags = X.chant_tokens(tokens, profile)
+        n, total = F.size(F.filter(flags, lambda f: f)), X.script_tokens(tokens, profile)
+        slow = (n >= 5) & (X.longest_true_run(flags) >= 5) & (total > 0) & (n >= F.lit(0.7) * total)
+        both = df.select(W.is_chant(tokens, profile), slow).collect()
+        assert [r[0] for r in both] == [r[1] for r in both] and any(r[0] for r in both)
+        assert W.is_chant(F.col("t"), profile)._jc.toString().startswith("CASE WHEN")  # counted only where a run is found
